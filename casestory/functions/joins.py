@@ -1,0 +1,18 @@
+"""Join helpers: broadcast a side only behind a checked size bound."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+DEFAULT_MAX_BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:
+    """Broadcast hint when ``df`` has at most ``max_rows`` rows, else leave it to the planner.
+
+    The count runs on the (dictionary/summary sized) side only; above the bound the join
+    stays a shuffle join that AQE may still turn into a broadcast from runtime sizes.
+    """
+    n = df.limit(max_rows + 1).count()
+    return F.broadcast(df) if n <= max_rows else df
