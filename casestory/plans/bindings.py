@@ -106,3 +106,68 @@ def orders_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("o_orderpriority").startswith("1"), "M").otherwise("F").alias("gender"),
         F.create_map().cast("map<string,string>").alias("attrs"),
     )
+
+
+# Event types of ``events`` as the stay-log activities of the prefix texts.
+STAY_ACTIVITIES = [
+    ("signup", "Triage in the ED"),
+    ("view", "Vital sign check"),
+    ("click", "Medicine dispensations"),
+    ("purchase", "Medicine reconciliation"),
+    ("error", "Discharge from the ED"),
+]
+
+
+def stays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Flat stay log (F2 shape) from ``events``: one stay per user, raw timestamps.
+
+    Text and vital-sign fields are derived from the row (some left null on purpose so
+    the 'N/A' rule and the null ``name_etc`` show).
+    """
+    e = table(spark, sf_dir, "events")
+    act = F.when(F.lit(False), F.lit(None))
+    for k, v in STAY_ACTIVITIES:
+        act = act.when(F.col("event_type") == k, v)
+    i, u, v = F.col("event_id"), F.col("user_id"), F.col("value")
+    return e.select(
+        u.alias("stay_id"),
+        F.col("ts").alias("timestamps"),
+        act.alias("activity"),
+        F.when(v >= 40, "ADMITTED").when(v >= 10, "HOME").alias("disposition"),
+        F.when(u % 3 == 0, "M").otherwise("F").alias("gender"),
+        F.when(u % 4 == 0, "WHITE").when(u % 4 == 1, "BLACK").when(u % 4 == 2, "ASIAN").alias("race"),
+        F.when(u % 2 == 0, "AMBULANCE").otherwise("WALK IN").alias("arrival_transport"),
+        F.concat(F.lit("Diagnosis "), (i % 23).cast("string")).alias("icd_title"),
+        F.concat(F.lit("Complaint "), (u % 9).cast("string")).alias("chiefcomplaint"),
+        F.lit(None).cast("string").alias("rhythm"),
+        (i % 11).cast("string").alias("pain"),
+        F.concat(F.lit("Drug "), (i % 29).cast("string")).alias("name"),
+        F.when(i % 5 == 0, None).otherwise(F.concat(F.lit("class "), (i % 7).cast("string"))).alias("etcdescription"),
+        v.alias("temperature"),
+        F.when(i % 7 == 0, None).otherwise(v).alias("heartrate"),
+        F.lit(16.0).alias("resprate"),
+        F.lit(98.0).alias("o2sat"),
+        F.lit(120.0).alias("sbp"),
+        F.lit(80.0).alias("dbp"),
+        (i % 5).cast("double").alias("acuity"),
+        i.alias("row_idx"),
+    )
+
+
+def stays_sql() -> str:
+    act = " ".join(f"WHEN event_type = '{k}' THEN '{v}'" for k, v in STAY_ACTIVITIES)
+    return f"""(SELECT user_id AS stay_id, ts AS timestamps, CASE {act} END AS activity,
+  CASE WHEN value >= 40 THEN 'ADMITTED' WHEN value >= 10 THEN 'HOME' END AS disposition,
+  CASE WHEN user_id % 3 = 0 THEN 'M' ELSE 'F' END AS gender,
+  CASE WHEN user_id % 4 = 0 THEN 'WHITE' WHEN user_id % 4 = 1 THEN 'BLACK' WHEN user_id % 4 = 2 THEN 'ASIAN' END AS race,
+  CASE WHEN user_id % 2 = 0 THEN 'AMBULANCE' ELSE 'WALK IN' END AS arrival_transport,
+  'Diagnosis ' || CAST(event_id % 23 AS VARCHAR) AS icd_title,
+  'Complaint ' || CAST(user_id % 9 AS VARCHAR) AS chiefcomplaint,
+  CAST(NULL AS VARCHAR) AS rhythm,
+  CAST(event_id % 11 AS VARCHAR) AS pain,
+  'Drug ' || CAST(event_id % 29 AS VARCHAR) AS name,
+  CASE WHEN event_id % 5 = 0 THEN NULL ELSE 'class ' || CAST(event_id % 7 AS VARCHAR) END AS etcdescription,
+  value AS temperature, CASE WHEN event_id % 7 = 0 THEN NULL ELSE value END AS heartrate,
+  16.0::DOUBLE AS resprate, 98.0::DOUBLE AS o2sat, 120.0::DOUBLE AS sbp, 80.0::DOUBLE AS dbp,
+  CAST(event_id % 5 AS DOUBLE) AS acuity, event_id AS row_idx
+FROM events)"""

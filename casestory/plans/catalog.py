@@ -103,3 +103,50 @@ def q_event_order(spark, sf):
     o = traces.event_order(events_log(spark, sf, "user", False))
     return o.select("case_id", "event_idx", F.col("row_position").cast("int").alias("row_position"),
                     F.round("time_since_last", 6).alias("time_since_last"), "time_since_start")
+
+
+# ------------------------------------------------------------------ E4: prefixes
+
+from casestory.operators import prefixes as px  # noqa: E402
+from casestory.plans.bindings import stays  # noqa: E402
+
+
+@register("stay_features", O.stay_features_sql())
+def q_stay_features(spark, sf):
+    """W1 W2 W3 W6 W7 P10 P11 on the stay log."""
+    f = px.stay_features(stays(spark, sf))
+    return f.select("stay_id", "row_idx", "row_position",
+                    F.round("timesincelastevent", 6).alias("timesincelastevent"),
+                    "timesincecasestart", "next_activity", "name_etc")
+
+
+@register("prefix_pieces", O.pieces_sql())
+def q_prefix_pieces(spark, sf):
+    """Emitted, rendered pieces with run lists."""
+    p = px.emitted_pieces(px.stay_features(stays(spark, sf)))
+    return p.select("stay_id", "prefix_len", "row_idx", "piece")
+
+
+@register("prefix_texts", O.prefixes_sql())
+def q_prefix_texts(spark, sf):
+    """Cumulative prefix texts with the stay label."""
+    return px.prefix_texts(stays(spark, sf))
+
+
+@register("temporal_split", O.temporal_split_sql())
+def q_temporal_split(spark, sf):
+    """First 66 % of stays by start time go to train."""
+    return px.temporal_split(stays(spark, sf))
+
+
+@register("temporal_split_rows", f"""WITH sp AS ({O.temporal_split_sql()})
+SELECT sp.split, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(DISTINCT s.stay_id) AS BIGINT) AS n_stays
+FROM {__import__('casestory.plans.bindings', fromlist=['x']).stays_sql()} s JOIN sp USING (stay_id) GROUP BY sp.split""")
+def q_temporal_split_rows(spark, sf):
+    """Rows of train and test stays by semi / anti join on the split ids."""
+    s = stays(spark, sf)
+    tr, te = px.split_rows(s, px.temporal_split(s))
+    def summ(d, name):
+        return d.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"),
+                     F.countDistinct("stay_id").alias("n_stays"))
+    return summ(tr, "train").unionByName(summ(te, "test"))

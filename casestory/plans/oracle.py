@@ -140,3 +140,83 @@ SELECT m.case_id, {intro_sql('m.gender', 'm.age')} || {sep} || coalesce(b.body,
        'en' AS language, CAST(coalesce(m.class_label, 0) AS INTEGER) AS label
 FROM meta m LEFT JOIN body b ON b.case_id = m.case_id
 """
+
+
+# ------------------------------------------------------------------ E4: prefixes
+
+def _render_sql(tmpl: str, numeric: set[str]) -> str:
+    import re
+    parts = []
+    for i, chunk in enumerate(re.split(r"\{\{(\w+)\}\}", tmpl)):
+        if i % 2 == 0:
+            if chunk:
+                parts.append(q(chunk))
+        elif chunk == "timesincecasestart":
+            parts.append("CAST(tsc AS VARCHAR)")
+        elif chunk in numeric:
+            parts.append(f"coalesce(CAST({chunk} AS VARCHAR), 'N/A')")
+        else:
+            parts.append(f"coalesce({chunk}, 'N/A')")
+    return " || ".join(parts)
+
+
+def stay_steps_sql() -> str:
+    """CTEs f3 (ordered rows with run ids and prefix lengths) and pc (pieces)."""
+    from casestory.operators.prefixes import (DISCHARGE, EVENT_TEMPLATES, LIST_ACTIVITIES,
+                                              NUMERIC_COLUMNS)
+    from casestory.plans.bindings import stays_sql
+    lst = ", ".join(q(a) for a in LIST_ACTIVITIES)
+    val = " ".join(f"WHEN {q(a)} THEN {'name_etc2' if c == 'name_etc' else c}" for a, c in LIST_ACTIVITIES.items())
+    rend = " ".join(f"WHEN activity = {q(a)} THEN {_render_sql(t, set(NUMERIC_COLUMNS))}"
+                    for a, t in EVENT_TEMPLATES.items())
+    return f"""
+s AS {stays_sql()},
+f AS (SELECT *, lag(activity) OVER w AS prev_activity, lead(activity) OVER w AS next_act,
+        row_number() OVER w AS rn, min(timestamps) OVER (PARTITION BY stay_id) AS st,
+        lag(timestamps) OVER w AS prev_ts
+      FROM s WINDOW w AS (PARTITION BY stay_id ORDER BY timestamps, row_idx)),
+f2 AS (SELECT *, CASE WHEN prev_activity IS NOT DISTINCT FROM activity THEN 0 ELSE 1 END AS start_run,
+        CAST(trunc((epoch_us(timestamps) - epoch_us(st)) / 1000000.0) AS BIGINT) AS tsc,
+        coalesce(name || ' that is ' || etcdescription, 'N/A') AS name_etc2 FROM f),
+f3 AS (SELECT *, sum(start_run) OVER w AS run_id,
+         sum(CASE WHEN activity NOT IN ({lst}) OR start_run = 1 THEN 1 ELSE 0 END) OVER w AS prefix_len
+       FROM f2 WINDOW w AS (PARTITION BY stay_id ORDER BY timestamps, row_idx
+                            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+runs AS (SELECT stay_id, run_id, string_agg(coalesce(CASE activity {val} END, 'N/A'), ', '
+           ORDER BY timestamps, row_idx) AS run_list FROM f3 WHERE activity IN ({lst}) GROUP BY stay_id, run_id),
+em AS (SELECT f3.*, runs.run_list, CASE {rend} END AS tx FROM f3 LEFT JOIN runs USING (stay_id, run_id)
+       WHERE activity NOT IN ({lst}) OR start_run = 1),
+pc AS (SELECT stay_id, prefix_len, timestamps, row_idx, activity,
+         CASE WHEN activity = {q(DISCHARGE)} THEN tx || ' ' || run_list || '.'
+              WHEN activity IN ({lst}) THEN tx || ' ' || run_list || '. '
+              ELSE tx || '. ' END AS piece FROM em)"""
+
+
+def stay_features_sql() -> str:
+    return f"""WITH {stay_steps_sql()}
+SELECT stay_id, row_idx, CAST(rn - 1 AS BIGINT) AS row_position,
+  round(coalesce((epoch_us(timestamps) - epoch_us(prev_ts)) / 1e6, 0.0), 6) AS timesincelastevent,
+  tsc AS timesincecasestart, coalesce(next_act, 'Discharge from the ED') AS next_activity, name_etc2 AS name_etc
+FROM f2"""
+
+
+def pieces_sql() -> str:
+    return f"WITH {stay_steps_sql()}\nSELECT stay_id, CAST(prefix_len AS BIGINT) AS prefix_len, row_idx, piece FROM pc"
+
+
+def prefixes_sql() -> str:
+    return f"""WITH {stay_steps_sql()},
+lbl AS (SELECT DISTINCT stay_id, first_value(coalesce(disposition, 'N/A')) OVER
+          (PARTITION BY stay_id ORDER BY timestamps DESC, row_idx DESC) AS label FROM s)
+SELECT p.stay_id, CAST(p.prefix_len AS INTEGER) AS prefix_len,
+  string_agg(p.piece, '' ORDER BY p.prefix_len) OVER (PARTITION BY p.stay_id ORDER BY p.prefix_len
+     ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prefix_text, l.label
+FROM pc p JOIN lbl l USING (stay_id)"""
+
+
+def temporal_split_sql(share: float = 0.66) -> str:
+    from casestory.plans.bindings import stays_sql
+    return f"""WITH st AS (SELECT stay_id, min(timestamps) AS start FROM {stays_sql()} GROUP BY stay_id),
+p AS (SELECT *, row_number() OVER (ORDER BY start, stay_id) AS position, count(*) OVER () AS n FROM st)
+SELECT stay_id, start, CAST(position AS BIGINT) AS position,
+  CASE WHEN position <= floor({share} * n) THEN 'train' ELSE 'test' END AS split FROM p"""
