@@ -86,4 +86,5 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
         out = out.withColumn(rownum, F.col("__rn") + F.col("__off_n"))
     if keep_bucket:
         out = out.withColumn(keep_bucket, F.col(b))
-    return out.drop(*[c for c in out.columns if c.startswith("__")])
+    keep = set(df.columns) | set(lags) | set(leads) | set(cumsums) | {rownum, keep_bucket}
+    return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])

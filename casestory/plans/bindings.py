@@ -171,3 +171,40 @@ def stays_sql() -> str:
   16.0::DOUBLE AS resprate, 98.0::DOUBLE AS o2sat, 120.0::DOUBLE AS sbp, 80.0::DOUBLE AS dbp,
   CAST(event_id % 5 AS DOUBLE) AS acuity, event_id AS row_idx
 FROM events)"""
+
+
+# ------------------------------------------------------------ predictions and labels
+
+def binary_preds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Binary predictions: y_true = toxic, y_pred = 1 - quality, score = document length."""
+    lab = table(spark, sf_dir, "labels")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars")
+    return lab.join(docs, "doc_id", "left").select(
+        "doc_id", F.col("toxic").alias("y_true"), (1 - F.col("quality")).alias("y_pred"),
+        F.col("n_chars").cast("double").alias("score"))
+
+
+BINARY_PREDS_SQL = """(SELECT l.doc_id, l.toxic AS y_true, 1 - l.quality AS y_pred, CAST(d.n_chars AS DOUBLE) AS score
+  FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id)"""
+
+N_FOLDS = 5
+N_CLASSES = 10
+
+
+def fold_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Multi-class predictions of 5 "folds": fold f's logits are embedding[10f : 10f+10].
+
+    Columns: id, fold, logits array<double>, y_true.
+    """
+    e = table(spark, sf_dir, "embeddings")
+    folds = F.array(*[F.lit(f) for f in range(N_FOLDS)])
+    x = e.select("vec_id", "label", "embedding", F.explode(folds).alias("fold"))
+    return x.select(F.col("vec_id").alias("id"), F.col("fold").cast("int"),
+                    F.transform(F.slice("embedding", F.col("fold") * N_CLASSES + 1, N_CLASSES),
+                                lambda v: v.cast("double")).alias("logits"),
+                    F.col("label").alias("y_true"))
+
+
+FOLD_LOGITS_SQL = f"""(SELECT vec_id AS id, CAST(f AS INTEGER) AS fold,
+  CAST(embedding[f * {N_CLASSES} + 1 : f * {N_CLASSES} + {N_CLASSES}] AS DOUBLE[]) AS logits, label AS y_true
+  FROM embeddings, range({N_FOLDS}) t(f))"""

@@ -150,3 +150,154 @@ def q_temporal_split_rows(spark, sf):
         return d.agg(F.lit(name).alias("split"), F.count(F.lit(1)).alias("n_rows"),
                      F.countDistinct("stay_id").alias("n_stays"))
     return summ(tr, "train").unionByName(summ(te, "test"))
+
+
+# ------------------------------------------------------------------ T9-T12: tokens
+
+from casestory.operators import tokens as tk  # noqa: E402
+from casestory.plans.bindings import table  # noqa: E402
+
+
+def benchmark_dictionary(spark, sf):
+    """Phrase dictionary from ``benchmark``: key 'item N' -> the whole passage text."""
+    b = table(spark, sf, "benchmark")
+    return b.select(F.col("item_id").cast("int").alias("pos"),
+                    F.concat(F.lit("item "), F.col("item_id").cast("string")).alias("src"),
+                    F.col("text").alias("dst"))
+
+
+_BENCH_TOKENS_SQL = """(SELECT CAST(row_number() OVER (ORDER BY length(dst) DESC, first_pos) AS INTEGER) AS token_no,
+    printf('[CLIN_%03d]', row_number() OVER (ORDER BY length(dst) DESC, first_pos)) AS token,
+    dst AS phrase, src, CAST(length(dst) AS INTEGER) AS length, first_pos
+  FROM (SELECT text AS dst, CAST(min(item_id) AS INTEGER) AS first_pos,
+          arg_max('item ' || CAST(item_id AS VARCHAR), item_id) AS src FROM benchmark GROUP BY text))"""
+
+
+@register("token_dictionary", f"SELECT * FROM {_BENCH_TOKENS_SQL}")
+def q_token_dictionary(spark, sf):
+    """T9 on the benchmark passages."""
+    return tk.token_dictionary(benchmark_dictionary(spark, sf)).select(
+        F.col("token_no").cast("int"), "token", "phrase", "src", F.col("length").cast("int"), "first_pos")
+
+
+@register("token_replace", f"""WITH t AS {_BENCH_TOKENS_SQL},
+arr AS (SELECT list({{'p': phrase, 't': token}} ORDER BY token_no) AS l FROM t)
+SELECT d.doc_id, list_reduce(list_prepend({{'p': '', 't': ''}}, arr.l),
+  lambda acc, x: CASE WHEN x.p = '' THEN acc ELSE {{'p': replace(acc.p, x.p, x.t), 't': ''}} END,
+  {{'p': d.text, 't': ''}}).p AS text_tokens
+FROM documents d, arr""")
+def q_token_replace(spark, sf):
+    """Benchmark passages in the documents replaced by their tokens, longest first."""
+    toks = tk.token_dictionary(benchmark_dictionary(spark, sf))
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return tk.replace_with_tokens(docs, toks, "text", "text_tokens").select("doc_id", "text_tokens")
+
+
+@register("token_lookup", f"""WITH t AS {_BENCH_TOKENS_SQL}
+SELECT printf('[CLIN_%03d]', b.item_id) AS token, t.phrase AS interpretation
+FROM benchmark b LEFT JOIN t ON t.token = printf('[CLIN_%03d]', b.item_id)""")
+def q_token_lookup(spark, sf):
+    """Token -> phrase for the token names of every benchmark id (unknown -> null)."""
+    toks = tk.token_dictionary(benchmark_dictionary(spark, sf))
+    probe = table(spark, sf, "benchmark").select(F.format_string(tk.TOKEN_FORMAT, F.col("item_id")).alias("token"))
+    return tk.token_lookup(probe, toks).select("token", "interpretation")
+
+
+@register("token_summary", f"""WITH t AS {_BENCH_TOKENS_SQL}
+SELECT CAST(count(*) AS BIGINT) AS total_tokens, arg_min(phrase, (-length, token_no)) AS longest_procedure,
+  arg_min(phrase, (length, token_no)) AS shortest_procedure,
+  (SELECT string_agg(token || ': ' || phrase || ' (' || CAST(length AS VARCHAR) || ')', ' | ' ORDER BY token_no)
+     FROM (SELECT * FROM t ORDER BY token_no LIMIT 5)) AS examples,
+  CAST(count(*) AS VARCHAR) || '/' || (SELECT CAST(count(*) AS VARCHAR) FROM benchmark) || ' (100%)' AS coverage
+FROM t""")
+def q_token_summary(spark, sf):
+    """T12."""
+    d = benchmark_dictionary(spark, sf)
+    return tk.token_summary(tk.token_dictionary(d), d)
+
+
+@register("stories_tokens")
+def q_stories_tokens(spark, sf):
+    """T6 with T10: stories whose dictionary phrases are replaced by tokens (rows-only)."""
+    d = event_dictionary(spark)
+    return st.stories(events_log(spark, sf), d, "narrative", token_dict=tk.token_dictionary(d))
+
+
+# ------------------------------------------------------------------ D2-D5, J4: splits
+
+from casestory.operators import splits as sp  # noqa: E402
+
+
+def _emb(spark, sf):
+    return table(spark, sf, "embeddings").select("vec_id", "label")
+
+
+def _alloc_sql(take: str, src: str) -> str:
+    """Per-class take counts by largest remainder (integer arithmetic)."""
+    return f"""(WITH c AS (SELECT label, count(*) AS n_c FROM {src} GROUP BY label),
+t AS (SELECT *, sum(n_c) OVER () AS n, n_c * ({take}) AS num FROM c),
+u AS (SELECT *, num // n AS base, num % n AS rem FROM t),
+v AS (SELECT *, ({take}) - sum(base) OVER () AS lft, row_number() OVER (ORDER BY rem DESC, label) AS r FROM u)
+SELECT label, base + CASE WHEN r <= lft THEN 1 ELSE 0 END AS take FROM v)"""
+
+
+def _strat_sql(src: str, test_size: float, salt: str = "") -> str:
+    take = f"CAST(ceil((SELECT count(*) FROM {src}) * {test_size}) AS BIGINT)"
+    return f"""(SELECT r.vec_id, r.label, CASE WHEN r.rk <= a.take THEN 'test' ELSE 'train' END AS split FROM
+  (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42{salt}'), vec_id) AS rk
+   FROM {src}) r JOIN {_alloc_sql(take, src)} a USING (label))"""
+
+
+@register("stratified_split", f"SELECT * FROM {_strat_sql('embeddings', 0.2)}")
+def q_stratified_split(spark, sf):
+    """20 % test, stratified by label, seed 42."""
+    return sp.stratified_split(_emb(spark, sf), "vec_id", "label", 0.2, 42)
+
+
+@register("train_val_test_split", f"""WITH s1 AS {_strat_sql('embeddings', 0.2)},
+rest AS (SELECT vec_id, label FROM s1 WHERE split = 'train'),
+s2 AS {_strat_sql('rest', 0.1 / (1 - 0.2), 'v')}
+SELECT * FROM s1 WHERE split = 'test'
+UNION ALL SELECT vec_id, label, CASE WHEN split = 'test' THEN 'val' ELSE 'train' END FROM s2""")
+def q_train_val_test_split(spark, sf):
+    """D3: test 20 %, validation 10 %."""
+    return sp.train_val_test_split(_emb(spark, sf), "vec_id", "label", 0.2, 0.1, 42)
+
+
+@register("stratified_kfold", """SELECT vec_id, label, CAST((off + rk - 1) % 5 AS INTEGER) AS fold FROM
+  (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id) AS rk
+   FROM embeddings) r
+  JOIN (SELECT label, coalesce(sum(n_c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+        FROM (SELECT label, count(*) AS n_c FROM embeddings GROUP BY label)) o USING (label)""")
+def q_stratified_kfold(spark, sf):
+    """5 stratified folds."""
+    return sp.stratified_kfold(_emb(spark, sf), "vec_id", "label", 5, 42)
+
+
+@register("kfold_plain", """WITH r AS (SELECT vec_id, row_number() OVER (ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id) - 1 AS p,
+  count(*) OVER () AS n FROM embeddings),
+q AS (SELECT *, n // 5 AS q, n % 5 AS rem FROM r)
+SELECT vec_id, CAST(CASE WHEN p < (q + 1) * rem THEN p // (q + 1) ELSE rem + (p - (q + 1) * rem) // q END AS INTEGER) AS fold FROM q""")
+def q_kfold_plain(spark, sf):
+    """Plain shuffled 5-fold."""
+    return sp.kfold(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 5, True, 42)
+
+
+@register("kfold_union_train_val", """SELECT split, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT 'all' AS split FROM embeddings) GROUP BY split""")
+def q_kfold_union(spark, sf):
+    """Train and validation re-combined before k-fold (row count kept)."""
+    tvt = sp.train_val_test_split(_emb(spark, sf), "vec_id", "label", 0.2, 0.1, 42)
+    rest = tvt.filter(F.col("split") != "test").unionByName(tvt.filter(F.col("split") == "test"))
+    return rest.agg(F.lit("all").alias("split"), F.count(F.lit(1)).alias("n"))
+
+
+@register("label_encode", f"""WITH s AS {_strat_sql('embeddings', 0.2)},
+m AS (SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INTEGER) AS label_id
+      FROM (SELECT DISTINCT label FROM s WHERE split = 'train'))
+SELECT s.vec_id, s.split, m.label_id FROM s JOIN m USING (label)""")
+def q_label_encode(spark, sf):
+    """Train labels sorted -> 0..n-1, applied to train and test."""
+    s = sp.stratified_split(_emb(spark, sf), "vec_id", "label", 0.2, 42)
+    tr, te, _ = sp.encode_labels(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test"))
+    return tr.unionByName(te).select("vec_id", "split", "label_id")

@@ -220,3 +220,59 @@ def temporal_split_sql(share: float = 0.66) -> str:
 p AS (SELECT *, row_number() OVER (ORDER BY start, stay_id) AS position, count(*) OVER () AS n FROM st)
 SELECT stay_id, start, CAST(position AS BIGINT) AS position,
   CASE WHEN position <= floor({share} * n) THEN 'train' ELSE 'test' END AS split FROM p"""
+
+
+# ------------------------------------------------------------------ metrics
+
+def confusion_sql(preds: str) -> str:
+    return f"""(WITH p AS {preds},
+cm AS (SELECT y_true, y_pred, count(*) AS n FROM p GROUP BY y_true, y_pred),
+ls AS (SELECT y_true AS l FROM cm UNION SELECT y_pred FROM cm),
+grid AS (SELECT a.l AS y_true, b.l AS y_pred FROM ls a, ls b)
+SELECT g.y_true, g.y_pred, CAST(coalesce(cm.n, 0) AS BIGINT) AS n FROM grid g LEFT JOIN cm USING (y_true, y_pred))"""
+
+
+def per_class_sql(preds: str) -> str:
+    return f"""(WITH cm AS {confusion_sql(preds)},
+t AS (SELECT l.label, coalesce(tp.n, 0) AS tp, s.support, pr.predicted FROM
+  (SELECT DISTINCT y_true AS label FROM cm) l
+  LEFT JOIN (SELECT y_true AS label, n FROM cm WHERE y_true = y_pred) tp USING (label)
+  JOIN (SELECT y_true AS label, sum(n) AS support FROM cm GROUP BY 1) s USING (label)
+  JOIN (SELECT y_pred AS label, sum(n) AS predicted FROM cm GROUP BY 1) pr USING (label)),
+m AS (SELECT *, CASE WHEN predicted = 0 THEN 0.0 ELSE tp / predicted END AS precision,
+  CASE WHEN support = 0 THEN 0.0 ELSE tp / support END AS recall FROM t)
+SELECT label, precision, recall, CASE WHEN precision + recall = 0 THEN 0.0
+  ELSE 2 * precision * recall / (precision + recall) END AS f1, CAST(support AS BIGINT) AS support,
+  CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted FROM m)"""
+
+
+def summary_sql(preds: str, average: str = "binary") -> str:
+    if average == "binary":
+        p, r, f = ("max(CASE WHEN label = 1 THEN precision END)", "max(CASE WHEN label = 1 THEN recall END)",
+                   "max(CASE WHEN label = 1 THEN f1 END)")
+    elif average == "macro":
+        p, r, f = "avg(precision)", "avg(recall)", "avg(f1)"
+    else:
+        p, r, f = ("sum(precision * support) / sum(support)", "sum(recall * support) / sum(support)",
+                   "sum(f1 * support) / sum(support)")
+    return f"""WITH pc AS {per_class_sql(preds)},
+s AS (SELECT sum(tp) / sum(support) AS accuracy, avg(CASE WHEN support > 0 THEN recall END) AS balanced_accuracy,
+  coalesce({p}, 0.0) AS precision, coalesce({r}, 0.0) AS recall, coalesce({f}, 0.0) AS f1,
+  CAST(sum(tp) AS DOUBLE) AS c, CAST(sum(support) AS DOUBLE) AS s_, sum(CAST(predicted AS DOUBLE) * support) AS pt,
+  sum(CAST(predicted AS DOUBLE) ^ 2) AS pp, sum(CAST(support AS DOUBLE) ^ 2) AS tt, count(*) AS k,
+  max(CASE WHEN label = 1 THEN recall END) AS r1, max(CASE WHEN label = 0 THEN recall END) AS r0 FROM pc)
+SELECT accuracy, balanced_accuracy, precision, recall, f1,
+  CASE WHEN sqrt((s_ ^ 2 - pp) * (s_ ^ 2 - tt)) = 0 THEN 0.0 ELSE (c * s_ - pt) / sqrt((s_ ^ 2 - pp) * (s_ ^ 2 - tt)) END AS mcc,
+  CASE WHEN pt / s_ ^ 2 = 1 THEN 0.0 ELSE (c / s_ - pt / s_ ^ 2) / (1 - pt / s_ ^ 2) END AS cohen_kappa,
+  CASE WHEN k >= 2 THEN 0.7 * coalesce(r1, 0.0) + 0.3 * balanced_accuracy ELSE 0.0 END AS class1_focused_score,
+  CASE WHEN k >= 2 THEN coalesce(r1, 0.0) ELSE 0.0 END AS recall_class1,
+  CASE WHEN k >= 2 THEN coalesce(r0, 0.0) ELSE 0.0 END AS recall_class0 FROM s"""
+
+
+def softmax_sql(l: str) -> str:
+    return (f"list_transform({l}, lambda x: exp(x - list_max({l})) / "
+            f"list_sum(list_transform({l}, lambda y: exp(y - list_max({l})))))")
+
+
+def argmax_sql(l: str) -> str:
+    return f"CAST(list_position({l}, list_max({l})) - 1 AS INTEGER)"
