@@ -16,7 +16,11 @@ from pyspark.sql import functions as F
 
 from casestory.functions.seq import scan_by_key
 
-ALL = Window.partitionBy()  # over a k- or k^2-row table only
+
+
+def _all():
+    """Window over a whole k- or k^2-row table (class or confusion sized only)."""
+    return Window.partitionBy()
 
 
 def _div(a: Column, b: Column) -> Column:
@@ -32,10 +36,10 @@ def class_distribution(df: DataFrame, label_col: str = "label") -> DataFrame:
     top = counts.agg(F.max(label_col).alias("__k"))
     grid = top.select(F.explode(F.sequence(F.lit(0), F.col("__k"))).alias(label_col))
     c = grid.join(counts, label_col, "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
-    total = F.sum("count").over(ALL)
+    total = F.sum("count").over(_all())
     return c.select(label_col, "count",
                     (F.col("count") / total * 100).alias("percentage"),
-                    (F.max("count").over(ALL) / F.greatest(F.col("count"), F.lit(1))).alias("imbalance_ratio"))
+                    (F.max("count").over(_all()) / F.greatest(F.col("count"), F.lit(1))).alias("imbalance_ratio"))
 
 
 def class_weights(df: DataFrame, label_col: str = "label", method: str = "balanced",
@@ -54,13 +58,13 @@ def class_weights(df: DataFrame, label_col: str = "label", method: str = "balanc
     else:
         raise ValueError(f"method {method!r} not supported: use 'balanced' or 'sqrt'")
     g = g.withColumn("__w", raw)
-    return g.select(label_col, (F.col("__w") * F.col("__k") / F.sum("__w").over(ALL)).alias("weight"))
+    return g.select(label_col, (F.col("__w") * F.col("__k") / F.sum("__w").over(_all())).alias("weight"))
 
 
 def class_weights_present(df: DataFrame, label_col: str = "label") -> DataFrame:
     """N / (classes present * count) for classes 0 and 1; 1.0 for an absent one."""
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("c"))
-    w = counts.select(label_col, (F.sum("c").over(ALL) / (F.count(F.lit(1)).over(ALL) * F.col("c"))).alias("w"))
+    w = counts.select(label_col, (F.sum("c").over(_all()) / (F.count(F.lit(1)).over(_all()) * F.col("c"))).alias("w"))
     grid = df.sparkSession.range(2).select(F.col("id").cast("int").alias(label_col))
     return grid.join(w, label_col, "left").select(label_col, F.coalesce("w", F.lit(1.0)).alias("weight"))
 

@@ -301,3 +301,191 @@ def q_label_encode(spark, sf):
     s = sp.stratified_split(_emb(spark, sf), "vec_id", "label", 0.2, 42)
     tr, te, _ = sp.encode_labels(s.filter(F.col("split") == "train"), s.filter(F.col("split") == "test"))
     return tr.unionByName(te).select("vec_id", "split", "label_id")
+
+
+# ------------------------------------------------------------------ A2-A15, M3: metrics
+
+from casestory.operators import metrics as mt  # noqa: E402
+from casestory.plans.bindings import (BINARY_PREDS_SQL, FOLD_LOGITS_SQL, binary_preds,  # noqa: E402
+                                      fold_logits)
+
+_MULTI_SQL = f"(SELECT id, y_true, {O.argmax_sql('logits')} AS y_pred FROM {FOLD_LOGITS_SQL} WHERE fold = 0)"
+
+
+def _multi(spark, sf):
+    """Fold-0 multi-class predictions: argmax of the logits (M3)."""
+    return fold_logits(spark, sf).filter(F.col("fold") == 0).select(
+        "id", "y_true", mt.argmax(F.col("logits")).alias("y_pred"))
+
+
+def _r6(df):
+    return df.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+@register("class_distribution", """WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY label),
+g AS (SELECT CAST(range AS INTEGER) AS label FROM range(0, (SELECT max(label) + 1 FROM embeddings)))
+SELECT g.label, CAST(coalesce(c.n, 0) AS BIGINT) AS count,
+  round(coalesce(c.n, 0) / sum(coalesce(c.n, 0)) OVER () * 100, 6) AS percentage,
+  round(max(coalesce(c.n, 0)) OVER () / greatest(coalesce(c.n, 0), 1), 6) AS imbalance_ratio
+FROM g LEFT JOIN c USING (label)""")
+def q_class_distribution(spark, sf):
+    """A2 on the embedding labels (10 classes)."""
+    return _r6(mt.class_distribution(_emb(spark, sf)))
+
+
+def _weights_sql(method):
+    raw = "n / (k * c)" if method == "balanced" else "sqrt(n / c)"
+    return f"""WITH s AS (SELECT count(*) AS n, max(label) + 1 AS k FROM embeddings),
+g AS (SELECT CAST(range AS INTEGER) AS label FROM range(0, (SELECT k FROM s))),
+c AS (SELECT label, count(*) AS c FROM embeddings GROUP BY label),
+w AS (SELECT g.label, greatest(coalesce(c.c, 0), 1) AS c, s.n, s.k FROM g LEFT JOIN c USING (label), s),
+r AS (SELECT label, {raw} AS w, k FROM w)
+SELECT label, round(w * k / sum(w) OVER (), 6) AS weight FROM r"""
+
+
+@register("class_weights_balanced", _weights_sql("balanced"))
+def q_class_weights_balanced(spark, sf):
+    """A3 balanced."""
+    return _r6(mt.class_weights(_emb(spark, sf), "label", "balanced"))
+
+
+@register("class_weights_sqrt", _weights_sql("sqrt"))
+def q_class_weights_sqrt(spark, sf):
+    """A3 sqrt."""
+    return _r6(mt.class_weights(_emb(spark, sf), "label", "sqrt"))
+
+
+@register("class_weights_present", """WITH c AS (SELECT toxic AS label, count(*) AS c FROM labels GROUP BY toxic),
+w AS (SELECT label, sum(c) OVER () / (count(*) OVER () * c) AS w FROM c)
+SELECT CAST(g.range AS INTEGER) AS label, round(coalesce(w.w, 1.0), 6) AS weight FROM range(2) g LEFT JOIN w ON w.label = g.range""")
+def q_class_weights_present(spark, sf):
+    """A3b on the toxic labels."""
+    return _r6(mt.class_weights_present(table(spark, sf, "labels").select(F.col("toxic").alias("label"))))
+
+
+@register("confusion_binary", f"SELECT * FROM {O.confusion_sql(BINARY_PREDS_SQL)}")
+def q_confusion_binary(spark, sf):
+    """A4 on binary predictions."""
+    return mt.confusion(binary_preds(spark, sf))
+
+
+@register("confusion_multiclass", f"SELECT * FROM {O.confusion_sql(_MULTI_SQL)}")
+def q_confusion_multiclass(spark, sf):
+    """A4 on 10-class predictions."""
+    return mt.confusion(_multi(spark, sf))
+
+
+@register("per_class_metrics", f"SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, "
+          f"round(f1, 6) AS f1, support FROM {O.per_class_sql(_MULTI_SQL)}")
+def q_per_class_metrics(spark, sf):
+    """A6 per-class precision/recall/F1/support."""
+    return _r6(mt.per_class(mt.confusion(_multi(spark, sf))).select("label", "precision", "recall", "f1", "support"))
+
+
+for _avg, _src in (("binary", "binary"), ("macro", "multi"), ("weighted", "multi")):
+    def _mk(avg=_avg, src=_src):
+        def fn(spark, sf):
+            p = binary_preds(spark, sf) if src == "binary" else _multi(spark, sf)
+            return _r6(mt.summary_metrics(mt.confusion(p), avg))
+        fn.__doc__ = f"A5 A8 A10 with average={avg}"
+        return fn
+    _sql = O.summary_sql(BINARY_PREDS_SQL if _src == "binary" else _MULTI_SQL, _avg)
+    _cols = ["accuracy", "balanced_accuracy", "precision", "recall", "f1", "mcc", "cohen_kappa",
+             "class1_focused_score", "recall_class1", "recall_class0"]
+    register(f"metrics_{_avg}", "SELECT " + ", ".join(f"round({c}, 6) AS {c}" for c in _cols)
+             + f" FROM ({_sql})")(_mk())
+
+
+@register("classification_report", f"""WITH pc AS {O.per_class_sql(_MULTI_SQL)}
+SELECT CAST(label AS VARCHAR) AS row, label AS ord, round(precision, 4) AS precision, round(recall, 4) AS recall,
+  round(f1, 4) AS f1, support FROM pc
+UNION ALL SELECT 'accuracy', 1000001, NULL, NULL, round(sum(tp) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM pc
+UNION ALL SELECT 'macro avg', 1000002, round(avg(precision), 4), round(avg(recall), 4), round(avg(f1), 4), CAST(sum(support) AS BIGINT) FROM pc
+UNION ALL SELECT 'weighted avg', 1000003, round(sum(precision * support) / sum(support), 4),
+  round(sum(recall * support) / sum(support), 4), round(sum(f1 * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM pc""")
+def q_classification_report(spark, sf):
+    """Report rows rounded to 4 digits."""
+    return mt.classification_report(mt.confusion(_multi(spark, sf)))
+
+
+@register("roc_auc", f"""WITH p AS {BINARY_PREDS_SQL},
+g AS (SELECT score, sum(CASE WHEN y_true = 1 THEN 1 ELSE 0 END) AS pos, sum(CASE WHEN y_true <> 1 THEN 1 ELSE 0 END) AS neg
+      FROM p GROUP BY score),
+c AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY score ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT round(CASE WHEN sum(pos) = 0 OR sum(neg) = 0 THEN NULL ELSE sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) END, 6) AS auc_roc FROM c""")
+def q_roc_auc(spark, sf):
+    """Exact AUC of document length as a score for the toxic label."""
+    return _r6(mt.roc_auc(binary_preds(spark, sf)))
+
+
+@register("plain_accuracy", f"""SELECT CAST(sum(CASE WHEN y_true = y_pred THEN 1 ELSE 0 END) AS BIGINT) AS correct,
+  CAST(count(*) AS BIGINT) AS total, round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy FROM {_MULTI_SQL}""")
+def q_plain_accuracy(spark, sf):
+    """A12."""
+    return _r6(mt.plain_accuracy(_multi(spark, sf)))
+
+
+@register("softmax_argmax", f"""SELECT id, fold, {O.argmax_sql('logits')} AS y_pred,
+  round(list_max({O.softmax_sql('logits')}), 6) AS p_max,
+  round(list_sum({O.softmax_sql('logits')}), 6) AS p_sum FROM {FOLD_LOGITS_SQL}""")
+def q_softmax_argmax(spark, sf):
+    """M3: probabilities (max and sum shown) and argmax per fold row."""
+    fl = fold_logits(spark, sf).withColumn("p", mt.softmax(F.col("logits")))
+    return _r6(fl.select("id", "fold", mt.argmax(F.col("logits")).alias("y_pred"),
+                         F.array_max("p").alias("p_max"),
+                         F.aggregate("p", F.lit(0.0), lambda a, x: a + x).alias("p_sum")))
+
+
+def _focal_sql(alpha_list, clamp=True, reduction="mean"):
+    p = f"{O.softmax_sql('logits')}[y_true + 1]"
+    pt = f"least(greatest({p}, 1e-8), 1.0)" if clamp else p
+    a = "1.0" if alpha_list is None else "[" + ", ".join(str(float(x)) for x in alpha_list) + "][y_true + 1]"
+    loss = f"-({a}) * pow(1 - {pt}, 2.0) * ln({pt})"
+    agg = "avg" if reduction == "mean" else "sum"
+    return f"SELECT round({agg}({loss}), 6) AS loss FROM {FOLD_LOGITS_SQL} WHERE fold = 0"
+
+
+@register("focal_loss_mean", _focal_sql(None))
+def q_focal_loss_mean(spark, sf):
+    """Focal loss, gamma 2, no alpha, mean."""
+    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    return _r6(mt.focal_loss(fl, alpha=None, gamma=2.0, reduction="mean"))
+
+
+@register("focal_loss_alpha_sum", _focal_sql([0.05 * (i + 1) for i in range(10)], True, "sum"))
+def q_focal_loss_alpha_sum(spark, sf):
+    """Focal loss with a per-class alpha list, sum."""
+    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    return _r6(mt.focal_loss(fl, alpha=[0.05 * (i + 1) for i in range(10)], gamma=2.0, reduction="sum"))
+
+
+@register("focal_loss_binary_ce", f"""SELECT round(avg(-([0.25, 0.75][y_true + 1]) * pow(1 - p, 2.0) * ln(p)), 6) AS loss FROM
+  (SELECT toxic AS y_true, {O.softmax_sql("[0.0, CAST(n_chars AS DOUBLE) / 1000.0]")}[toxic + 1] AS p
+   FROM labels JOIN documents USING (doc_id))""")
+def q_focal_loss_binary_ce(spark, sf):
+    """Cross-entropy form, alpha [0.25, 0.75], logits [0, length/1000]."""
+    d = table(spark, sf, "labels").join(table(spark, sf, "documents"), "doc_id").select(
+        F.col("toxic").alias("y_true"),
+        F.array(F.lit(0.0), F.col("n_chars").cast("double") / 1000.0).alias("logits"))
+    return _r6(mt.focal_loss(d, alpha=[0.25, 0.75], gamma=2.0, reduction="mean", clamp=False))
+
+
+@register("weighted_cross_entropy", f"""WITH w AS ({_weights_sql('balanced').replace('round(w * k / sum(w) OVER (), 6)', 'w * k / sum(w) OVER ()')}),
+f AS (SELECT y_true, -ln({O.softmax_sql('logits')}[y_true + 1]) AS nll FROM {FOLD_LOGITS_SQL} WHERE fold = 0)
+SELECT round(sum(w.weight * f.nll) / sum(w.weight), 6) AS loss FROM f JOIN w ON w.label = f.y_true""")
+def q_weighted_cross_entropy(spark, sf):
+    """A14 with A3 balanced weights."""
+    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    w = mt.class_weights(_emb(spark, sf), "label", "balanced")
+    return _r6(mt.weighted_cross_entropy(fl, w))
+
+
+@register("epoch_loss", """SELECT run, fold, epoch, round(avg(bm), 4) AS epoch_loss FROM
+  (SELECT user_id % 10 AS run, 0 AS fold, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch,
+          avg(value) AS bm FROM events GROUP BY ALL) GROUP BY run, fold, epoch""")
+def q_epoch_loss(spark, sf):
+    """Mean of batch means (runs = user_id mod 10, epoch = day, batch = hour, loss = value)."""
+    e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("run"), F.lit(0).alias("fold"),
+                                          F.dayofmonth("ts").alias("epoch"), F.hour("ts").alias("batch"),
+                                          F.col("value").alias("loss"))
+    return mt.epoch_loss(e).withColumn("epoch_loss", F.round("epoch_loss", 4))  # 4: sum-order noise
