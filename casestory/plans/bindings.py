@@ -208,3 +208,12 @@ def fold_logits(spark: SparkSession, sf_dir: str) -> DataFrame:
 FOLD_LOGITS_SQL = f"""(SELECT vec_id AS id, CAST(f AS INTEGER) AS fold,
   CAST(embedding[f * {N_CLASSES} + 1 : f * {N_CLASSES} + {N_CLASSES}] AS DOUBLE[]) AS logits, label AS y_true
   FROM embeddings, range({N_FOLDS}) t(f))"""
+
+
+def orders_log_sql() -> str:
+    return """(SELECT CAST(l.l_orderkey AS VARCHAR) AS case_id, CAST(l.l_linenumber AS BIGINT) AS event_idx,
+  'line ' || l.l_returnflag || l.l_linestatus AS activity, l.l_shipdate AS ts,
+  CAST(CASE WHEN o.o_orderstatus = 'F' THEN 1 WHEN o.o_orderstatus = 'O' THEN 0 END AS INTEGER) AS class_label,
+  CAST(NULL AS VARCHAR) AS age_range, CAST(NULL AS INTEGER) AS age,
+  CASE WHEN starts_with(o.o_orderpriority, '1') THEN 'M' ELSE 'F' END AS gender
+FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)"""

@@ -489,3 +489,14 @@ def q_epoch_loss(spark, sf):
                                           F.dayofmonth("ts").alias("epoch"), F.hour("ts").alias("batch"),
                                           F.col("value").alias("loss"))
     return mt.epoch_loss(e).withColumn("epoch_loss", F.round("epoch_loss", 4))  # 4: sum-order noise
+
+
+# ------------------------------------------------------------------ E1 on the order log
+
+from casestory.plans.bindings import orders_log, orders_log_sql  # noqa: E402
+
+
+@register("stories_orders", O.stories_sql("narrative", orders_log_sql()))
+def q_stories_orders(spark, sf):
+    """E1 on lineitem x orders: one story per order, one event per shipped line."""
+    return st.stories(orders_log(spark, sf), event_dictionary(spark), "narrative", bucket_seconds=30 * 86400)

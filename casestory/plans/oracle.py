@@ -131,7 +131,7 @@ def stories_sql(style: str = "narrative", log: str | None = None) -> str:
     text = narrative_sql("delta", "items", "n") if style == "narrative" else bullet_sql("delta", "items", "n")
     return f"""
 WITH ph AS {ph},
-g AS (SELECT case_id, ts, list(phrase ORDER BY event_idx) AS items, count(*) AS n FROM ph GROUP BY case_id, ts),
+g AS (SELECT case_id, ts, list(phrase ORDER BY event_idx, phrase) AS items, count(*) AS n FROM ph GROUP BY case_id, ts),
 g2 AS (SELECT *, coalesce({delta_sql('lag(ts) OVER (PARTITION BY case_id ORDER BY ts)', 'ts')}, 0) AS delta FROM g),
 s AS (SELECT case_id, ts, {text} AS t FROM g2),
 body AS (SELECT case_id, string_agg(t, {sep} ORDER BY ts) AS body FROM s GROUP BY case_id),
