@@ -217,3 +217,19 @@ def orders_log_sql() -> str:
   CAST(NULL AS VARCHAR) AS age_range, CAST(NULL AS INTEGER) AS age,
   CASE WHEN starts_with(o.o_orderpriority, '1') THEN 'M' ELSE 'F' END AS gender
 FROM lineitem l JOIN orders o ON o.o_orderkey = l.l_orderkey)"""
+
+
+def epoch_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Epoch histories from ``events``: run = user_id mod 10, fold = day of month mod 5,
+    epoch = hour of day; losses from exact per-epoch minima/maxima of ``value``."""
+    e = table(spark, sf_dir, "events")
+    g = e.groupBy((F.col("user_id") % 10).cast("int").alias("run"),
+                  (F.dayofmonth("ts") % 5).cast("int").alias("fold"),
+                  F.hour("ts").cast("int").alias("epoch"))
+    return g.agg((F.min("value") / 10.0).alias("val_loss"), (F.max("value") / 100.0).alias("train_loss"),
+                 (1 - F.min("value") / 50.0).alias("balanced_accuracy"))
+
+
+EPOCH_HISTORY_SQL = """(SELECT CAST(user_id % 10 AS INTEGER) AS run, CAST(dayofmonth(ts) % 5 AS INTEGER) AS fold,
+  CAST(hour(ts) AS INTEGER) AS epoch, min(value) / 10.0 AS val_loss, max(value) / 100.0 AS train_loss,
+  1 - min(value) / 50.0 AS balanced_accuracy FROM events GROUP BY ALL)"""

@@ -500,3 +500,94 @@ from casestory.plans.bindings import orders_log, orders_log_sql  # noqa: E402
 def q_stories_orders(spark, sf):
     """E1 on lineitem x orders: one story per order, one event per shipped line."""
     return st.stories(orders_log(spark, sf), event_dictionary(spark), "narrative", bucket_seconds=30 * 86400)
+
+
+# ------------------------------------------------------------------ W13-W15, A11, M10
+
+from casestory.operators import history as hs  # noqa: E402
+from casestory.plans.bindings import EPOCH_HISTORY_SQL, epoch_history  # noqa: E402
+
+
+@register("best_so_far", f"""WITH h AS {EPOCH_HISTORY_SQL},
+p AS (SELECT *, max(balanced_accuracy) OVER (PARTITION BY run, fold ORDER BY epoch
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pb FROM h),
+q AS (SELECT *, coalesce(balanced_accuracy > pb, true) AS improved,
+        max(balanced_accuracy) OVER (PARTITION BY run, fold) AS best_value FROM p)
+SELECT run, fold, epoch, improved, round(CASE WHEN improved AND pb IS NOT NULL THEN balanced_accuracy - pb END, 6) AS delta,
+  round(best_value, 6) AS best_value,
+  min(CASE WHEN balanced_accuracy = best_value THEN epoch END) OVER (PARTITION BY run, fold) AS best_epoch,
+  CAST(sum(CAST(improved AS INTEGER)) OVER (PARTITION BY run, fold) AS BIGINT) AS n_updates FROM q""")
+def q_best_so_far(spark, sf):
+    """W13 on balanced accuracy (mode max)."""
+    b = hs.best_so_far(epoch_history(spark, sf), "balanced_accuracy", "max")
+    return b.select("run", "fold", "epoch", "improved", F.round("delta", 6).alias("delta"),
+                    F.round("best_value", 6).alias("best_value"), "best_epoch", F.col("n_updates").cast("long"))
+
+
+def _es_sql(patience=3, min_delta=0.01, thr=1.15, rp=3):
+    return f"""WITH h AS {EPOCH_HISTORY_SQL},
+g AS (SELECT run, fold, list({{'epoch': epoch, 'v': val_loss, 't': train_loss}} ORDER BY epoch) AS l FROM h GROUP BY run, fold),
+r AS (SELECT run, fold, list_reduce(l, lambda s, x: CASE WHEN s.stopped THEN s ELSE (
+  WITH_PLACEHOLDER) END,
+  {{'best': CAST('inf' AS DOUBLE), 'best_epoch': -1, 'wait': 0, 'viol': 0, 'trigger': -1, 'stopped': false,
+    'reason': CAST(NULL AS VARCHAR), 'n': 0}}) AS s FROM g)
+SELECT run, fold, s.stopped AS stopped, s.trigger AS trigger_epoch, round(s.best, 6) AS best_val_loss,
+  s.best_epoch AS best_epoch, s.wait AS wait_count, s.viol AS ratio_violations, s.reason AS reason, s.n AS epochs_seen,
+  CASE WHEN NOT s.stopped THEN NULL WHEN s.best_epoch >= 0 THEN s.best_epoch ELSE greatest(0, s.trigger - {patience} + 1) END
+    AS restored_epoch FROM r"""
+
+
+def _es_step(patience=3, min_delta=0.01, thr=1.15, rp=3):
+    imp = f"(x.v < s.best - {min_delta})"
+    wait = f"(CASE WHEN {imp} THEN 0 ELSE s.wait + 1 END)"
+    viol0 = f"(CASE WHEN {imp} THEN 0 ELSE s.viol END)"
+    ratio = "(CASE WHEN x.v > 0 THEN x.t / x.v ELSE 0.0 END)"
+    viol = f"(CASE WHEN x.t IS NULL THEN {viol0} WHEN {ratio} < {thr} THEN 0 ELSE {viol0} + 1 END)"
+    stop = f"({wait} >= {patience} OR {viol} >= {rp})"
+    return (f"{{'best': CASE WHEN {imp} THEN x.v ELSE s.best END, "
+            f"'best_epoch': CASE WHEN {imp} THEN x.epoch ELSE s.best_epoch END, 'wait': {wait}, 'viol': {viol}, "
+            f"'trigger': CASE WHEN {stop} THEN x.epoch ELSE -1 END, 'stopped': {stop}, "
+            f"'reason': CASE WHEN {wait} >= {patience} THEN 'patience' WHEN {viol} >= {rp} THEN 'loss_ratio' END, "
+            f"'n': s.n + 1}}")
+
+
+@register("early_stopping", _es_sql().replace("WITH_PLACEHOLDER", _es_step()))
+def q_early_stopping(spark, sf):
+    """W14 + W15: patience 3, min delta 0.01, loss-ratio rule 1.15 / 3."""
+    r = hs.early_stopping(epoch_history(spark, sf), patience=3, min_delta=0.01, use_loss_ratio=True,
+                          loss_ratio_threshold=1.15, loss_ratio_patience=3)
+    return r.withColumn("best_val_loss", F.round("best_val_loss", 6))
+
+
+@register("early_stopping_v2")
+def q_early_stopping_v2(spark, sf):
+    """Min mode with the val/train ratio rule (rows-only check)."""
+    return hs.early_stopping_v2(epoch_history(spark, sf), patience=3, min_delta=0.01, use_loss_ratio=True,
+                                loss_ratio_threshold=1.15, loss_ratio_patience=2)
+
+
+_FOLD_METRICS_SQL = f"""(SELECT fold, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
+  CAST(count(*) AS BIGINT) AS n_val FROM (SELECT id, fold, y_true, {O.argmax_sql('logits')} AS y_pred FROM {FOLD_LOGITS_SQL})
+  GROUP BY fold)"""
+
+
+def _fold_metrics(spark, sf):
+    fl = fold_logits(spark, sf).withColumn("y_pred", mt.argmax(F.col("logits")))
+    return fl.groupBy("fold").agg(F.avg((F.col("y_true") == F.col("y_pred")).cast("double")).alias("accuracy"),
+                                  F.count(F.lit(1)).alias("n_val"))
+
+
+@register("kfold_aggregate", f"""WITH f AS {_FOLD_METRICS_SQL},
+l AS (SELECT 'accuracy' AS metric, accuracy AS value FROM f UNION ALL SELECT 'n_val', CAST(n_val AS DOUBLE) FROM f)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min,
+  round(max(value), 6) AS max FROM l GROUP BY metric""")
+def q_kfold_aggregate(spark, sf):
+    """Mean / population std / min / max of the per-fold metrics."""
+    return _r6(hs.kfold_aggregate(_fold_metrics(spark, sf)))
+
+
+@register("best_fold", f"""SELECT arg_max(fold, (accuracy, -fold)) AS best_fold, round(max(accuracy), 6) AS best_value
+  FROM {_FOLD_METRICS_SQL}""")
+def q_best_fold(spark, sf):
+    """Best fold by accuracy, lowest fold on ties."""
+    return _r6(hs.best_fold(_fold_metrics(spark, sf), "accuracy"))
