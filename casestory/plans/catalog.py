@@ -591,3 +591,66 @@ def q_kfold_aggregate(spark, sf):
 def q_best_fold(spark, sf):
     """Best fold by accuracy, lowest fold on ties."""
     return _r6(hs.best_fold(_fold_metrics(spark, sf), "accuracy"))
+
+
+# ------------------------------------------------------------------ M6-M9: ensembles
+
+from casestory.operators import ensemble as en  # noqa: E402
+
+_LONG_SQL = f"""(SELECT id, fold, CAST(c.i - 1 AS INTEGER) AS class, p[c.i] AS p FROM
+  (SELECT id, fold, {O.softmax_sql('logits')} AS p FROM {FOLD_LOGITS_SQL}) t, range(1, {10 + 1}) c(i))"""
+
+
+@register("ensemble_predict", f"""WITH l AS {_LONG_SQL},
+m AS (SELECT id, class, avg(p) AS p_mean FROM l GROUP BY id, class),
+b AS (SELECT id, arg_max(class, (p_mean, -class)) AS y_pred, max(p_mean) AS p_max FROM m GROUP BY id)
+SELECT m.id, m.class, round(m.p_mean, 6) AS p_mean, b.y_pred, round(b.p_max, 6) AS p_max FROM m JOIN b USING (id)""")
+def q_ensemble_predict(spark, sf):
+    """M6: mean of the 5 folds' class probabilities, argmax."""
+    return _r6(en.ensemble_predict(en.long_probs(fold_logits(spark, sf))))
+
+
+@register("ensemble_accuracy", f"""WITH l AS {_LONG_SQL},
+m AS (SELECT id, class, avg(p) AS p_mean FROM l GROUP BY id, class),
+b AS (SELECT id, arg_max(class, (p_mean, -class)) AS y_pred FROM m GROUP BY id)
+SELECT CAST(sum(CASE WHEN e.label = b.y_pred THEN 1 ELSE 0 END) AS BIGINT) AS correct, CAST(count(*) AS BIGINT) AS total,
+  round(avg(CASE WHEN e.label = b.y_pred THEN 1.0 ELSE 0.0 END), 6) AS accuracy
+FROM b JOIN embeddings e ON e.vec_id = b.id""")
+def q_ensemble_accuracy(spark, sf):
+    """M6 + A12: ensemble predictions scored against the labels."""
+    e = en.ensemble_predict(en.long_probs(fold_logits(spark, sf))).select("id", "y_pred").distinct()
+    y = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("y_true"))
+    return _r6(mt.plain_accuracy(e.join(y, "id")))
+
+
+@register("best_fold_predict", f"""WITH l AS {_LONG_SQL}, f AS {_FOLD_METRICS_SQL},
+bf AS (SELECT arg_max(fold, (accuracy, -fold)) AS fold FROM f)
+SELECT id, arg_max(class, (p, -class)) AS y_pred, round(max(p), 6) AS p_max FROM l JOIN bf USING (fold) GROUP BY id""")
+def q_best_fold_predict(spark, sf):
+    """M7: predictions of the best fold (M10) only."""
+    probs = en.long_probs(fold_logits(spark, sf))
+    return _r6(en.best_fold_predict(probs, hs.best_fold(_fold_metrics(spark, sf), "accuracy")))
+
+
+@register("discover_folds", """SELECT CAST(count(DISTINCT f) AS BIGINT) AS n_folds,
+  array_to_string(list_sort(list(DISTINCT CAST(f AS INTEGER))), ',') AS folds FROM
+  (SELECT regexp_extract(name, '_fold(\\d+)\\.', 1) AS f FROM
+    (SELECT 'narrativo_bert_fold' || CAST(vec_id % 5 AS VARCHAR) || '.pth' AS name FROM embeddings
+     UNION ALL SELECT 'narrativo_bert_final.pth' FROM embeddings WHERE vec_id % 97 = 0)) WHERE f <> ''""")
+def q_discover_folds(spark, sf):
+    """M8: fold numbers parsed from artefact names (one per row of the prediction table)."""
+    e = table(spark, sf, "embeddings")
+    names = e.select(F.concat(F.lit("narrativo_bert_fold"), (F.col("vec_id") % 5).cast("string"),
+                              F.lit(".pth")).alias("name")).unionByName(
+        e.filter(F.col("vec_id") % 97 == 0).select(F.lit("narrativo_bert_final.pth").alias("name")))
+    return en.discover_folds(names)
+
+
+@register("fold_metrics_placeholder", f"""WITH f AS {_FOLD_METRICS_SQL}
+SELECT CAST(g.range AS INTEGER) AS fold, round(coalesce(f.accuracy, 0.0), 6) AS best_value
+FROM range(7) g LEFT JOIN (SELECT * FROM f WHERE fold <> 2) f ON f.fold = g.range""")
+def q_fold_metrics_placeholder(spark, sf):
+    """M9: folds 0..6 with metrics where present (fold 2's are withheld), 0.0 otherwise."""
+    folds = spark.range(7).select(F.col("id").cast("int").alias("fold"))
+    m = _fold_metrics(spark, sf).filter(F.col("fold") != 2).select("fold", F.col("accuracy").alias("best_value"))
+    return _r6(en.fold_metrics_with_placeholders(folds, m))
