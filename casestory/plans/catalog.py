@@ -654,3 +654,161 @@ def q_fold_metrics_placeholder(spark, sf):
     folds = spark.range(7).select(F.col("id").cast("int").alias("fold"))
     m = _fold_metrics(spark, sf).filter(F.col("fold") != 2).select("fold", F.col("accuracy").alias("best_value"))
     return _r6(en.fold_metrics_with_placeholders(folds, m))
+
+
+# ------------------------------------------------------------------ M1, X1-X11: attribution
+
+from casestory.operators import attribute as at  # noqa: E402
+
+BIAS = [0.0625, -0.0625]
+N_STEPS = 50
+
+
+def _labelled_docs(spark, sf):
+    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", "text")
+
+
+def _tw(spark, sf, fold=0):
+    tk_ = at.wordpiece_tokens(_labelled_docs(spark, sf))
+    return tk_.withColumn("w", at.token_weights_expr(F.col("token"), fold))
+
+
+_TOKENS_SQL = """(WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+w AS (SELECT doc_id, wpos, word FROM (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS word,
+        unnest(range(len(regexp_split_to_array(trim(text), '\\s+')))) AS wpos FROM d) WHERE word <> ''),
+p AS (SELECT doc_id, wpos, pp, CASE WHEN pp = 0 THEN substr(word, 1, 4) ELSE '##' || substr(word, pp * 4 + 1, 4) END AS token
+      FROM (SELECT *, unnest(range(CAST(greatest(ceil(length(word) / 4), 1) AS BIGINT))) AS pp FROM w)),
+b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY wpos, pp) AS pos, token FROM p)
+SELECT doc_id, CAST(0 AS BIGINT) AS pos, '[CLS]' AS token FROM d
+UNION ALL SELECT doc_id, max(pos) + 1, '[SEP]' FROM b GROUP BY doc_id
+UNION ALL SELECT doc_id, pos, token FROM b)"""
+
+_TW_SQL = f"""(SELECT *, ((ascii(token) + 3 * length(token)) % 17 - 8) / 8.0 AS w0,
+  ((ascii(token) * 3 + length(token)) % 19 - 9) / 8.0 AS w1 FROM {_TOKENS_SQL})"""
+
+_PATH_SQL = f"""(WITH s AS (SELECT doc_id, sum(w0) AS s0, sum(w1) AS s1 FROM {_TW_SQL} GROUP BY doc_id),
+t AS (SELECT *, CASE WHEN {BIAS[1]} + s1 > {BIAS[0]} + s0 THEN 1 ELSE 0 END AS target FROM s),
+st AS (SELECT t.*, r.j, CASE WHEN r.j = 0 OR r.j = {N_STEPS} THEN 0.5 ELSE 1.0 END AS tw,
+         {BIAS[0]} + (r.j / {N_STEPS}) * s0 AS z0, {BIAS[1]} + (r.j / {N_STEPS}) * s1 AS z1
+       FROM t, range(0, {N_STEPS} + 1) r(j)),
+pr AS (SELECT *, exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p0 FROM st),
+pq AS (SELECT *, 1 - p0 AS p1x, exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p1
+       FROM pr),
+m AS (SELECT doc_id, s0, s1, target,
+        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) - p0)) / {N_STEPS} AS m0,
+        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 1 THEN 1.0 ELSE 0.0 END) - p1)) / {N_STEPS} AS m1,
+        max(CASE WHEN j = {N_STEPS} THEN (CASE WHEN target = 0 THEN p0 ELSE p1 END) END) AS f_x,
+        max(CASE WHEN j = 0 THEN (CASE WHEN target = 0 THEN p0 ELSE p1 END) END) AS f_baseline
+      FROM pq GROUP BY doc_id, s0, s1, target)
+SELECT *, m0 * s0 + m1 * s1 AS sum_attributions FROM m)"""
+
+
+@register("wordpiece_tokens", f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, token FROM {_TOKENS_SQL}")
+def q_wordpiece_tokens(spark, sf):
+    """M1: whole labelled texts as [CLS] word pieces [SEP]."""
+    return at.wordpiece_tokens(_labelled_docs(spark, sf)).select("doc_id", F.col("pos").cast("long"), "token")
+
+
+@register("token_attributions", f"""SELECT t.doc_id, CAST(t.pos AS BIGINT) AS pos, t.token, p.target,
+  round(p.m0 * t.w0 + p.m1 * t.w1, 6) AS score FROM {_TW_SQL} t JOIN {_PATH_SQL} p USING (doc_id)""")
+def q_token_attributions(spark, sf):
+    """X1 + X3: IG token scores against the predicted class, 50 trapezoid steps."""
+    tw = _tw(spark, sf)
+    summ = at.doc_path_summary(tw, BIAS, N_STEPS)
+    return _r6(at.token_attributions(tw, summ).select("doc_id", F.col("pos").cast("long"), "token", "target", "score"))
+
+
+@register("word_attributions", f"""WITH ta AS (SELECT t.doc_id, t.pos, t.token, p.m0 * t.w0 + p.m1 * t.w1 AS score
+    FROM {_TW_SQL} t JOIN {_PATH_SQL} p USING (doc_id) WHERE t.token NOT IN ('[CLS]', '[SEP]', '[PAD]')),
+wi AS (SELECT *, sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos
+         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word_id FROM ta),
+wd AS (SELECT doc_id, word_id, string_agg(CASE WHEN starts_with(token, '##') THEN substr(token, 3) ELSE token END, ''
+         ORDER BY pos) AS word, sum(score) AS score FROM wi GROUP BY doc_id, word_id)
+SELECT doc_id, word, round(arg_max(score, word_id), 6) AS score, CAST(min(word_id) AS BIGINT) AS first_word_id
+FROM wd WHERE word <> '' GROUP BY doc_id, word""")
+def q_word_attributions(spark, sf):
+    """Word pieces merged into words; a repeated word keeps its last score."""
+    tw = _tw(spark, sf)
+    ta = at.token_attributions(tw, at.doc_path_summary(tw, BIAS, N_STEPS))
+    return _r6(at.word_attributions(ta).select("doc_id", "word", "score", F.col("first_word_id").cast("long")))
+
+
+@register("ig_completeness", f"""WITH p AS {_PATH_SQL},
+d AS (SELECT *, f_x - f_baseline - sum_attributions AS delta, abs(f_x - f_baseline) AS denominator FROM p),
+e AS (SELECT *, abs(delta) AS abs_error FROM d)
+SELECT doc_id, target, round(f_x, 6) AS f_x, round(f_baseline, 6) AS f_baseline,
+  round(sum_attributions, 6) AS sum_attributions, round(abs_error, 6) AS abs_error,
+  CASE WHEN denominator < 1e-4 AND abs_error < 1e-4 THEN 0.0 WHEN denominator < 1e-4 THEN CAST('inf' AS DOUBLE)
+       ELSE round(abs_error / denominator, 6) END AS rel_error,
+  denominator < 1e-4 AS numerical_instability,
+  (CASE WHEN denominator < 1e-4 AND abs_error < 1e-4 THEN 0.0 WHEN denominator < 1e-4 THEN CAST('inf' AS DOUBLE)
+        ELSE abs_error / denominator END) < 0.05 AND denominator >= 1e-4 AS converged FROM e""")
+def q_ig_completeness(spark, sf):
+    """Completeness diagnostics per document."""
+    c = at.completeness(at.doc_path_summary(_tw(spark, sf), BIAS, N_STEPS))
+    return c.select("doc_id", "target", *[F.round(x, 6).alias(x) for x in
+                                          ("f_x", "f_baseline", "sum_attributions", "abs_error")],
+                    F.when(F.col("rel_error") == float("inf"), F.col("rel_error"))
+                     .otherwise(F.round("rel_error", 6)).alias("rel_error"),
+                    "numerical_instability", "converged")
+
+
+@register("top_words")
+def q_top_words(spark, sf):
+    """Top 25 words by mean |score| per predicted class (rows-only)."""
+    tw = _tw(spark, sf)
+    summ = at.doc_path_summary(tw, BIAS, N_STEPS)
+    wa = at.word_attributions(at.token_attributions(tw, summ))
+    return at.top_words(wa, summ.select("doc_id", "y_pred"), 25, True)
+
+
+@register("optimal_steps")
+def q_optimal_steps(spark, sf):
+    """Doubling ladder 4 -> 8 -> ... below 1000, target 1 %; one pass (rows-only)."""
+    return at.optimal_steps(_tw(spark, sf), BIAS, at.step_ladder(4, 1000, 5), 0.01) \
+             .select("doc_id", "n_steps", "rel_error", "converged")
+
+
+@register("adaptive_steps")
+def q_adaptive_steps(spark, sf):
+    """8 steps, 64 for documents above 5 % error; report row (rows-only)."""
+    _, rep = at.adaptive(_tw(spark, sf), BIAS, 8, 64, 0.05)
+    return rep
+
+
+@register("ensemble_attributions")
+def q_ensemble_attributions(spark, sf):
+    """Attributions of 5 fold models averaged per token position, with per-document
+    error summary (rows-only)."""
+    toks, diags = None, None
+    for f in range(5):
+        tw = _tw(spark, sf, f)
+        summ = at.doc_path_summary(tw, BIAS, N_STEPS)
+        ta = at.token_attributions(tw, summ).withColumn("fold", F.lit(f))
+        dg = at.completeness(summ).withColumn("fold", F.lit(f))
+        toks = ta if toks is None else toks.unionByName(ta)
+        diags = dg if diags is None else diags.unionByName(dg)
+    tok, summ = at.ensemble_attributions(toks, diags)
+    return summ
+
+
+@register("classify_samples")
+def q_classify_samples(spark, sf):
+    """Numerical / algorithmic / converged / none over 5 folds at 8 steps (rows-only)."""
+    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [8], list(range(5)))
+    return at.classify_samples(g)
+
+
+@register("step_grid")
+def q_step_grid(spark, sf):
+    """Sample x fold x n_steps diagnostics (rows-only)."""
+    return at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1]) \
+             .select("doc_id", "fold", "n_steps", "rel_error", "converged")
+
+
+@register("step_grid_summary")
+def q_step_grid_summary(spark, sf):
+    """X11: per-n_steps summary and the recommendation (rows-only)."""
+    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1])
+    s, rec = at.grid_summary(g)
+    return s.withColumn("recommended_n_steps", rec.select("recommended_n_steps").scalar())
