@@ -812,3 +812,91 @@ def q_step_grid_summary(spark, sf):
     g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1])
     s, rec = at.grid_summary(g)
     return s.withColumn("recommended_n_steps", rec.select("recommended_n_steps").scalar())
+
+
+# ------------------------------------------------------------------ J3, J6, X12-X17: actions
+
+from casestory.operators import actions as ac  # noqa: E402
+
+# Short demo action phrases searched besides the benchmark passages.
+SHORT_ACTIONS = ["the", "and the", "Is and", "of an", "with the", "that the"]
+
+
+def _actions(spark, sf):
+    b = table(spark, sf, "benchmark").select(F.col("text").alias("action"))
+    short = spark.createDataFrame([(a,) for a in SHORT_ACTIONS], "action string")
+    return b.unionByName(short)
+
+
+_ACTIONS_SQL = "(SELECT text AS action FROM benchmark UNION SELECT * FROM (VALUES " + \
+    ", ".join(f"('{a}')" for a in SHORT_ACTIONS) + ") v(action))"
+
+
+@register("phrase_hits", f"""SELECT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a
+  ON contains(lower(d.text), lower(a.action))""")
+def q_phrase_hits(spark, sf):
+    """Which actions occur in each document (case-insensitive substring)."""
+    return ac.phrase_hits(table(spark, sf, "documents"), _actions(spark, sf))
+
+
+def _action_scores(spark, sf):
+    tw = _tw(spark, sf)
+    summ = at.doc_path_summary(tw, BIAS, N_STEPS)
+    wa = at.word_attributions(at.token_attributions(tw, summ))
+    hits = ac.phrase_hits(_labelled_docs(spark, sf), _actions(spark, sf))
+    return ac.action_scores(hits, wa), summ.select("doc_id", "y_pred")
+
+
+@register("action_scores")
+def q_action_scores(spark, sf):
+    """X12 + J6: action scores from word attributions, half-found rule (rows-only)."""
+    return _action_scores(spark, sf)[0]
+
+
+@register("action_statistics")
+def q_action_statistics(spark, sf):
+    """Per predicted class and action: mean, population std, count, total (rows-only)."""
+    s, p = _action_scores(spark, sf)
+    return ac.action_statistics(s, p)
+
+
+@register("top_actions")
+def q_top_actions(spark, sf):
+    """Top 10 actions per class by total score (rows-only)."""
+    s, p = _action_scores(spark, sf)
+    return ac.top_actions(ac.action_statistics(s, p), 10, "total_score")
+
+
+@register("chart_joint_scale")
+def q_chart_joint_scale(spark, sf):
+    """X15 + J7 + J8 + T13: class-1-led chart table on one scale (rows-only)."""
+    s, p = _action_scores(spark, sf)
+    inv = ac.inverse_dictionary(benchmark_dictionary(spark, sf))
+    return ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, True, inverse=inv)
+
+
+@register("chart_own_scale")
+def q_chart_own_scale(spark, sf):
+    """Each class scaled by its own max (rows-only)."""
+    s, p = _action_scores(spark, sf)
+    return ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, False)
+
+
+@register("chart_class0_led")
+def q_chart_class0_led(spark, sf):
+    """Class-0-led chart on counts (rows-only)."""
+    s, p = _action_scores(spark, sf)
+    return ac.chart_table(ac.action_statistics(s, p), "count", 10, True, lead="class_0", other="class_1")
+
+
+@register("inverse_dictionary", """SELECT text AS dst, arg_max('item ' || CAST(item_id AS VARCHAR), item_id) AS src
+  FROM benchmark GROUP BY text""")
+def q_inverse_dictionary(spark, sf):
+    """Target -> last source."""
+    return ac.inverse_dictionary(benchmark_dictionary(spark, sf))
+
+
+@register("english_vocabulary", """SELECT lower(text) AS key, arg_max(text, item_id) AS dst FROM benchmark GROUP BY lower(text)""")
+def q_english_vocabulary(spark, sf):
+    """J1d: case-folded target -> target, last entry wins."""
+    return textgen.english_vocabulary(benchmark_dictionary(spark, sf))
