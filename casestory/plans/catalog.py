@@ -900,3 +900,79 @@ def q_inverse_dictionary(spark, sf):
 def q_english_vocabulary(spark, sf):
     """J1d: case-folded target -> target, last entry wins."""
     return textgen.english_vocabulary(benchmark_dictionary(spark, sf))
+
+
+# ------------------------------------------------------------------ M2, M4, M5: Spark ML
+
+from casestory.operators import train as trn  # noqa: E402
+
+
+def _labelled_texts(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    return d.join(table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label")), "doc_id")
+
+
+@register("train_and_score")
+def q_train_and_score(spark, sf):
+    """M4 + M2: weighted logistic regression on whole texts; stratified 20 % test scored
+    (rows-only: a fitted model has no SQL form)."""
+    s = sp.stratified_split(_labelled_texts(spark, sf), "doc_id", "label", 0.2, 42)
+    model = trn.fit(s.filter(F.col("split") == "train"))
+    return trn.score(model, s.filter(F.col("split") == "test")).select("doc_id", "y_true", "y_pred")
+
+
+@register("kfold_train")
+def q_kfold_train(spark, sf):
+    """M5 + A11: 3-fold training, per-fold metrics aggregated (rows-only)."""
+    folded = sp.stratified_kfold(_labelled_texts(spark, sf), "doc_id", "label", 3, 42)
+    per_fold = trn.kfold_train(folded, 3)
+    return hs.kfold_aggregate(per_fold.select("fold", "accuracy", "balanced_accuracy", "f1", "n_val"))
+
+
+# ------------------------------------------------------------------ S4-S14: sinks
+
+from casestory.session import scratch_path  # noqa: E402
+from casestory.sources import sinks as sk  # noqa: E402
+
+
+@register("sink_stories_roundtrip", f"""WITH s AS ({O.stories_sql('narrative')})
+SELECT 'narrative' AS format, split, CAST(count(*) AS BIGINT) AS n, CAST(sum(label) AS BIGINT) AS n_label1 FROM
+  (SELECT s.*, CASE WHEN md5(case_id || '-42') < '33' THEN 'test' ELSE 'train' END AS split FROM s) GROUP BY split""")
+def q_sink_stories_roundtrip(spark, sf):
+    """S4 + S5 + P13: stories written partitioned by (format, split) and read back per split."""
+    s = st.stories(events_log(spark, sf), event_dictionary(spark), "narrative")
+    s = s.withColumn("split", F.when(F.md5(F.concat("case_id", F.lit("-42"))) < "33", "test").otherwise("train"))
+    path = scratch_path(spark, f"stories_{abs(hash(sf))}")
+    sk.write_stories(s, path, "narrative")
+    back = sk.read_stories(spark, path, "narrative", "all")
+    return back.groupBy("format", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_label1"))
+
+
+@register("sink_metrics_json")
+def q_sink_metrics_json(spark, sf):
+    """S7 + S8 + S9 + S11: metrics, report, fold summary and label map written as JSON
+    and read back (rows-only)."""
+    cm = mt.confusion(binary_preds(spark, sf))
+    base = scratch_path(spark, f"metrics_{abs(hash(sf))}")
+    sk.write_json_table(mt.summary_metrics(cm, "binary"), base + "/metrics")
+    sk.write_json_table(mt.classification_report(cm), base + "/report")
+    sk.write_json_table(cm, base + "/confusion")
+    lab = spark.createDataFrame([(0, "CLS_0"), (1, "CLS_1")], "id int, name string")
+    sk.write_json_table(lab, base + "/label_map")
+    return sk.read_json_table(spark, base + "/metrics").select("accuracy", "f1", "mcc")
+
+
+@register("sink_epochs_grid")
+def q_sink_epochs_grid(spark, sf):
+    """S10 + S14 + S12 + S13: epochs partitioned by (run, fold), step grid as CSV, token
+    dictionary as JSON, nested attributions as Parquet; read back (rows-only)."""
+    base = scratch_path(spark, f"hist_{abs(hash(sf))}")
+    sk.write_epochs(epoch_history(spark, sf), base + "/epochs")
+    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [4, 8], [0])
+    sk.write_csv(g.select("doc_id", "fold", "n_steps", "rel_error", "converged"), base + "/grid")
+    sk.write_json_table(tk.token_dictionary(benchmark_dictionary(spark, sf)), base + "/tokens")
+    tw = _tw(spark, sf)
+    sk.write_attributions(at.token_attributions(tw, at.doc_path_summary(tw, BIAS, 8)), base + "/attr",
+                          "narrative", "linear", "single", "r1")
+    ep = spark.read.parquet(base + "/epochs").filter(F.col("run") == 3)
+    return ep.groupBy("fold").agg(F.count(F.lit(1)).alias("n_epochs"))
