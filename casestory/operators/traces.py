@@ -47,11 +47,14 @@ def case_metadata(log: DataFrame, fallback_class_key: str = "class_ricovero_dimi
     One aggregation (partial aggregation on the map side: one row per case per task);
     class falls back to the case attribute map; an explicit age overrides the range.
     """
-    first = F.min_by(F.struct("class_label", "age_range", "age", "gender", "attrs"), "event_idx")
+    # only the fallback value of the attribute map travels (a map in the buffer would force
+    # a sort-based aggregate)
+    first = F.min_by(F.struct("class_label", "age_range", "age", "gender",
+                              F.col("attrs")[fallback_class_key].alias("fallback")), "event_idx")
     m = (log.filter(F.col("case_id").isNotNull())
             .groupBy("case_id").agg(first.alias("m")))
     cls = F.coalesce(F.col("m.class_label"),
-                     try_cast(try_cast(F.col("m.attrs")[fallback_class_key], "double"), "int"))
+                     try_cast(try_cast(F.col("m.fallback"), "double"), "int"))
     return m.select(
         "case_id",
         check_class(cls).alias("class_label"),
