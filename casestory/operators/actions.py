@@ -15,12 +15,24 @@ from casestory.functions.text import shorten
 from casestory.operators.attribute import top_k
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text") -> DataFrame:
+AUTOMATON_MIN_PHRASES = 2_000
+MAX_PHRASES = 5_000_000  # phrase list shipped to every task: dictionary-sized only
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text", method: str = "auto") -> DataFrame:
     """(doc_id, action) for every phrase contained in the text, ignoring case.
 
-    ``phrases(action)`` is dictionary-sized (broadcast behind a row-count check); the
-    texts are scanned once with the lower-cased phrase list as a filter.
+    ``method='join'``: the phrase table (dictionary-sized, broadcast behind a row-count
+    check) is joined to the texts on ``contains`` -- texts x phrases tests.
+    ``method='automaton'``: one Aho-Corasick automaton per task over the lower-cased
+    phrases (``mapInPandas``), linear in the text length whatever the phrase count.
+    ``auto`` picks the automaton from ``AUTOMATON_MIN_PHRASES`` phrases on.
     """
+    if method == "auto":
+        n = phrases.select("action").distinct().limit(AUTOMATON_MIN_PHRASES).count()
+        method = "automaton" if n >= AUTOMATON_MIN_PHRASES else "join"
+    if method == "automaton":
+        return _phrase_hits_automaton(texts, phrases, text)
     ph = small_side(phrases.select("action").distinct().withColumn("__lp", F.lower("action")))
     t = texts.select("doc_id", F.lower(F.col(text)).alias("__lt"))
     return t.join(ph, F.contains(F.col("__lt"), F.col("__lp"))).select("doc_id", "action")
@@ -91,3 +103,47 @@ def chart_table(stats: DataFrame, value: str = "mean_score", k: int = 25, joint_
 def inverse_dictionary(dictionary: DataFrame) -> DataFrame:
     """Target -> source with the last source winning."""
     return dictionary.groupBy("dst").agg(F.max_by("src", "pos").alias("src"))
+
+
+def _phrase_hits_automaton(texts: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
+    acts = phrases.select("action").distinct().limit(MAX_PHRASES + 1).collect()
+    if len(acts) > MAX_PHRASES:
+        raise ValueError(f"phrase list above {MAX_PHRASES} entries: not dictionary-sized")
+    # lower-cased on the JVM side as Spark's lower() does, so both methods agree
+    low = phrases.sparkSession.createDataFrame([(a[0],) for a in acts], "action string") \
+        .select("action", F.lower("action").alias("lp")).collect()
+    pairs = [(r["action"], r["lp"]) for r in low if r["action"] is not None]
+    bc = texts.sparkSession.sparkContext.broadcast(pairs)
+
+    def run(batches):
+        import ahocorasick
+        import pandas as pd
+        auto = ahocorasick.Automaton()
+        always = []
+        for i, (a, lp) in enumerate(bc.value):
+            if lp == "":
+                always.append(a)
+                continue
+            if lp in auto:
+                auto.get(lp).append(a)
+            else:
+                auto.add_word(lp, [a])
+        if len(auto):
+            auto.make_automaton()
+        for pdf in batches:
+            ids, out = [], []
+            for doc_id, t in zip(pdf["doc_id"], pdf["__lt"]):
+                if t is None:
+                    continue
+                found = set()
+                if len(auto):
+                    for _, names in auto.iter(t):
+                        found.update(names)
+                found.update(always)
+                for a in found:
+                    ids.append(doc_id)
+                    out.append(a)
+            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "action": pd.Series(out, dtype="object")})
+
+    t = texts.select(F.col("doc_id").cast("long"), F.lower(F.col(text)).alias("__lt"))
+    return t.mapInPandas(run, "doc_id long, action string")
