@@ -718,14 +718,18 @@ def q_token_attributions(spark, sf):
     return _r6(at.token_attributions(tw, summ).select("doc_id", F.col("pos").cast("long"), "token", "target", "score"))
 
 
-@register("word_attributions", f"""WITH ta AS (SELECT t.doc_id, t.pos, t.token, p.m0 * t.w0 + p.m1 * t.w1 AS score
+_WA_CTES = f"""ta AS (SELECT t.doc_id, t.pos, t.token, p.m0 * t.w0 + p.m1 * t.w1 AS score
     FROM {_TW_SQL} t JOIN {_PATH_SQL} p USING (doc_id) WHERE t.token NOT IN ('[CLS]', '[SEP]', '[PAD]')),
 wi AS (SELECT *, sum(CASE WHEN starts_with(token, '##') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos
          ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS word_id FROM ta),
 wd AS (SELECT doc_id, word_id, string_agg(CASE WHEN starts_with(token, '##') THEN substr(token, 3) ELSE token END, ''
-         ORDER BY pos) AS word, sum(score) AS score FROM wi GROUP BY doc_id, word_id)
-SELECT doc_id, word, round(arg_max(score, word_id), 6) AS score, CAST(min(word_id) AS BIGINT) AS first_word_id
-FROM wd WHERE word <> '' GROUP BY doc_id, word""")
+         ORDER BY pos) AS word, sum(score) AS score FROM wi GROUP BY doc_id, word_id),
+wa AS (SELECT doc_id, word, arg_max(score, word_id) AS score, CAST(min(word_id) AS BIGINT) AS first_word_id
+FROM wd WHERE word <> '' GROUP BY doc_id, word)"""
+
+
+@register("word_attributions", f"""WITH {_WA_CTES}
+SELECT doc_id, word, round(score, 6) AS score, first_word_id FROM wa""")
 def q_word_attributions(spark, sf):
     """Word pieces merged into words; a repeated word keeps its last score."""
     tw = _tw(spark, sf)
@@ -854,17 +858,33 @@ def _action_scores(spark, sf):
     return ac.action_scores(hits, wa), summ.select("doc_id", "y_pred")
 
 
-@register("action_scores")
+_ACTION_SCORES_CTES = f"""{_WA_CTES},
+hits AS (SELECT DISTINCT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a ON contains(lower(d.text), lower(a.action))
+         WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+aw AS (SELECT doc_id, action, lower(unnest(regexp_split_to_array(trim(action), '\\s+'))) AS lw FROM hits),
+ws AS (SELECT doc_id, lower(word) AS lw, arg_min(score, first_word_id) AS s FROM wa GROUP BY doc_id, lower(word)),
+sc AS (SELECT aw.doc_id, aw.action, sum(abs(ws.s)) AS score, count(ws.s) AS words_found, count(*) AS n_words
+       FROM aw LEFT JOIN ws USING (doc_id, lw) GROUP BY aw.doc_id, aw.action),
+asc_ AS (SELECT doc_id, action, coalesce(score, 0.0) AS score, words_found, n_words FROM sc WHERE words_found >= n_words / 2)"""
+
+
+@register("action_scores", f"""WITH {_ACTION_SCORES_CTES}
+SELECT doc_id, action, round(score, 6) AS score, CAST(words_found AS BIGINT) AS words_found,
+  CAST(n_words AS BIGINT) AS n_words FROM asc_""")
 def q_action_scores(spark, sf):
-    """X12 + J6: action scores from word attributions, half-found rule (rows-only)."""
-    return _action_scores(spark, sf)[0]
+    """X12 + J6: action scores from word attributions, half-found rule."""
+    return _r6(_action_scores(spark, sf)[0])
 
 
-@register("action_statistics")
+@register("action_statistics", f"""WITH {_ACTION_SCORES_CTES}, p AS {_PATH_SQL}
+SELECT CASE WHEN p.target = 0 THEN 'class_0' ELSE 'class_1' END AS class, a.action,
+  round(avg(a.score), 6) AS mean_score, round(stddev_pop(a.score), 6) AS std_score,
+  CAST(count(*) AS BIGINT) AS count, round(sum(a.score), 6) AS total_score
+FROM asc_ a JOIN p USING (doc_id) GROUP BY 1, 2""")
 def q_action_statistics(spark, sf):
-    """Per predicted class and action: mean, population std, count, total (rows-only)."""
+    """Per predicted class and action: mean, population std, count, total."""
     s, p = _action_scores(spark, sf)
-    return ac.action_statistics(s, p)
+    return _r6(ac.action_statistics(s, p))
 
 
 @register("top_actions")
