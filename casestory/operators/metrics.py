@@ -252,4 +252,8 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, logits: str = "log
 def epoch_loss(batches: DataFrame, loss: str = "loss") -> DataFrame:
     """Epoch loss = mean over batches of the batch mean (rows: run, fold, epoch, batch)."""
     b = batches.groupBy("run", "fold", "epoch", "batch").agg(F.avg(loss).alias("__bm"))
-    return b.groupBy("run", "fold", "epoch").agg(F.avg("__bm").alias("epoch_loss"))
+    # batch means summed in batch order (one row per batch of an epoch: bounded by the
+    # batch count), so the result does not depend on the shuffle's arrival order
+    e = b.groupBy("run", "fold", "epoch").agg(F.sort_array(F.collect_list(F.struct("batch", "__bm"))).alias("__b"))
+    return e.select("run", "fold", "epoch",
+                    (F.aggregate("__b", F.lit(0.0), lambda a, x: a + x["__bm"]) / F.size("__b")).alias("epoch_loss"))

@@ -480,15 +480,17 @@ def q_weighted_cross_entropy(spark, sf):
     return _r6(mt.weighted_cross_entropy(fl, w))
 
 
-@register("epoch_loss", """SELECT run, fold, epoch, round(avg(bm), 4) AS epoch_loss FROM
+@register("epoch_loss", """SELECT run, fold, epoch,
+  round(list_reduce(list(bm ORDER BY batch), lambda a, x: a + x, 0.0) / count(*) / 100.0, 6) AS epoch_loss FROM
   (SELECT user_id % 10 AS run, 0 AS fold, CAST(dayofmonth(ts) AS INTEGER) AS epoch, CAST(hour(ts) AS INTEGER) AS batch,
-          avg(value) AS bm FROM events GROUP BY ALL) GROUP BY run, fold, epoch""")
+          avg(CAST(round(value * 100) AS DOUBLE)) AS bm FROM events GROUP BY ALL) GROUP BY run, fold, epoch""")
 def q_epoch_loss(spark, sf):
     """Mean of batch means (runs = user_id mod 10, epoch = day, batch = hour, loss = value)."""
     e = table(spark, sf, "events").select((F.col("user_id") % 10).alias("run"), F.lit(0).alias("fold"),
                                           F.dayofmonth("ts").alias("epoch"), F.hour("ts").alias("batch"),
-                                          F.col("value").alias("loss"))
-    return mt.epoch_loss(e).withColumn("epoch_loss", F.round("epoch_loss", 4))  # 4: sum-order noise
+                                          F.round(F.col("value") * 100).cast("double").alias("loss"))
+    # loss in whole cents: batch sums are exact integers, so no summation-order noise
+    return mt.epoch_loss(e).withColumn("epoch_loss", F.round(F.col("epoch_loss") / 100.0, 6))
 
 
 # ------------------------------------------------------------------ E1 on the order log
