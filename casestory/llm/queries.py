@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casestory.llm import exact_dedup, mixing, simhash, toxicity, winnowing
+from casestory.llm import exact_dedup, lattice, mixing, simhash, toxicity, winnowing
 from casestory.llm.common import held_out, table
 
 
+def op1_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every text of ``documents`` under the subword lattice model."""
+    found = lattice.document_scores(table(spark, sf_dir, "documents"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicates of ``documents`` after removing white space; one row per document."""
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
@@ -46,6 +52,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op4_toxicity, op6_simhash, op9_winnowing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op4_toxicity, op6_simhash, op9_winnowing, op10_mixing)}
 
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ MAX_ROWS = 50_000
 #: A feature enters the lexicon with this share of all occurrences in toxic rows, so at most
 #: LEXICON features do; and with three toxic rows at least.
 LEXICON, LEAST_ROWS = 200_000, 3
-PRIOR, SIGNIFICANT_Z = 10.0, 3.0
+PRIOR, SIGNIFICANT_ROOT = 10.0, 3.5
 SIGNIFICANT_E = 0.05
 PREFIXES = (6, 5, 4)
 THRESHOLD = 0.3
@@ -116,10 +116,13 @@ def _feature_table(rows: DataFrame, lexicon=None) -> DataFrame:
 
 
 def log_odds(a: int, b: int, toxic: int, clean: int, prior: float = PRIOR) -> tuple[float, float]:
-    """Log-odds ratio of a feature's rates under a Dirichlet prior of ``prior`` rows at its common rate, and its z."""
+    """Log-odds ratio of a feature's rates under a Dirichlet prior of ``prior`` rows at its common
+    rate, and its significance: the root of the likelihood ratio of two rates against one."""
     q = (a + b) / (toxic + clean) * prior
     d = math.log((a + q) / (toxic + prior - a - q)) - math.log((b + q) / (clean + prior - b - q))
-    return d, d / math.sqrt(1 / (a + q) + 1 / (b + q))
+    share = toxic / (toxic + clean)
+    g = sum(2 * x * math.log(x / ((a + b) * s)) for x, s in ((a, share), (b, 1 - share)) if x)
+    return d, math.sqrt(max(g, 0.0))
 
 
 def background(histogram: dict[float, int]) -> tuple[float, float]:
@@ -185,8 +188,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     b = {f: n for f, n in _feature_table(clean, names).collect()}
     lexicon = {}
     for f, n in a.items():
-        d, z = log_odds(n, b.get(f, 0), n_toxic, n_clean)
-        lexicon[f] = d if abs(z) >= SIGNIFICANT_Z else 0.0
+        d, root = log_odds(n, b.get(f, 0), n_toxic, n_clean)
+        lexicon[f] = d if root >= SIGNIFICANT_ROOT else 0.0
     lex = spark.sparkContext.broadcast(lexicon)
 
     def token_scores(batches):
