@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from casestory.llm.common import stash
 
 #: Rows that one slice of a queue or of the finish times should hold.
-SLICE_ROWS = 20_000
+SLICE_ROWS = 4_000
 MAX_COPIES = 2
 #: The cycle of source weights by rank, and the budget as a share of all sizes (fixed by contract).
 WEIGHTS, BUDGET = (5, 2, 1), (3, 2)
