@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casestory.llm import exact_dedup, lattice, mixing, simhash, toxicity, winnowing
+from casestory.llm import exact_dedup, lattice, mixing, secret_scan, simhash, toxicity, winnowing
 from casestory.llm.common import held_out, table
 
 
@@ -23,6 +23,15 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                        (F.col("kept") & (F.col("copy") == 1)).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text of ``documents``: known forms and high-entropy strings."""
+    found = secret_scan.scan(table(spark, sf_dir, "documents"))
+    counts = (F.size(secret_scan.of_kind(F.col("base"), k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(secret_scan.KINDS[:3]))
+    return found.select(F.col("id").alias("doc_id"), *counts, F.sha2(secret_scan.listed(F.col("base")), 256).alias("base_sha256"),
+                        secret_scan.listed(F.col("spans")).alias("spans"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every row of ``documents``; labels outside the held-out fold are learnt from."""
     docs = table(spark, sf_dir, "documents")
@@ -52,6 +61,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op4_toxicity, op6_simhash, op9_winnowing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_simhash, op9_winnowing, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
