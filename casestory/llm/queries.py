@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casestory.llm import exact_dedup, lattice, mixing, secret_scan, simhash, toxicity, winnowing
+from casestory.llm import exact_dedup, lattice, mixing, repeats, secret_scan, simhash, toxicity, winnowing
 from casestory.llm.common import held_out, table
 
 
@@ -48,6 +48,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.col("component").alias("component_id"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` that a 400-byte string occurring elsewhere covers."""
+    found = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in ``documents``."""
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -61,6 +68,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_simhash, op9_winnowing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_simhash, op7_repeats, op9_winnowing, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
