@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casestory.llm import exact_dedup, lattice, mixing, repeats, secret_scan, simhash, toxicity, winnowing
+from casestory.llm import exact_dedup, html_extract, lattice, license_scan, mixing, repeats, secret_scan, simhash, toxicity, winnowing
 from casestory.llm.common import held_out, table
 
 
@@ -41,6 +41,12 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.size("segments").alias("n_passages"))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every row of ``pages``."""
+    found = html_extract.extract(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash fingerprints of ``documents`` and their components within 4 bits."""
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -55,6 +61,16 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), "kept_sha256")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in every text of ``documents``."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    top = F.when(F.size("matches") > 0, license_scan.best(F.col("matches")))
+    names = F.array_join(F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["license"]))), ",")
+    spans = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["license"], m["start"].cast("string"), m["end"].cast("string"))), ",")
+    return found.select(F.col("id").alias("doc_id"), "n_words", F.size("matches").cast("long").alias("n_matches"), names.alias("licenses"),
+                        top["license"].alias("best_license"), F.coalesce(top["coverage"], F.lit(0.0)).alias("coverage"), spans.alias("spans"))
+
+
 def op9_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows of 10 words in ``documents``."""
     found = winnowing.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -68,6 +84,6 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op6_simhash, op7_repeats, op9_winnowing, op10_mixing)}
+QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_extract, op6_simhash, op7_repeats, op8_license_scan, op9_winnowing, op10_mixing)}
 
 ORACLES: dict[str, str] = {}
