@@ -44,24 +44,29 @@ def features(word: str):
             yield f"{word[:k]}*"
 
 
-class Scorer:
-    """Token scores from a lexicon feature -> log-odds, less a drift."""
+class TokenScores(dict):
+    """Word -> score; a word that is not there yet is looked up by its longest known feature."""
 
-    def __init__(self, lexicon: dict[str, float], drift: float):
-        self.lexicon, self.drift, self.known = lexicon, drift, {}
+    def __init__(self, lexicon: dict[str, float]):
+        super().__init__()
+        self.lexicon = lexicon
 
-    def token(self, word: str) -> float:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 500_000:
-                self.known.clear()
-            found = next((self.lexicon[f] for f in features(word) if f in self.lexicon), 0.0)
-            self.known[word] = found
+    def __missing__(self, word: str) -> float:
+        found = self[word] = next((self.lexicon[f] for f in features(word) if f in self.lexicon), 0.0)
         return found
 
+
+class Scorer:
+    """Token scores from a lexicon feature -> log-odds, less a drift."""
+
+    def __init__(self, lexicon: dict[str, float], drift: float, most: int = 500_000):
+        self.scores, self.drift, self.most = TokenScores(lexicon), drift, most
+
     def raw(self, text: str) -> np.ndarray:
+        if len(self.scores) > self.most:  # words seen so far are only kept for speed
+            self.scores.clear()
         words = WORD.findall((text or "").lower())
-        return np.fromiter(map(self.token, words), dtype=np.float64, count=len(words))
+        return np.fromiter(map(self.scores.__getitem__, words), dtype=np.float64, count=len(words))
 
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         s = self.raw(text)
@@ -118,7 +123,7 @@ def _feature_table(rows: DataFrame, lexicon=None) -> DataFrame:
 def log_odds(a: int, b: int, toxic: int, clean: int, prior: float = PRIOR) -> tuple[float, float]:
     """Log-odds ratio of a feature's rates under a Dirichlet prior of ``prior`` rows at its common
     rate, and its significance: the root of the likelihood ratio of two rates against one."""
-    q = (a + b) / (toxic + clean) * prior
+    q = (a + b + 0.5) / (toxic + clean + 1) * prior  # under the prior even where every row has the feature
     d = math.log((a + q) / (toxic + prior - a - q)) - math.log((b + q) / (clean + prior - b - q))
     share = toxic / (toxic + clean)
     g = sum(2 * x * math.log(x / ((a + b) * s)) for x, s in ((a, share), (b, 1 - share)) if x)
