@@ -11,6 +11,10 @@ values across bucket borders:
 * ``cumsums``   running sum from the first row of the key (inclusive)
 * ``rownum``    1-based position in the key
 
+Keys and buckets may be null: both travel in one struct, whose comparison treats null as a
+value, so rows with a null key or a null order value form a group or a first bucket of their
+own and no row is lost.
+
 The bucket column must be non-decreasing in the row order (true for a time slice of
 the leading ``ts`` ordering column). The summary has one row per non-empty bucket, so
 its per-key window is small even for a hot key.
@@ -21,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casestory.session import checkpoint_dir
+
 
 def ts_bucket(ts: Column | str, seconds: int = 3600) -> Column:
     """Time slice number of a timestamp (LTZ or NTZ); non-decreasing in ``ts``."""
@@ -36,9 +42,9 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
                 keep_bucket: str | None = None) -> DataFrame:
     lags, leads, cumsums = lags or {}, leads or {}, cumsums or {}
     order_cols = [F.col(o) if isinstance(o, str) else o for o in order]
-    b = "__b"
-    d = df.withColumn(b, bucket)
-    w = Window.partitionBy(*key, b).orderBy(*order_cols)
+    k = "__k"
+    d = df.withColumn(k, F.struct(*[F.col(c) for c in key], bucket.alias("__b")))
+    w = Window.partitionBy(k).orderBy(*order_cols)
     okey = F.struct(*order_cols)
     d = d.withColumn("__rn", F.row_number().over(w))
     if leads:
@@ -60,10 +66,10 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
         aggs.append(F.min_by(F.col(f"__v_{name}"), okey).alias(f"__bfirst_{name}"))
     for name in cumsums:
         aggs.append(F.sum(F.col(f"__t_{name}")).alias(f"__btot_{name}"))
-    summ = d.groupBy(*key, b).agg(*aggs)
-    ws = Window.partitionBy(*key).orderBy(b)
+    summ = d.groupBy(k).agg(*aggs)
+    ws = Window.partitionBy(*[F.col(f"{k}.{c}") for c in key]).orderBy(F.col(f"{k}.__b"))
     before = ws.rowsBetween(Window.unboundedPreceding, -1)
-    sel = [*key, b]
+    sel = [k]
     sel.append(F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off_n"))
     for name in lags:
         sel.append(F.lag(f"__blast_{name}").over(ws).alias(f"__prev_{name}"))
@@ -73,7 +79,7 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
         sel.append(F.coalesce(F.sum(f"__btot_{name}").over(before), F.lit(0)).alias(f"__off_{name}"))
     summ = summ.select(*sel)
 
-    out = d.join(summ, on=[*key, b], how="inner")
+    out = d.join(summ, on=k, how="inner")
     for name in lags:
         out = out.withColumn(name, F.when(F.col("__rn") == 1, F.col(f"__prev_{name}"))
                              .otherwise(F.col(f"__lag_{name}")))
@@ -85,6 +91,24 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
     if rownum:
         out = out.withColumn(rownum, F.col("__rn") + F.col("__off_n"))
     if keep_bucket:
-        out = out.withColumn(keep_bucket, F.col(b))
+        out = out.withColumn(keep_bucket, F.col(f"{k}.__b"))
     keep = set(df.columns) | set(lags) | set(leads) | set(cumsums) | {rownum, keep_bucket}
     return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])
+
+
+def global_position(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """1-based position of every row in the order of ``order`` over the whole table.
+
+    Rows are range-partitioned by the whole order (so equal leading values spread over ranges as
+    long as the order differs), numbered inside their range, and a table with one row per range
+    carries the counts over. The ranges are sampled, so the rows and their ranges are kept in a
+    reliable checkpoint that both uses read. Nulls come first.
+    """
+    checkpoint_dir(df.sparkSession)
+    cols = [F.col(c) for c in order]
+    d = df.repartitionByRange(*cols).withColumn("__range", F.spark_partition_id()).checkpoint()
+    first = d.groupBy("__range").agg(F.min(F.struct(*cols)).alias("__min"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__min").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = first.select("__range", F.coalesce(before, F.lit(0)).alias("__off"))
+    inside = F.row_number().over(Window.partitionBy("__range").orderBy(*cols))
+    return d.withColumn("__in", inside).join(offsets, "__range").withColumn(out, F.col("__in") + F.col("__off")).drop("__range", "__in", "__off")

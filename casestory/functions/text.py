@@ -48,27 +48,33 @@ def thousands(n) -> Column:
 
 
 def py_str(x) -> Column:
-    """Text of a value as Python's ``str`` prints it, for doubles in the usual range.
+    """Text of a double as Python's ``str`` prints it.
 
-    Spark's double-to-string agrees with Python's repr between 1e-3 and 1e7 ("98.0");
-    outside it Spark prints scientific notation ("1.2345678E7") where Python prints
-    positional digits up to 1e16. The positional form is rebuilt from Spark's digits.
+    Spark's and Python's shortest digits agree, their notation does not: Spark turns to
+    scientific notation below 1e-3 and from 1e7 on ("5.0E-4", "1.2345678E7"), Python below 1e-4
+    and from 1e16 on ("5e-05", "1e+16"). The digits are re-set in Python's notation.
     """
     c = _c(x)
     s = c.cast("string")
     mant = F.substring_index(s, "E", 1)
     exp = F.substring_index(s, "E", -1).cast("int")
-    neg = F.startswith(mant, F.lit("-"))
+    sign = F.when(F.startswith(mant, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     m = F.regexp_replace(mant, "^-", "")
     digits = F.regexp_replace(m, "\\.", "")
-    # positional for 1e7 <= |x| < 1e16: digits shifted left by exp, padded with zeros
-    int_part = F.rpad(digits, exp + 1, "0")
-    frac_part = F.substring(digits, exp + 2, 64)
-    pos = F.concat(int_part, F.lit("."), F.when(F.length(frac_part) == 0, F.lit("0")).otherwise(frac_part))
-    pos = F.concat(F.when(neg, F.lit("-")).otherwise(F.lit("")), pos)
+    # 1e7 <= |x| < 1e16: digits shifted left by exp, padded with zeros
+    frac_part = F.substring(digits, exp + 2, F.lit(64))
+    large = F.concat(F.rpad(digits, exp + 1, "0"), F.lit("."), F.when(F.length(frac_part) == 0, F.lit("0")).otherwise(frac_part))
+    # 1e-4 <= |x| < 1e-3: zeros before the digits, without a closing zero
+    bare = F.regexp_replace(digits, "(?<=.)0+$", "")
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -exp - 1), bare)
+    # beyond: mantissa without ".0", exponent with a sign and two digits at least
+    sci = F.concat(F.regexp_replace(m, "\\.0$", ""), F.when(exp < 0, F.lit("e-")).otherwise(F.lit("e+")),
+                   F.lpad(F.abs(exp).cast("string"), F.greatest(F.length(F.abs(exp).cast("string")), F.lit(2)), F.lit("0")))
     is_sci = F.contains(s, F.lit("E"))
     return (F.when(c.isNull(), F.lit(None))
-            .when(is_sci & (exp >= 7) & (exp < 16), pos)
+            .when(is_sci & (exp >= 7) & (exp < 16), F.concat(sign, large))
+            .when(is_sci & (exp == -4), F.concat(sign, small))
+            .when(is_sci, F.concat(sign, sci))
             .otherwise(s))
 
 

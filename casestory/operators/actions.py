@@ -1,41 +1,88 @@
 """Actions (multi-word phrases) found in texts and scored from word attributions
 (J3, J6, X12-X14), and the chart tables built on them (J7, J8, X15-X17).
 
-Phrase search (J3) is a case-insensitive substring test of every phrase against every
-text: the phrase list is dictionary-sized and broadcast, the texts stay partitioned.
+Phrase search (J3) is a case-insensitive substring test. A phrase can only stand in a text
+that has one of the phrase's own keys, so phrases and texts meet in an equi-join on keys and
+the substring test runs on the pairs that meet: no list is collected or broadcast and no
+pair is tested without a common key, whatever the number of phrases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestory.functions.joins import small_side
 from casestory.functions.text import shorten
 from casestory.operators.attribute import top_k
 
 
-AUTOMATON_MIN_PHRASES = 2_000
-MAX_PHRASES = 5_000_000  # phrase list shipped to every task: dictionary-sized only
+#: Consecutive words in a key; characters in the key of a phrase too short to have inner words.
+KEY_WORDS, KEY_CHARS = 3, 3
 
 
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text", method: str = "auto") -> DataFrame:
-    """(doc_id, action) for every phrase contained in the text, ignoring case.
+def _key_parts(lowered: Column) -> Column:
+    return F.split(lowered, r"\s+")
 
-    ``method='join'``: the phrase table (dictionary-sized, broadcast behind a row-count
-    check) is joined to the texts on ``contains`` -- texts x phrases tests.
-    ``method='automaton'``: one Aho-Corasick automaton per task over the lower-cased
-    phrases (``mapInPandas``), linear in the text length whatever the phrase count.
-    ``auto`` picks the automaton from ``AUTOMATON_MIN_PHRASES`` phrases on.
+
+def _let(value: Column, fn) -> Column:
+    """``fn(value)`` with the value computed once, also where ``fn`` uses it inside a lambda."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
+def _shingles(words: Column, size: int) -> Column:
+    """Runs of ``size`` words, joined by one space (none for fewer words)."""
+    n = F.size(words) - size + 1
+    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " "))) \
+        .otherwise(F.array().cast("array<string>"))
+
+
+def phrase_keys(phrases: DataFrame) -> DataFrame:
+    """``action, lp, key``: one key per phrase, which every text that contains it has too.
+
+    Words inside a phrase, not the first or the last (these may be parts of words of the text),
+    are words of the text: with three or more of them the key is the longest run of three, else
+    the longest of them. A phrase without such words has its first characters as key.
+    """
+    p = phrases.select("action").where(F.col("action").isNotNull()).distinct().withColumn("lp", F.lower("action"))
+    words = _key_parts(F.col("lp"))
+    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
+    longest = lambda a: F.array_max(F.transform(a, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    key = (F.when(F.size(inner) >= KEY_WORDS, F.concat(F.lit("s:"), longest(_shingles(inner, KEY_WORDS))))
+           .when(F.size(inner) >= 1, F.concat(F.lit("w:"), longest(inner)))
+           .otherwise(F.concat(F.lit("c:"), F.substring("lp", 1, KEY_CHARS))))
+    return p.withColumn("key", key)
+
+
+def text_keys(lowered: Column, with_chars: Column) -> Column:
+    """All keys of a text: runs of three words, words, and, if asked for, runs of up to three characters."""
+    of_words = _let(_key_parts(lowered), lambda words: F.concat(
+        F.transform(_shingles(words, KEY_WORDS), lambda w: F.concat(F.lit("s:"), w)), F.transform(words, lambda w: F.concat(F.lit("w:"), w))))
+    of_chars = _let(F.split(lowered, ""), lambda chars: F.concat(
+        F.array(F.lit("c:")), *[F.transform(chars, _gram(chars, k)) for k in range(1, KEY_CHARS + 1)]))
+    return F.array_distinct(F.concat(of_words, F.when(with_chars, of_chars).otherwise(F.array().cast("array<string>"))))
+
+
+def _gram(chars: Column, size: int):
+    def at(c, i):
+        return F.concat(F.lit("c:"), c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, size)])
+    return at
+
+
+def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text", ignore_case: bool = True) -> DataFrame:
+    """(doc_id, action) for every phrase contained in the text.
+
+    Keys are compared without case; the final test ignores it too unless ``ignore_case`` is
+    off. Null texts and null phrases have no hits, the empty phrase is in every text; ids may
+    have any type.
     """
-    if method == "auto":
-        n = phrases.select("action").distinct().limit(AUTOMATON_MIN_PHRASES).count()
-        method = "automaton" if n >= AUTOMATON_MIN_PHRASES else "join"
-    if method == "automaton":
-        return _phrase_hits_automaton(texts, phrases, text)
-    ph = small_side(phrases.select("action").distinct().withColumn("__lp", F.lower("action")))
-    t = texts.select("doc_id", F.lower(F.col(text)).alias("__lt"))
-    return t.join(ph, F.contains(F.col("__lt"), F.col("__lp"))).select("doc_id", "action")
+    keys = phrase_keys(phrases)
+    t = texts.select("doc_id", F.col(text).alias("__t")).where(F.col("__t").isNotNull())
+    by_chars = keys.agg(F.coalesce(F.bool_or(F.startswith(F.col("key"), F.lit("c:"))), F.lit(False)).alias("c")).select("c").scalar()
+    each = t.select("doc_id", F.explode(text_keys(F.lower("__t"), by_chars)).alias("key"))
+    met = each.join(keys, "key").select("doc_id", "action", "lp").distinct()
+    left = F.lower("__t") if ignore_case else F.col("__t")
+    found = F.contains(left, F.col("lp") if ignore_case else F.col("action"))
+    return t.join(met, "doc_id").where(found).select("doc_id", "action").distinct()
 
 
 def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:
@@ -43,13 +90,14 @@ def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:
     whitespace, repeats counted), each word matched case-insensitively to the text's
     word scores (first spelling in word order wins); kept when at least half of the
     words were found."""
-    words = hits.select("doc_id", "action", F.posexplode(F.split(F.trim("action"), r"\s+")).alias("wi", "aw"))
+    parts = F.filter(F.split("action", r"\s+"), lambda w: w != "")  # a blank action has no words
+    words = hits.select("doc_id", "action", F.posexplode_outer(parts).alias("wi", "aw"))
     words = words.withColumn("__lw", F.lower("aw"))
     ws = (word_attr.groupBy("doc_id", F.lower("word").alias("__lw"))
                    .agg(F.min_by("score", "first_word_id").alias("__s")))
     j = words.join(ws, ["doc_id", "__lw"], "left")
     g = j.groupBy("doc_id", "action").agg(F.sum(F.abs("__s")).alias("score"),
-                                          F.count("__s").alias("words_found"), F.count(F.lit(1)).alias("n_words"))
+                                          F.count("__s").alias("words_found"), F.count("aw").alias("n_words"))
     return g.filter(F.col("words_found") >= F.col("n_words") / 2).select(
         "doc_id", "action", F.coalesce("score", F.lit(0.0)).alias("score"), "words_found", "n_words")
 
@@ -94,8 +142,7 @@ def chart_table(stats: DataFrame, value: str = "mean_score", k: int = 25, joint_
              .withColumn("other_scaled", F.when(m2 == 0, 0.0).otherwise(F.col("other_value") / m2))
     label = F.col("action")
     if inverse is not None:
-        t = t.join(F.broadcast(inverse.select(F.col("dst").alias("action"), F.col("src").alias("__src"))),
-                   "action", "left")
+        t = t.join(inverse.select(F.col("dst").alias("action"), F.col("src").alias("__src")), "action", "left")
         label = F.coalesce("__src", "action")
     return t.withColumn("label", shorten(label, 50)).drop("__src")
 
@@ -103,47 +150,3 @@ def chart_table(stats: DataFrame, value: str = "mean_score", k: int = 25, joint_
 def inverse_dictionary(dictionary: DataFrame) -> DataFrame:
     """Target -> source with the last source winning."""
     return dictionary.groupBy("dst").agg(F.max_by("src", "pos").alias("src"))
-
-
-def _phrase_hits_automaton(texts: DataFrame, phrases: DataFrame, text: str) -> DataFrame:
-    acts = phrases.select("action").distinct().limit(MAX_PHRASES + 1).collect()
-    if len(acts) > MAX_PHRASES:
-        raise ValueError(f"phrase list above {MAX_PHRASES} entries: not dictionary-sized")
-    # lower-cased on the JVM side as Spark's lower() does, so both methods agree
-    low = phrases.sparkSession.createDataFrame([(a[0],) for a in acts], "action string") \
-        .select("action", F.lower("action").alias("lp")).collect()
-    pairs = [(r["action"], r["lp"]) for r in low if r["action"] is not None]
-    bc = texts.sparkSession.sparkContext.broadcast(pairs)
-
-    def run(batches):
-        import ahocorasick
-        import pandas as pd
-        auto = ahocorasick.Automaton()
-        always = []
-        for i, (a, lp) in enumerate(bc.value):
-            if lp == "":
-                always.append(a)
-                continue
-            if lp in auto:
-                auto.get(lp).append(a)
-            else:
-                auto.add_word(lp, [a])
-        if len(auto):
-            auto.make_automaton()
-        for pdf in batches:
-            ids, out = [], []
-            for doc_id, t in zip(pdf["doc_id"], pdf["__lt"]):
-                if t is None:
-                    continue
-                found = set()
-                if len(auto):
-                    for _, names in auto.iter(t):
-                        found.update(names)
-                found.update(always)
-                for a in found:
-                    ids.append(doc_id)
-                    out.append(a)
-            yield pd.DataFrame({"doc_id": pd.Series(ids, dtype="int64"), "action": pd.Series(out, dtype="object")})
-
-    t = texts.select(F.col("doc_id").cast("long"), F.lower(F.col(text)).alias("__lt"))
-    return t.mapInPandas(run, "doc_id long, action string")

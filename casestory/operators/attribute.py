@@ -37,33 +37,44 @@ CONVERGED_REL_ERROR = 0.05
 def wordpiece_tokens(docs: DataFrame, text: str = "text", piece: int = 4, max_len: int | None = None,
                      side: str = "right") -> DataFrame:
     """M1-style tokens: whitespace words cut into ``piece``-character pieces ('##' marks
-    a continuation), framed by [CLS] ... [SEP]. ``pos`` is 0-based over the frame.
+    a continuation), framed by [CLS] ... [SEP]. ``pos`` is 0-based over the frame; null and
+    empty texts have the frame alone.
 
     ``max_len`` keeps a window of tokens (side 'right' = first, 'left' = last) as a
-    model input would; None keeps the whole text.
+    model input would; None keeps the whole text. Pieces are cut and numbered inside the row,
+    so there is no shuffle.
     """
-    words = docs.select("doc_id", F.posexplode(F.split(F.trim(F.col(text)), r"\s+")).alias("wpos", "word")) \
-                .filter(F.col("word") != "")
-    n = F.greatest(F.ceil(F.length("word") / piece), F.lit(1)).cast("int")
-    pieces = words.select("doc_id", "wpos", F.posexplode(F.transform(
-        F.sequence(F.lit(0), n - 1), lambda j: F.substring(F.col("word"), j * piece + 1, piece))).alias("ppos", "p"))
-    pieces = pieces.select("doc_id", "wpos", "ppos",
-                           F.when(F.col("ppos") == 0, F.col("p")).otherwise(F.concat(F.lit("##"), F.col("p")))
-                           .alias("token"))
-    # position = 1 + number of pieces before this word + piece index; via a per-doc scan
-    w = pieces.withColumn("__one", F.lit(1))
-    s = scan_by_key(w, ["doc_id"], ["wpos", "ppos"], F.floor(F.col("wpos") / 4096), rownum="pos")
-    body = s.select("doc_id", "pos", "token")
-    ends = body.groupBy("doc_id").agg(F.max("pos").alias("__m"))
-    frame = (docs.select("doc_id", F.lit(0).cast("long").alias("pos"), F.lit("[CLS]").alias("token"))
-             .unionByName(ends.select("doc_id", (F.col("__m") + 1).alias("pos"), F.lit("[SEP]").alias("token")))
-             .unionByName(body))
+    frame = F.concat(F.array(F.lit("[CLS]")), pieces_of(F.col(text), piece), F.array(F.lit("[SEP]")))
+    rows = docs.select("doc_id", F.posexplode(frame).alias("__p", "token"), F.size(frame).alias("__n"))
     if max_len is not None:
-        tot = frame.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__n"))
-        frame = frame.join(tot, "doc_id")
-        keep = (F.col("pos") < max_len) if side == "right" else (F.col("pos") >= F.col("__n") - max_len)
-        frame = frame.filter(keep).drop("__n")
-    return frame
+        rows = rows.filter((F.col("__p") < max_len) if side == "right" else (F.col("__p") >= F.col("__n") - max_len))
+    return rows.select("doc_id", F.col("__p").cast("long").alias("pos"), "token")
+
+
+def pieces_of(text: Column, piece: int = 4) -> Column:
+    """The word pieces of a text as an array."""
+    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+
+    def cut(w):
+        n = F.ceil(F.length(w) / piece).cast("int")
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.concat(
+            F.when(j == 0, F.lit("")).otherwise(F.lit("##")), w.substr(j * piece + 1, F.lit(piece))))
+    return F.flatten(F.transform(words, cut))
+
+
+def model_input(docs: DataFrame, max_len: int, text: str = "text", piece: int = 4, side: str = "right",
+                label: str | None = None) -> DataFrame:
+    """M1: one row per text with ``tokens`` of exactly ``max_len`` entries, ``mask`` (1 token, 0
+    padding) and the label; longer texts lose the start (side 'left') or the end of the body, as a
+    truncating tokenizer does, and keep the frame."""
+    body = pieces_of(F.col(text), piece)
+    room = max_len - 2
+    start = F.when(F.lit(side == "left"), F.greatest(F.size(body) - room, F.lit(0)) + 1).otherwise(F.lit(1))
+    frame = F.concat(F.array(F.lit("[CLS]")), F.slice(body, start, F.lit(room)), F.array(F.lit("[SEP]")))
+    d = docs.withColumn("__f", frame)
+    padded = F.concat("__f", F.array_repeat(F.lit("[PAD]"), max_len - F.size("__f")))
+    mask = F.transform(F.sequence(F.lit(1), F.lit(max_len)), lambda i: (i <= F.size("__f")).cast("int"))
+    return d.select("doc_id", padded.alias("tokens"), mask.alias("mask"), *([F.col(label).alias("label")] if label else []))
 
 
 def token_weights_expr(token: Column, fold: int = 0) -> Column:
@@ -81,11 +92,23 @@ def with_weights(tokens: DataFrame, weights: DataFrame | None = None,
     """Attach ``w array<double>`` to every token (table join or column function)."""
     if weight_fn is not None:
         return tokens.withColumn("w", weight_fn(F.col("token")))
-    from casestory.functions.joins import small_side
-    return tokens.join(small_side(weights.select("token", "w")), "token", "left") \
+    return tokens.join(weights.select("token", "w"), "token", "left") \
                  .withColumn("w", F.coalesce("w", F.array(F.lit(0.0), F.lit(0.0))))
 
 
+def centred_weights(tw: DataFrame, bias: list[float], k: int = 2) -> tuple[DataFrame, list[float]]:
+    """X1 with the corpus mean as baseline: the mean class sums of all documents, spread evenly over
+    a document's tokens, are taken from its weights and added to the bias, so the path starts at
+    the mean document and ends at the text."""
+    sums = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)],
+                                    F.count(F.lit(1)).alias("__n"))
+    mean = sums.agg(*[F.avg(f"s{j}") for j in range(k)]).first()  # k numbers
+    shift = F.array(*[F.lit(float(x or 0.0)) for x in mean])
+    moved = tw.join(sums.select("doc_id", "__n"), "doc_id").withColumn(
+        "w", F.zip_with("w", shift, lambda x, y: x - y / F.col("__n"))).drop("__n")
+    return moved, [b + float(x or 0.0) for b, x in zip(bias, mean)]
+
+
 # ------------------------------------------------------------------ X1 / X3
 
 def _softmax(z: Column) -> Column:
@@ -98,7 +121,8 @@ def _softmax(z: Column) -> Column:
 def doc_path_summary(tw: DataFrame, bias: list[float], n_steps: int | Column, target: Column | None = None,
                      k: int = 2) -> DataFrame:
     """Per document: s_k, predicted class, target, m_k (trapezoid over n steps), f(x),
-    f(baseline), sum of attributions (= sum_k m_k s_k)."""
+    f(baseline), sum of attributions (= sum_k m_k s_k). The baseline is the empty text; for the
+    corpus mean pass weights that are centred (``centred_weights``) and the bias at the mean."""
     s = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
     s = s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)])).drop(*[f"s{j}" for j in range(k)])
     b = F.array(*[F.lit(float(x)) for x in bias])
@@ -205,16 +229,9 @@ def completeness(summary: DataFrame) -> DataFrame:
 
 
 def step_ladder(initial: int = 50, max_steps: int = 1000, max_attempts: int = 5) -> list[int]:
-    """X6 rungs: start, then doubling while below max_steps, at most max_attempts tries
-    (max_steps itself is never tried -- kept as in the reference)."""
-    rungs = [initial]
-    n = initial
-    for _ in range(1, max_attempts):
-        n = min(n * 2, max_steps)
-        if n >= max_steps:
-            break
-        rungs.append(n)
-    return rungs
+    """X6 rungs: initial * 2^i below ``max_steps`` for i < ``max_attempts``; the first rung always
+    (``max_steps`` itself is never tried)."""
+    return [initial] + [initial << i for i in range(1, max_attempts) if initial << i < max_steps]
 
 
 def optimal_steps(tw: DataFrame, bias: list[float], rungs: list[int], target_rel_error: float = 0.01,
@@ -239,7 +256,8 @@ def adaptive(tw: DataFrame, bias: list[float], low: int = 1500, high: int = 5500
              threshold: float = 0.05, k: int = 2) -> tuple[DataFrame, DataFrame]:
     """All documents at ``low`` steps; those above ``threshold`` relative error are
     recomputed at ``high`` and replace their low rows. Returns (diagnostics, report)
-    where the report has the upgraded share and the estimated saving vs. all-high."""
+    where the report has the upgraded share and the estimated saving against all at ``high``:
+    the share that stays low times the steps saved per text."""
     lo = completeness(doc_path_summary(tw, bias, low, k=k)).withColumn("upgraded", F.lit(False))
     need = lo.filter(~(F.coalesce(F.col("rel_error"), F.lit(float("inf"))) <= threshold)).select("doc_id")
     tw_hi = tw.join(need, "doc_id", "left_semi")
@@ -247,19 +265,40 @@ def adaptive(tw: DataFrame, bias: list[float], low: int = 1500, high: int = 5500
     out = lo.join(need, "doc_id", "left_anti").unionByName(hi)
     rep = out.agg(F.count(F.lit(1)).alias("n_samples"), F.sum(F.col("upgraded").cast("int")).alias("n_upgraded"),
                   F.avg(F.col("upgraded").cast("double")).alias("upgrade_share"))
-    rep = rep.withColumn("estimated_saving",
-                         1 - (F.lit(float(low)) + F.col("upgrade_share") * high) / F.lit(float(high)))
+    rep = rep.withColumn("estimated_saving", (1 - F.col("upgrade_share")) * (high - low) / high)
     return out, rep
 
 
-def ensemble_attributions(token_attr_folds: DataFrame, diag_folds: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mean score over folds per (doc, position); per document the average relative
-    error (an infinite error keeps the average infinite), converged and total folds."""
-    tok = token_attr_folds.groupBy("doc_id", "pos").agg(F.first("token").alias("token"), F.avg("score").alias("score"))
-    summ = diag_folds.groupBy("doc_id").agg(F.avg("rel_error").alias("avg_rel_error"),
-                                            F.sum(F.col("converged").cast("int")).alias("converged_folds"),
-                                            F.count(F.lit(1)).alias("total_folds"))
-    return tok, summ
+def fold_summaries(tokens: DataFrame, bias: list[float], grid: list[int], folds: list[int], k: int = 2,
+                   weight_fn=token_weights_expr) -> DataFrame:
+    """Path terms of every document for every fold model and step count, from one aggregate over
+    the tokens (the class sums of all folds together)."""
+    sums = [F.sum(F.element_at(weight_fn(F.col("token"), f), j + 1)) for f in folds for j in range(k)]
+    s = tokens.groupBy("doc_id").agg(F.array(*sums).alias("__all"))
+    b = F.array(*[F.lit(float(x)) for x in bias])
+    each = F.array(*[F.struct(F.lit(f).alias("fold"), F.slice("__all", i * k + 1, k).alias("s")) for i, f in enumerate(folds)])
+    s = s.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.fold", "e.s")
+    z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
+    s = s.withColumn("target", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
+    s = s.withColumn("n_steps", F.explode(F.array(*[F.lit(n) for n in grid])))
+    return _path_terms(s, b, k)
+
+
+def fold_token_scores(tokens: DataFrame, summaries: DataFrame, folds: list[int], k: int = 2,
+                      weight_fn=token_weights_expr) -> DataFrame:
+    """X8, token side: mean over folds of each token's score; documents meet their fold terms once."""
+    per = summaries.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("fold", "m"))).alias("m"))
+    each = [F.aggregate(F.zip_with(F.col("m")[F.lit(f)], weight_fn(F.col("token"), f), lambda x, y: x * y), F.lit(0.0),
+                        lambda acc, x: acc + x) for f in folds]
+    return tokens.join(per, "doc_id").select("doc_id", "pos", "token", (sum(each[1:], each[0]) / len(folds)).alias("score"))
+
+
+def fold_errors(diag: DataFrame) -> DataFrame:
+    """X8, document side: average relative error (an infinite error keeps it infinite), converged
+    and total folds."""
+    return diag.groupBy("doc_id").agg(F.avg("rel_error").alias("avg_rel_error"),
+                                      F.sum(F.col("converged").cast("int")).alias("converged_folds"),
+                                      F.count(F.lit(1)).alias("total_folds"))
 
 
 def classify_samples(diag: DataFrame) -> DataFrame:
@@ -275,43 +314,39 @@ def classify_samples(diag: DataFrame) -> DataFrame:
                         .when(F.col("all_converged"), "converged").otherwise("none"))
 
 
+def worst_samples(diag: DataFrame, k: int = 5) -> DataFrame:
+    """The ``k`` documents of each category with the largest finite error (ties by id)."""
+    c = classify_samples(diag).filter(F.col("category") != "none")
+    return top_k(c.select("category", "doc_id", F.coalesce("max_finite_error", F.lit(-1.0)).alias("max_finite_error")),
+                 ["category"], "max_finite_error", "doc_id", k)
+
+
 # ------------------------------------------------------------------ X10 / X11
 
-def step_grid(tw: DataFrame, bias: list[float], grid: list[int], folds: list[int], k: int = 2,
+def step_grid(tokens: DataFrame, bias: list[float], grid: list[int], folds: list[int], k: int = 2,
               weight_fn=token_weights_expr) -> DataFrame:
     """Diagnostics for every sample x fold x n_steps (grid and folds are parameter
     lists; each fold has its own weights)."""
-    out = None
-    for f in folds:
-        twf = tw.withColumn("w", weight_fn(F.col("token"), f))
-        s = twf.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
-        s = s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)]))
-        b = F.array(*[F.lit(float(x)) for x in bias])
-        z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
-        s = s.select("doc_id", "s", (F.array_position(z1, F.array_max(z1)) - 1).cast("int").alias("target"),
-                     F.explode(F.array(*[F.lit(n) for n in grid])).alias("n_steps"), F.lit(f).alias("fold"))
-        d = completeness(_path_terms(s, b, k))
-        out = d if out is None else out.unionByName(d)
-    return out
+    return completeness(fold_summaries(tokens, bias, grid, folds, k, weight_fn))
 
 
 def grid_summary(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     """X11: per n_steps: mean / median / sample std / max of the relative error, mean and
-    median abs error, converged count and total, rounded to 6; recommendation: first
+    median abs error, converged count and total, rounded to 6; recommendation, from the
+    unrounded values: first
     n_steps with rate >= 0.95 and mean error <= 0.01, else first with rate >= 0.80,
     else the lowest mean error."""
-    s = grid.groupBy("n_steps").agg(
-        F.bround(F.avg("rel_error"), 6).alias("mean_rel_error"),
-        F.bround(F.median("rel_error"), 6).alias("median_rel_error"),
-        F.bround(F.stddev_samp("rel_error"), 6).alias("std_rel_error"),
-        F.bround(F.max("rel_error"), 6).alias("max_rel_error"),
-        F.bround(F.avg("abs_error"), 6).alias("mean_abs_error"),
-        F.bround(F.median("abs_error"), 6).alias("median_abs_error"),
-        F.sum(F.col("converged").cast("int")).alias("converged"),
-        F.count(F.lit(1)).alias("total"))
-    s = s.withColumn("convergence_rate", F.col("converged") / F.col("total"))
-    rec = s.agg(F.coalesce(
-        F.min(F.when((F.col("convergence_rate") >= 0.95) & (F.col("mean_rel_error") <= 0.01), F.col("n_steps"))),
+    mean_rel = F.avg("rel_error").alias("__mean")
+    g = grid.groupBy("n_steps").agg(
+        mean_rel, F.median("rel_error").alias("median_rel_error"), F.stddev_samp("rel_error").alias("std_rel_error"),
+        F.max("rel_error").alias("max_rel_error"), F.avg("abs_error").alias("mean_abs_error"),
+        F.median("abs_error").alias("median_abs_error"), F.sum(F.col("converged").cast("int")).alias("converged"),
+        F.count(F.lit(1)).alias("total")).withColumn("convergence_rate", F.col("converged") / F.col("total"))
+    rec = g.agg(F.coalesce(
+        F.min(F.when((F.col("convergence_rate") >= 0.95) & (F.col("__mean") <= 0.01), F.col("n_steps"))),
         F.min(F.when(F.col("convergence_rate") >= 0.80, F.col("n_steps"))),
-        F.min_by("n_steps", F.struct("mean_rel_error", "n_steps"))).alias("recommended_n_steps"))
+        F.min_by("n_steps", F.struct("__mean", "n_steps"))).alias("recommended_n_steps"))
+    six = ("median_rel_error", "std_rel_error", "max_rel_error", "mean_abs_error", "median_abs_error")
+    s = g.select("n_steps", F.bround("__mean", 6).alias("mean_rel_error"), *[F.bround(c, 6).alias(c) for c in six],
+                 "converged", "total", "convergence_rate")
     return s, rec

@@ -98,7 +98,8 @@ def early_stopping_v2(epochs: DataFrame, score: str = "val_loss", train: str | N
     score > best + delta (max); stop when the counter reaches patience
     ('no_improvement'). The ratio is val/train (skipped when either is <= 0); a ratio
     above the threshold counts, otherwise the count resets; stop at ratio patience
-    ('loss_ratio_overfitting'). Both rules are checked every epoch.
+    ('loss_ratio_overfitting'). Both rules are checked every epoch; where both stop, the
+    ratio rule names the reason.
     """
     cols = [F.col(score).alias("v")] + ([F.col(train).alias("t")] if train else [F.lit(None).cast("double").alias("t")])
     g = _ordered(epochs, keys, cols)
@@ -123,7 +124,7 @@ def early_stopping_v2(epochs: DataFrame, score: str = "val_loss", train: str | N
                        F.when(imp, x["epoch"]).otherwise(s["best_epoch"]).alias("best_epoch"),
                        counter.alias("counter"), rc.alias("rc"),
                        F.when(stop, x["epoch"]).otherwise(F.lit(-1)).alias("stop_epoch"),
-                       F.when(std_stop, F.lit("no_improvement")).when(r_stop, F.lit("loss_ratio_overfitting"))
+                       F.when(r_stop, F.lit("loss_ratio_overfitting")).when(std_stop, F.lit("no_improvement"))
                         .alias("reason"))
         return F.when(s["stop_epoch"] >= 0, s).otherwise(new)
 
@@ -147,3 +148,20 @@ def best_fold(fold_metrics: DataFrame, value: str, fold_col: str = "fold") -> Da
     """The fold with the highest value, the lowest fold on ties."""
     return fold_metrics.agg(F.max_by(F.col(fold_col), F.struct(F.col(value), -F.col(fold_col))).alias("best_fold"),
                             F.max(value).alias("best_value"))
+
+
+def monitored_metrics(fold_metrics: DataFrame, names: list[str], fold_col: str = "fold") -> DataFrame:
+    """``(fold, metric, value)`` of the metrics asked for by name; a name that no column
+    has gives 0.0 in every fold."""
+    value = [F.struct(F.lit(n).alias("metric"),
+                      (F.coalesce(F.col(n).cast("double"), F.lit(0.0)) if n in fold_metrics.columns else F.lit(0.0)).alias("value"))
+             for n in names]
+    return fold_metrics.select(fold_col, F.explode(F.array(*value)).alias("m")).select(fold_col, "m.metric", "m.value")
+
+
+def fold_report(fold_metrics: DataFrame, fold_col: str = "fold") -> DataFrame:
+    """Per metric ``mean +/- std (min - max)`` as text with 4 digits, beside the numbers."""
+    a = kfold_aggregate(fold_metrics, fold_col)
+    four = lambda c: F.format_string("%.4f", F.col(c))
+    return a.withColumn("summary", F.concat(four("mean"), F.lit(" +/- "), four("std"), F.lit(" ("), four("min"),
+                                            F.lit(" - "), four("max"), F.lit(")")))

@@ -191,10 +191,10 @@ def roc_auc(preds: DataFrame, y_true: str = "y_true", score: str = "score", n_bu
         if len(splits) > 2 else g.withColumn("__bk", F.lit(0.0))
     cs = scan_by_key(gb, [], ["s"], F.col("__bk"), cumsums={"cneg": F.col("neg")})
     below = F.col("cneg") - F.col("neg")
-    r = cs.agg((F.sum(F.col("pos") * (below + 0.5 * F.col("neg")))).alias("__num"),
+    r = cs.agg((F.sum(F.col("pos").cast("double") * (below + 0.5 * F.col("neg")))).alias("__num"),
                F.sum("pos").alias("__p"), F.sum("neg").alias("__n"))
     return r.select(F.when((F.col("__p") == 0) | (F.col("__n") == 0), F.lit(None).cast("double"))
-                    .otherwise(F.col("__num") / (F.col("__p") * F.col("__n"))).alias("auc_roc"))
+                    .otherwise(F.col("__num") / F.col("__p").cast("double") / F.col("__n").cast("double")).alias("auc_roc"))
 
 
 # ------------------------------------------------------------------ M3 + losses

@@ -16,7 +16,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestory.functions.seq import scan_by_key, ts_bucket
+from casestory.functions.seq import global_position, scan_by_key, ts_bucket
 from casestory.functions.text import py_str
 
 # Per-activity sentence templates of the prefix texts ({{field}} is
@@ -156,11 +156,12 @@ def prefix_texts(stays: DataFrame, block: int = 64, bucket_seconds: int = 86400)
 def temporal_split(stays: DataFrame, train_share: float = 0.66, bucket_seconds: int = 86400) -> DataFrame:
     """D1 + W12: stays ordered by start time (ties by id); the first int(share * n) train.
 
-    Position without a global window: a per-day bucket window plus the running count of
-    earlier buckets (X-5). Returns ``(stay_id, start, position, split)``.
+    Position without a global window: windows over the ranges of a range partitioning plus the
+    running count of earlier ranges, so a day that has most stays is spread too.
+    Returns ``(stay_id, start, position, split)``.
     """
     starts = stays.filter(F.col("stay_id").isNotNull()).groupBy("stay_id").agg(F.min("timestamps").alias("start"))
-    pos = scan_by_key(starts, [], ["start", "stay_id"], ts_bucket("start", bucket_seconds), rownum="position")
+    pos = global_position(starts, ["start", "stay_id"], "position")
     n = starts.select(F.count(F.lit(1))).scalar()  # scalar subquery: one value
     return pos.select("stay_id", "start", "position",
                       F.when(F.col("position") <= F.floor(F.lit(train_share) * n), "train")

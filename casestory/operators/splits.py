@@ -1,7 +1,7 @@
 """Seeded stratified splits, k-fold assignment and label encoding.
 
 Random order is ``md5(id || '-' || seed)`` so both engines agree. Positions inside a
-class never use a window over the whole class: rows are bucketed by the first two hex
+class never use a window over the whole class: rows are bucketed by the first four hex
 digits of the hash, ranked inside ``(class, bucket)`` and offset by the running count
 of earlier buckets (``scan_by_key``). Class-level arithmetic runs on the per-class
 count table (a handful of rows).
@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestory.functions.joins import small_side
-from casestory.functions.seq import scan_by_key
+from casestory.functions.seq import global_position, scan_by_key
 
 
 def hash_order(id_col: str, seed: int, salt: str = "") -> Column:
@@ -23,7 +22,7 @@ def hash_order(id_col: str, seed: int, salt: str = "") -> Column:
 def class_ranks(df: DataFrame, id_col: str, label_col: str, seed: int, salt: str = "") -> DataFrame:
     """1-based rank of each row inside its class in hash order (``rank_in_class``)."""
     d = df.withColumn("__h", hash_order(id_col, seed, salt))
-    r = scan_by_key(d, [label_col], ["__h", id_col], F.substring("__h", 1, 2), rownum="rank_in_class")
+    r = scan_by_key(d, [label_col], ["__h", id_col], F.substring("__h", 1, 4), rownum="rank_in_class")
     return r.drop("__h")
 
 
@@ -35,8 +34,9 @@ def allocate(counts: DataFrame, label_col: str, total_take: Column | int) -> Dat
     """
     n = F.sum("n_c").over(Window.partitionBy())
     take = F.lit(total_take) if isinstance(total_take, int) else total_take
-    c = counts.withColumn("__n", n).withColumn("__num", F.col("n_c") * take)
-    c = c.withColumn("__base", F.floor(F.col("__num") / F.col("__n")).cast("long")) \
+    # as decimals: a product of two counts outgrows a long
+    c = counts.withColumn("__n", n.cast("decimal(19,0)")).withColumn("__num", F.col("n_c").cast("decimal(19,0)") * take.cast("decimal(19,0)"))
+    c = c.withColumn("__base", F.floor((F.col("__num") - F.col("__num") % F.col("__n")) / F.col("__n")).cast("long")) \
          .withColumn("__rem", F.col("__num") % F.col("__n"))
     left = take - F.sum("__base").over(Window.partitionBy())
     w = Window.orderBy(F.col("__rem").desc(), F.col(label_col))
@@ -52,7 +52,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))  # one row per class
     n = df.select(F.count(F.lit(1))).scalar()
     n_test = F.ceil(n * F.lit(test_size)).cast("long")
-    alloc = small_side(allocate(counts, label_col, n_test).select(label_col, "take"))
+    alloc = allocate(counts, label_col, n_test).select(label_col, "take")
     r = class_ranks(df, id_col, label_col, seed, salt).join(alloc, label_col)
     return r.withColumn("split", F.when(F.col("rank_in_class") <= F.col("take"), "test").otherwise("train")) \
             .drop("take", "rank_in_class")
@@ -75,26 +75,29 @@ def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, see
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     offs = counts.withColumn("__off", F.coalesce(F.sum("n_c").over(
         Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = class_ranks(df, id_col, label_col, seed).join(small_side(offs.select(label_col, "__off")), label_col)
+    r = class_ranks(df, id_col, label_col, seed).join(offs.select(label_col, "__off"), label_col)
     return r.withColumn("fold", ((F.col("__off") + F.col("rank_in_class") - 1) % k).cast("int")) \
             .drop("__off", "rank_in_class")
 
 
 def kfold(df: DataFrame, id_col: str, k: int = 5, shuffle: bool = True, seed: int = 42) -> DataFrame:
     """Plain k-fold; contiguous blocks in id order (hash order when shuffled), the
-    first n mod k folds one row larger. Requires 2 <= k <= n."""
+    first n mod k folds one row larger. Requires 2 <= k <= n; ids may have any orderable type."""
     n = df.count()
     if not 2 <= k <= n:
         raise ValueError(f"k must be between 2 and n={n}, got {k}")
-    d = df.withColumn("__h", hash_order(id_col, seed) if shuffle else F.lit(""))
-    d = d.withColumn("__all", F.lit(0))
-    bucket = F.substring("__h", 1, 2) if shuffle else F.floor(F.col(id_col) / F.lit(max(1, n // 256)))
-    r = scan_by_key(d, ["__all"], ["__h", id_col], bucket, rownum="__pos")
+    d = df.withColumn("__h", hash_order(id_col, seed)) if shuffle else df
+    r = global_position(d, ["__h", id_col] if shuffle else [id_col], "__pos")
     q, rem = n // k, n % k
     big = (q + 1) * rem
     pos0 = F.col("__pos") - 1
     fold = F.when(pos0 < big, F.floor(pos0 / (q + 1))).otherwise(rem + F.floor((pos0 - big) / q))
-    return r.withColumn("fold", fold.cast("int")).drop("__h", "__all", "__pos")
+    return r.withColumn("fold", fold.cast("int")).drop("__h", "__pos")
+
+
+def train_val_folds(split: DataFrame, id_col: str, label_col: str, k: int = 5, seed: int = 42) -> DataFrame:
+    """K-fold over the rows of train and validation together; the test rows stay out."""
+    return stratified_kfold(split.filter(F.col("split") != "test").drop("split"), id_col, label_col, k, seed)
 
 
 def fold_sets(folded: DataFrame, fold: int) -> tuple[DataFrame, DataFrame]:
@@ -108,7 +111,7 @@ def encode_labels(train: DataFrame, test: DataFrame | None, label_col: str = "la
     not seen in train fails the job. Returns (train, test, mapping)."""
     labels = train.select(label_col).distinct()  # one row per label
     mapping = labels.withColumn(out, (F.row_number().over(Window.orderBy(label_col)) - 1).cast("int"))
-    m = small_side(mapping)
+    m = mapping
     tr = train.join(m, label_col, "left")
     te = None
     if test is not None:

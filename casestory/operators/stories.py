@@ -92,7 +92,7 @@ def stories(log: DataFrame, dictionary: DataFrame, style: str = "narrative",
     )
     if token_dict is not None:
         from casestory.operators.tokens import replace_with_tokens
-        out = replace_with_tokens(out, token_dict, "story_text")
+        out = replace_with_tokens(out, token_dict, "story_text", id_col="case_id")
     # A story that could not be rendered falls back to a fixed sentence
     return out.withColumn("story_text", F.coalesce(
         F.col("story_text"),

@@ -9,7 +9,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from casestory.functions.joins import small_side
 from casestory.functions.text import capitalize_first, english_list, italian_list, thousands
 
 # Activity categories and their English templates, in the reference's
@@ -82,6 +81,11 @@ FALLBACK_TEXT = "Error generating narrative for patient {case_id}."
 
 # ------------------------------------------------------------------ J1: translation
 
+def _by_source(d: DataFrame) -> DataFrame:
+    """One target per source: of a repeated key the last entry holds, as in a JSON object."""
+    return d.groupBy(F.col("src").alias("__k1")).agg(F.max_by("dst", "pos").alias("__d1"))
+
+
 def translate(df: DataFrame, dictionary: DataFrame, col: str = "activity",
               out: str = "activity_en", mode: str = "exact_ci") -> DataFrame:
     """Translate ``col`` through ``dictionary(pos, src, dst)``.
@@ -94,18 +98,17 @@ def translate(df: DataFrame, dictionary: DataFrame, col: str = "activity",
     res = df
     parts = []
     if mode in ("exact_ci", "exact"):
-        ex = small_side(d.select(F.col("src").alias("__k1"), F.col("dst").alias("__d1")))
+        ex = _by_source(d)
         res = res.join(ex, res[col] == ex["__k1"], "left")
         parts.append(F.col("__d1"))
     elif mode == "upper_ci":
-        ex = small_side(d.select(F.col("src").alias("__k1"), F.col("dst").alias("__d1")))
+        ex = _by_source(d)
         res = res.join(ex, F.upper(res[col]) == ex["__k1"], "left")
         parts.append(F.when(F.col("__d1") != "", F.col("__d1")))  # empty text is "not found"
     else:
         raise ValueError(f"unknown mode {mode}")
     if mode in ("exact_ci", "upper_ci"):
-        ci = small_side(d.groupBy(F.upper("src").alias("__k2"))
-                         .agg(F.min_by("dst", "pos").alias("__d2")))
+        ci = d.groupBy(F.upper("src").alias("__k2")).agg(F.min_by("dst", "pos").alias("__d2"))
         res = res.join(ci, F.upper(res[col]) == ci["__k2"], "left")
         parts.append(F.col("__d2"))
     res = res.withColumn(out, F.coalesce(*parts, F.col(col)))

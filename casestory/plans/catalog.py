@@ -283,13 +283,16 @@ def q_kfold_plain(spark, sf):
     return sp.kfold(table(spark, sf, "embeddings").select("vec_id"), "vec_id", 5, True, 42)
 
 
-@register("kfold_union_train_val", """SELECT split, CAST(count(*) AS BIGINT) AS n FROM (
-  SELECT 'all' AS split FROM embeddings) GROUP BY split""")
+@register("kfold_union_train_val", f"""WITH s1 AS {_strat_sql('embeddings', 0.2)},
+r AS (SELECT vec_id, label FROM s1 WHERE split = 'train'),
+k AS (SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY md5(CAST(vec_id AS VARCHAR) || '-42'), vec_id) AS rk FROM r),
+o AS (SELECT label, coalesce(sum(n_c) OVER (ORDER BY label ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+      FROM (SELECT label, count(*) AS n_c FROM r GROUP BY label))
+SELECT k.vec_id, k.label, CAST((o.off + k.rk - 1) % 5 AS INTEGER) AS fold FROM k JOIN o USING (label)""")
 def q_kfold_union(spark, sf):
-    """Train and validation re-combined before k-fold (row count kept)."""
+    """K-fold over train and validation rows together, the test rows held out."""
     tvt = sp.train_val_test_split(_emb(spark, sf), "vec_id", "label", 0.2, 0.1, 42)
-    rest = tvt.filter(F.col("split") != "test").unionByName(tvt.filter(F.col("split") == "test"))
-    return rest.agg(F.lit("all").alias("split"), F.count(F.lit(1)).alias("n"))
+    return sp.train_val_folds(tvt, "vec_id", "label", 5, 42)
 
 
 @register("label_encode", f"""WITH s AS {_strat_sql('embeddings', 0.2)},
@@ -309,12 +312,12 @@ from casestory.operators import metrics as mt  # noqa: E402
 from casestory.plans.bindings import (BINARY_PREDS_SQL, FOLD_LOGITS_SQL, binary_preds,  # noqa: E402
                                       fold_logits)
 
-_MULTI_SQL = f"(SELECT id, y_true, {O.argmax_sql('logits')} AS y_pred FROM {FOLD_LOGITS_SQL} WHERE fold = 0)"
+_MULTI_SQL = f"(SELECT id, y_true, {O.argmax_sql('logits')} AS y_pred FROM {FOLD_LOGITS_SQL})"
 
 
 def _multi(spark, sf):
-    """Fold-0 multi-class predictions: argmax of the logits (M3)."""
-    return fold_logits(spark, sf).filter(F.col("fold") == 0).select(
+    """Multi-class predictions of all folds: argmax of the logits (M3)."""
+    return fold_logits(spark, sf).select(
         "id", "y_true", mt.argmax(F.col("logits")).alias("y_pred"))
 
 
@@ -442,20 +445,20 @@ def _focal_sql(alpha_list, clamp=True, reduction="mean"):
     a = "1.0" if alpha_list is None else "[" + ", ".join(str(float(x)) for x in alpha_list) + "][y_true + 1]"
     loss = f"-({a}) * pow(1 - {pt}, 2.0) * ln({pt})"
     agg = "avg" if reduction == "mean" else "sum"
-    return f"SELECT round({agg}({loss}), 6) AS loss FROM {FOLD_LOGITS_SQL} WHERE fold = 0"
+    return f"SELECT round({agg}({loss}), 6) AS loss FROM {FOLD_LOGITS_SQL}"
 
 
 @register("focal_loss_mean", _focal_sql(None))
 def q_focal_loss_mean(spark, sf):
     """Focal loss, gamma 2, no alpha, mean."""
-    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    fl = fold_logits(spark, sf)
     return _r6(mt.focal_loss(fl, alpha=None, gamma=2.0, reduction="mean"))
 
 
 @register("focal_loss_alpha_sum", _focal_sql([0.05 * (i + 1) for i in range(10)], True, "sum"))
 def q_focal_loss_alpha_sum(spark, sf):
     """Focal loss with a per-class alpha list, sum."""
-    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    fl = fold_logits(spark, sf)
     return _r6(mt.focal_loss(fl, alpha=[0.05 * (i + 1) for i in range(10)], gamma=2.0, reduction="sum"))
 
 
@@ -471,11 +474,11 @@ def q_focal_loss_binary_ce(spark, sf):
 
 
 @register("weighted_cross_entropy", f"""WITH w AS ({_weights_sql('balanced').replace('round(w * k / sum(w) OVER (), 6)', 'w * k / sum(w) OVER ()')}),
-f AS (SELECT y_true, -ln({O.softmax_sql('logits')}[y_true + 1]) AS nll FROM {FOLD_LOGITS_SQL} WHERE fold = 0)
+f AS (SELECT y_true, -ln({O.softmax_sql('logits')}[y_true + 1]) AS nll FROM {FOLD_LOGITS_SQL})
 SELECT round(sum(w.weight * f.nll) / sum(w.weight), 6) AS loss FROM f JOIN w ON w.label = f.y_true""")
 def q_weighted_cross_entropy(spark, sf):
     """A14 with A3 balanced weights."""
-    fl = fold_logits(spark, sf).filter(F.col("fold") == 0)
+    fl = fold_logits(spark, sf)
     w = mt.class_weights(_emb(spark, sf), "label", "balanced")
     return _r6(mt.weighted_cross_entropy(fl, w))
 
@@ -588,6 +591,22 @@ def q_kfold_aggregate(spark, sf):
     return _r6(hs.kfold_aggregate(_fold_metrics(spark, sf)))
 
 
+@register("fold_report", f"""WITH f AS {_FOLD_METRICS_SQL},
+l AS (SELECT 'accuracy' AS metric, accuracy AS value FROM f UNION ALL SELECT 'n_val', CAST(n_val AS DOUBLE) FROM f)
+SELECT metric, printf('%.4f +/- %.4f (%.4f - %.4f)', avg(value), stddev_pop(value), min(value), max(value)) AS summary FROM l GROUP BY metric""")
+def q_fold_report(spark, sf):
+    """The per-fold metrics as text."""
+    return hs.fold_report(_fold_metrics(spark, sf)).select("metric", "summary")
+
+
+@register("monitored_metrics", f"""WITH f AS {_FOLD_METRICS_SQL}
+SELECT fold, metric, round(CASE metric WHEN 'accuracy' THEN accuracy WHEN 'n_val' THEN CAST(n_val AS DOUBLE) ELSE 0.0 END, 6) AS value
+FROM f, (VALUES ('accuracy'), ('n_val'), ('no_such_metric')) m(metric)""")
+def q_monitored_metrics(spark, sf):
+    """Metrics by name, 0.0 for an unknown one."""
+    return _r6(hs.monitored_metrics(_fold_metrics(spark, sf), ["accuracy", "n_val", "no_such_metric"]))
+
+
 @register("best_fold", f"""SELECT arg_max(fold, (accuracy, -fold)) AS best_fold, round(max(accuracy), 6) AS best_value
   FROM {_FOLD_METRICS_SQL}""")
 def q_best_fold(spark, sf):
@@ -666,49 +685,69 @@ BIAS = [0.0625, -0.0625]
 N_STEPS = 50
 
 
-def _labelled_docs(spark, sf):
-    return table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left_semi").select("doc_id", "text")
+def _attribution_docs(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def _tw(spark, sf, fold=0):
-    tk_ = at.wordpiece_tokens(_labelled_docs(spark, sf))
+    tk_ = at.wordpiece_tokens(_attribution_docs(spark, sf))
     return tk_.withColumn("w", at.token_weights_expr(F.col("token"), fold))
 
 
-_TOKENS_SQL = """(WITH d AS (SELECT doc_id, text FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)),
+_TOKENS_SQL = """(WITH d AS (SELECT doc_id, text FROM documents),
 w AS (SELECT doc_id, wpos, word FROM (SELECT doc_id, unnest(regexp_split_to_array(trim(text), '\\s+')) AS word,
         unnest(range(len(regexp_split_to_array(trim(text), '\\s+')))) AS wpos FROM d) WHERE word <> ''),
 p AS (SELECT doc_id, wpos, pp, CASE WHEN pp = 0 THEN substr(word, 1, 4) ELSE '##' || substr(word, pp * 4 + 1, 4) END AS token
       FROM (SELECT *, unnest(range(CAST(greatest(ceil(length(word) / 4), 1) AS BIGINT))) AS pp FROM w)),
 b AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY wpos, pp) AS pos, token FROM p)
 SELECT doc_id, CAST(0 AS BIGINT) AS pos, '[CLS]' AS token FROM d
-UNION ALL SELECT doc_id, max(pos) + 1, '[SEP]' FROM b GROUP BY doc_id
+UNION ALL SELECT d.doc_id, coalesce(max(b.pos), 0) + 1, '[SEP]' FROM d LEFT JOIN b USING (doc_id) GROUP BY d.doc_id
 UNION ALL SELECT doc_id, pos, token FROM b)"""
 
-_TW_SQL = f"""(SELECT *, ((ascii(token) + 3 * length(token)) % 17 - 8) / 8.0 AS w0,
-  ((ascii(token) * 3 + length(token)) % 19 - 9) / 8.0 AS w1 FROM {_TOKENS_SQL})"""
+def _tw_sql(fold=0):
+    return f"""(SELECT *, ((ascii(token) + 3 * length(token) + {fold}) % 17 - 8) / 8.0 AS w0,
+  ((ascii(token) * 3 + length(token) + {2 * fold}) % 19 - 9) / 8.0 AS w1 FROM {_TOKENS_SQL})"""
 
-_PATH_SQL = f"""(WITH s AS (SELECT doc_id, sum(w0) AS s0, sum(w1) AS s1 FROM {_TW_SQL} GROUP BY doc_id),
+
+def _path_sql(steps=N_STEPS, fold=0):
+    return f"""(WITH s AS (SELECT doc_id, sum(w0) AS s0, sum(w1) AS s1 FROM {_tw_sql(fold)} GROUP BY doc_id),
 t AS (SELECT *, CASE WHEN {BIAS[1]} + s1 > {BIAS[0]} + s0 THEN 1 ELSE 0 END AS target FROM s),
-st AS (SELECT t.*, r.j, CASE WHEN r.j = 0 OR r.j = {N_STEPS} THEN 0.5 ELSE 1.0 END AS tw,
-         {BIAS[0]} + (r.j / {N_STEPS}) * s0 AS z0, {BIAS[1]} + (r.j / {N_STEPS}) * s1 AS z1
-       FROM t, range(0, {N_STEPS} + 1) r(j)),
+st AS (SELECT t.*, r.j, CASE WHEN r.j = 0 OR r.j = {steps} THEN 0.5 ELSE 1.0 END AS tw,
+         {BIAS[0]} + (r.j / {steps}) * s0 AS z0, {BIAS[1]} + (r.j / {steps}) * s1 AS z1
+       FROM t, range(0, {steps} + 1) r(j)),
 pr AS (SELECT *, exp(z0 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p0 FROM st),
-pq AS (SELECT *, 1 - p0 AS p1x, exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p1
+pq AS (SELECT *, exp(z1 - greatest(z0, z1)) / (exp(z0 - greatest(z0, z1)) + exp(z1 - greatest(z0, z1))) AS p1
        FROM pr),
 m AS (SELECT doc_id, s0, s1, target,
-        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) - p0)) / {N_STEPS} AS m0,
-        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 1 THEN 1.0 ELSE 0.0 END) - p1)) / {N_STEPS} AS m1,
-        max(CASE WHEN j = {N_STEPS} THEN (CASE WHEN target = 0 THEN p0 ELSE p1 END) END) AS f_x,
+        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 0 THEN 1.0 ELSE 0.0 END) - p0)) / {steps} AS m0,
+        sum(tw * (CASE WHEN target = 0 THEN p0 ELSE p1 END) * ((CASE WHEN target = 1 THEN 1.0 ELSE 0.0 END) - p1)) / {steps} AS m1,
+        max(CASE WHEN j = {steps} THEN (CASE WHEN target = 0 THEN p0 ELSE p1 END) END) AS f_x,
         max(CASE WHEN j = 0 THEN (CASE WHEN target = 0 THEN p0 ELSE p1 END) END) AS f_baseline
       FROM pq GROUP BY doc_id, s0, s1, target)
 SELECT *, m0 * s0 + m1 * s1 AS sum_attributions FROM m)"""
 
 
+def _diag_sql(steps=N_STEPS, fold=0):
+    """Completeness diagnostics of one fold model at one step count."""
+    return f"""(WITH d AS (SELECT *, abs(f_x - f_baseline - sum_attributions) AS abs_error, abs(f_x - f_baseline) AS denominator
+  FROM {_path_sql(steps, fold)}),
+e AS (SELECT *, CASE WHEN denominator < 1e-4 AND abs_error < 1e-4 THEN 0.0 WHEN denominator < 1e-4 THEN CAST('inf' AS DOUBLE)
+        ELSE abs_error / denominator END AS rel_error FROM d)
+SELECT doc_id, {fold} AS fold, {steps} AS n_steps, m0, m1, rel_error, abs_error, denominator < 1e-4 AS numerical_instability,
+  rel_error < 0.05 AND denominator >= 1e-4 AS converged FROM e)"""
+
+
+def _grid_sql(grid, folds):
+    return "(" + " UNION ALL ".join(f"SELECT * FROM {_diag_sql(n, f)}" for n in grid for f in folds) + ")"
+
+
+_TW_SQL, _PATH_SQL = _tw_sql(), _path_sql()
+
+
 @register("wordpiece_tokens", f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, token FROM {_TOKENS_SQL}")
 def q_wordpiece_tokens(spark, sf):
-    """M1: whole labelled texts as [CLS] word pieces [SEP]."""
-    return at.wordpiece_tokens(_labelled_docs(spark, sf)).select("doc_id", F.col("pos").cast("long"), "token")
+    """M1: whole texts as [CLS] word pieces [SEP]."""
+    return at.wordpiece_tokens(_attribution_docs(spark, sf)).select("doc_id", F.col("pos").cast("long"), "token")
 
 
 @register("token_attributions", f"""SELECT t.doc_id, CAST(t.pos AS BIGINT) AS pos, t.token, p.target,
@@ -759,63 +798,78 @@ def q_ig_completeness(spark, sf):
                     "numerical_instability", "converged")
 
 
-@register("top_words")
+@register("top_words", f"""WITH {_WA_CTES}, p AS {_PATH_SQL},
+g AS (SELECT CASE WHEN p.target = 0 THEN 'class_0' ELSE 'class_1' END AS class, word, avg(abs(score)) AS mean_abs_score
+      FROM wa JOIN p USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY round(mean_abs_score, 9) DESC, word) AS INTEGER) AS rank FROM g)
+SELECT class, word, round(mean_abs_score, 6) AS mean_abs_score, rank FROM r WHERE rank <= 25""")
 def q_top_words(spark, sf):
     """Top 25 words by mean |score| per predicted class (rows-only)."""
     tw = _tw(spark, sf)
     summ = at.doc_path_summary(tw, BIAS, N_STEPS)
     wa = at.word_attributions(at.token_attributions(tw, summ))
-    return at.top_words(wa, summ.select("doc_id", "y_pred"), 25, True)
+    return _r6(at.top_words(wa, summ.select("doc_id", "y_pred"), 25, True))
 
 
-@register("optimal_steps")
+@register("optimal_steps", f"""WITH g AS {_grid_sql(at.step_ladder(4, 1000, 5), [0])},
+o AS (SELECT doc_id, coalesce(min(CASE WHEN rel_error <= 0.01 THEN n_steps END), max(n_steps)) AS n_steps FROM g GROUP BY doc_id)
+SELECT g.doc_id, g.n_steps, CASE WHEN isinf(rel_error) THEN rel_error ELSE round(rel_error, 6) END AS rel_error, converged FROM g JOIN o USING (doc_id, n_steps)""")
 def q_optimal_steps(spark, sf):
     """Doubling ladder 4 -> 8 -> ... below 1000, target 1 %; one pass (rows-only)."""
-    return at.optimal_steps(_tw(spark, sf), BIAS, at.step_ladder(4, 1000, 5), 0.01) \
-             .select("doc_id", "n_steps", "rel_error", "converged")
+    o = at.optimal_steps(_tw(spark, sf), BIAS, at.step_ladder(4, 1000, 5), 0.01)
+    return o.select("doc_id", "n_steps", F.round("rel_error", 6).alias("rel_error"), "converged")
 
 
-@register("adaptive_steps")
+@register("adaptive_steps", f"""WITH g AS {_diag_sql(8)}, u AS (SELECT CASE WHEN rel_error <= 0.05 THEN 0 ELSE 1 END AS up FROM g)
+SELECT CAST(count(*) AS BIGINT) AS n_samples, CAST(sum(up) AS BIGINT) AS n_upgraded, round(avg(up), 6) AS upgrade_share,
+  round((1 - avg(up)) * (64 - 8) / 64, 6) AS estimated_saving FROM u""")
 def q_adaptive_steps(spark, sf):
     """8 steps, 64 for documents above 5 % error; report row (rows-only)."""
     _, rep = at.adaptive(_tw(spark, sf), BIAS, 8, 64, 0.05)
-    return rep
+    return _r6(rep)
 
 
-@register("ensemble_attributions")
+@register("ensemble_attributions", f"""SELECT doc_id, CASE WHEN isinf(avg(rel_error)) THEN avg(rel_error) ELSE round(avg(rel_error), 6) END AS avg_rel_error,
+  CAST(sum(converged::INT) AS BIGINT) AS converged_folds, CAST(count(*) AS BIGINT) AS total_folds FROM {_grid_sql([N_STEPS], range(5))} GROUP BY doc_id""")
 def q_ensemble_attributions(spark, sf):
-    """Attributions of 5 fold models averaged per token position, with per-document
-    error summary (rows-only)."""
-    toks, diags = None, None
-    for f in range(5):
-        tw = _tw(spark, sf, f)
-        summ = at.doc_path_summary(tw, BIAS, N_STEPS)
-        ta = at.token_attributions(tw, summ).withColumn("fold", F.lit(f))
-        dg = at.completeness(summ).withColumn("fold", F.lit(f))
-        toks = ta if toks is None else toks.unionByName(ta)
-        diags = dg if diags is None else diags.unionByName(dg)
-    tok, summ = at.ensemble_attributions(toks, diags)
-    return summ
-
-
-@register("classify_samples")
+    """Five fold models, per document the error summary."""
+    d = at.completeness(at.fold_summaries(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [N_STEPS], list(range(5))))
+    return _r6(at.fold_errors(d))
+
+
+@register("ensemble_token_scores", "WITH " + ", ".join(
+    f"t{f} AS (SELECT t.doc_id, t.pos, t.token, p.m0 * t.w0 + p.m1 * t.w1 AS s FROM {_tw_sql(f)} t JOIN {_path_sql(N_STEPS, f)} p USING (doc_id))"
+    for f in range(3)) + """ SELECT doc_id, CAST(pos AS BIGINT) AS pos, t0.token, round((t0.s + t1.s + t2.s) / 3, 6) AS score
+FROM t0 JOIN t1 USING (doc_id, pos) JOIN t2 USING (doc_id, pos)""")
+def q_ensemble_token_scores(spark, sf):
+    """Mean token scores over three fold models."""
+    tokens = at.wordpiece_tokens(_attribution_docs(spark, sf))
+    s = at.fold_summaries(tokens, BIAS, [N_STEPS], [0, 1, 2])
+    return _r6(at.fold_token_scores(tokens, s, [0, 1, 2]))
+
+
+@register("classify_samples", f"""WITH g AS (SELECT doc_id, bool_or(numerical_instability) AS any_unstable,
+  max(CASE WHEN NOT isinf(rel_error) THEN rel_error END) AS max_finite_error, bool_and(converged) AS all_converged FROM {_grid_sql([8], range(5))} GROUP BY doc_id)
+SELECT doc_id, any_unstable, round(max_finite_error, 6) AS max_finite_error, all_converged,
+  CASE WHEN any_unstable THEN 'numerical' WHEN max_finite_error > 1 THEN 'algorithmic' WHEN all_converged THEN 'converged' ELSE 'none' END AS category FROM g""")
 def q_classify_samples(spark, sf):
     """Numerical / algorithmic / converged / none over 5 folds at 8 steps (rows-only)."""
-    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [8], list(range(5)))
-    return at.classify_samples(g)
+    g = at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [8], list(range(5)))
+    return _r6(at.classify_samples(g))
 
 
-@register("step_grid")
+@register("step_grid", f"""SELECT doc_id, fold, n_steps, CASE WHEN isinf(rel_error) THEN rel_error ELSE round(rel_error, 6) END AS rel_error, converged
+FROM {_grid_sql([2, 4, 8, 16, 32], [0, 1])}""")
 def q_step_grid(spark, sf):
     """Sample x fold x n_steps diagnostics (rows-only)."""
-    return at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1]) \
-             .select("doc_id", "fold", "n_steps", "rel_error", "converged")
+    return at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1]) \
+             .select("doc_id", "fold", "n_steps", F.round("rel_error", 6).alias("rel_error"), "converged")
 
 
 @register("step_grid_summary")
 def q_step_grid_summary(spark, sf):
     """X11: per-n_steps summary and the recommendation (rows-only)."""
-    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1])
+    g = at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1])
     s, rec = at.grid_summary(g)
     return s.withColumn("recommended_n_steps", rec.select("recommended_n_steps").scalar())
 
@@ -841,28 +895,30 @@ _ACTIONS_SQL = "(SELECT text AS action FROM benchmark UNION SELECT * FROM (VALUE
 @register("phrase_hits", f"""SELECT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a
   ON contains(lower(d.text), lower(a.action))""")
 def q_phrase_hits(spark, sf):
-    """Which actions occur in each document (case-insensitive substring), join form."""
-    return ac.phrase_hits(table(spark, sf, "documents"), _actions(spark, sf), method="join")
+    """Which actions occur in each document (case-insensitive substring)."""
+    return ac.phrase_hits(table(spark, sf, "documents"), _actions(spark, sf))
 
 
-@register("phrase_hits_automaton", f"""SELECT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a
+@register("phrase_hits_automaton", f"""SELECT d.doc_id, a.action FROM documents d JOIN
+  (SELECT text AS action FROM benchmark UNION SELECT text FROM documents WHERE length(text) BETWEEN 1 AND 60) a
   ON contains(lower(d.text), lower(a.action))""")
 def q_phrase_hits_automaton(spark, sf):
-    """J3 through the per-task Aho-Corasick automaton (the large-dictionary path)."""
-    return ac.phrase_hits(table(spark, sf, "documents"), _actions(spark, sf), method="automaton")
+    """J3 for a phrase list that grows with the data: every short document as a phrase."""
+    b = table(spark, sf, "benchmark").select(F.col("text").alias("action"))
+    d = table(spark, sf, "documents").filter(F.length("text").between(1, 60)).select(F.col("text").alias("action"))
+    return ac.phrase_hits(table(spark, sf, "documents"), b.unionByName(d))
 
 
 def _action_scores(spark, sf):
     tw = _tw(spark, sf)
     summ = at.doc_path_summary(tw, BIAS, N_STEPS)
     wa = at.word_attributions(at.token_attributions(tw, summ))
-    hits = ac.phrase_hits(_labelled_docs(spark, sf), _actions(spark, sf))
+    hits = ac.phrase_hits(_attribution_docs(spark, sf), _actions(spark, sf))
     return ac.action_scores(hits, wa), summ.select("doc_id", "y_pred")
 
 
 _ACTION_SCORES_CTES = f"""{_WA_CTES},
-hits AS (SELECT DISTINCT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a ON contains(lower(d.text), lower(a.action))
-         WHERE d.doc_id IN (SELECT doc_id FROM labels)),
+hits AS (SELECT DISTINCT d.doc_id, a.action FROM documents d JOIN {_ACTIONS_SQL} a ON contains(lower(d.text), lower(a.action))),
 aw AS (SELECT doc_id, action, lower(unnest(regexp_split_to_array(trim(action), '\\s+'))) AS lw FROM hits),
 ws AS (SELECT doc_id, lower(word) AS lw, arg_min(score, first_word_id) AS s FROM wa GROUP BY doc_id, lower(word)),
 sc AS (SELECT aw.doc_id, aw.action, sum(abs(ws.s)) AS score, count(ws.s) AS words_found, count(*) AS n_words
@@ -889,33 +945,63 @@ def q_action_statistics(spark, sf):
     return _r6(ac.action_statistics(s, p))
 
 
-@register("top_actions")
+_STATS_CTES = f"""{_ACTION_SCORES_CTES}, p AS {_PATH_SQL},
+stt AS (SELECT CASE WHEN p.target = 0 THEN 'class_0' ELSE 'class_1' END AS class, a.action, avg(a.score) AS mean_score,
+  stddev_pop(a.score) AS std_score, CAST(count(*) AS BIGINT) AS count, sum(a.score) AS total_score
+  FROM asc_ a JOIN p USING (doc_id) GROUP BY 1, 2)"""
+
+
+@register("top_actions", f"""WITH {_STATS_CTES},
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY round(total_score, 9) DESC, action) AS INTEGER) AS rank FROM stt)
+SELECT class, action, round(mean_score, 6) AS mean_score, round(std_score, 6) AS std_score, count, round(total_score, 6) AS total_score, rank
+FROM r WHERE rank <= 10""")
 def q_top_actions(spark, sf):
     """Top 10 actions per class by total score (rows-only)."""
     s, p = _action_scores(spark, sf)
-    return ac.top_actions(ac.action_statistics(s, p), 10, "total_score")
+    return _r6(ac.top_actions(ac.action_statistics(s, p), 10, "total_score"))
 
 
-@register("chart_joint_scale")
+@register("chart_joint_scale", f"""WITH {_STATS_CTES},
+t AS (SELECT * FROM (SELECT action, CAST(row_number() OVER (ORDER BY round(mean_score, 9) DESC, action) AS INTEGER) AS rank, mean_score AS lead_value
+  FROM stt WHERE class = 'class_1') WHERE rank <= 10),
+j AS (SELECT t.action, t.rank, t.lead_value, coalesce(CAST(o.mean_score AS DOUBLE), 0.0) AS other_value
+  FROM t LEFT JOIN (SELECT action, mean_score FROM stt WHERE class = 'class_0') o USING (action)),
+m AS (SELECT *, greatest(max(lead_value) OVER (), max(other_value) OVER ()) AS m1, greatest(max(lead_value) OVER (), max(other_value) OVER ()) AS m2 FROM j)
+SELECT action, rank, round(lead_value, 6) AS lead_value, round(other_value, 6) AS other_value, CASE WHEN m1 = 0 THEN 0.0 ELSE round(lead_value / m1, 6) END AS lead_scaled,
+  CASE WHEN m2 = 0 THEN 0.0 ELSE round(other_value / m2, 6) END AS other_scaled, CASE WHEN length(coalesce((SELECT arg_max('item ' || CAST(item_id AS VARCHAR), item_id) FROM benchmark WHERE text = action), action)) > 50 THEN substr(coalesce((SELECT arg_max('item ' || CAST(item_id AS VARCHAR), item_id) FROM benchmark WHERE text = action), action), 1, 50) || '...' ELSE coalesce((SELECT arg_max('item ' || CAST(item_id AS VARCHAR), item_id) FROM benchmark WHERE text = action), action) END AS label FROM m""")
 def q_chart_joint_scale(spark, sf):
     """X15 + J7 + J8 + T13: class-1-led chart table on one scale (rows-only)."""
     s, p = _action_scores(spark, sf)
     inv = ac.inverse_dictionary(benchmark_dictionary(spark, sf))
-    return ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, True, inverse=inv)
+    return _r6(ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, True, inverse=inv))
 
 
-@register("chart_own_scale")
+@register("chart_own_scale", f"""WITH {_STATS_CTES},
+t AS (SELECT * FROM (SELECT action, CAST(row_number() OVER (ORDER BY round(mean_score, 9) DESC, action) AS INTEGER) AS rank, mean_score AS lead_value
+  FROM stt WHERE class = 'class_1') WHERE rank <= 10),
+j AS (SELECT t.action, t.rank, t.lead_value, coalesce(CAST(o.mean_score AS DOUBLE), 0.0) AS other_value
+  FROM t LEFT JOIN (SELECT action, mean_score FROM stt WHERE class = 'class_0') o USING (action)),
+m AS (SELECT *, max(lead_value) OVER () AS m1, max(other_value) OVER () AS m2 FROM j)
+SELECT action, rank, round(lead_value, 6) AS lead_value, round(other_value, 6) AS other_value, CASE WHEN m1 = 0 THEN 0.0 ELSE round(lead_value / m1, 6) END AS lead_scaled,
+  CASE WHEN m2 = 0 THEN 0.0 ELSE round(other_value / m2, 6) END AS other_scaled, CASE WHEN length(action) > 50 THEN substr(action, 1, 50) || '...' ELSE action END AS label FROM m""")
 def q_chart_own_scale(spark, sf):
     """Each class scaled by its own max (rows-only)."""
     s, p = _action_scores(spark, sf)
-    return ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, False)
+    return _r6(ac.chart_table(ac.action_statistics(s, p), "mean_score", 10, False))
 
 
-@register("chart_class0_led")
+@register("chart_class0_led", f"""WITH {_STATS_CTES},
+t AS (SELECT * FROM (SELECT action, CAST(row_number() OVER (ORDER BY count DESC, action) AS INTEGER) AS rank, count AS lead_value
+  FROM stt WHERE class = 'class_0') WHERE rank <= 10),
+j AS (SELECT t.action, t.rank, t.lead_value, coalesce(CAST(o.count AS DOUBLE), 0.0) AS other_value
+  FROM t LEFT JOIN (SELECT action, count FROM stt WHERE class = 'class_1') o USING (action)),
+m AS (SELECT *, greatest(max(lead_value) OVER (), max(other_value) OVER ()) AS m1, greatest(max(lead_value) OVER (), max(other_value) OVER ()) AS m2 FROM j)
+SELECT action, rank, lead_value AS lead_value, round(other_value, 6) AS other_value, CASE WHEN m1 = 0 THEN 0.0 ELSE round(lead_value / m1, 6) END AS lead_scaled,
+  CASE WHEN m2 = 0 THEN 0.0 ELSE round(other_value / m2, 6) END AS other_scaled, CASE WHEN length(action) > 50 THEN substr(action, 1, 50) || '...' ELSE action END AS label FROM m""")
 def q_chart_class0_led(spark, sf):
     """Class-0-led chart on counts (rows-only)."""
     s, p = _action_scores(spark, sf)
-    return ac.chart_table(ac.action_statistics(s, p), "count", 10, True, lead="class_0", other="class_1")
+    return _r6(ac.chart_table(ac.action_statistics(s, p), "count", 10, True, lead="class_0", other="class_1"))
 
 
 @register("inverse_dictionary", """SELECT text AS dst, arg_max('item ' || CAST(item_id AS VARCHAR), item_id) AS src
@@ -977,31 +1063,89 @@ def q_sink_stories_roundtrip(spark, sf):
     return back.groupBy("format", "split").agg(F.count(F.lit(1)).alias("n"), F.sum("label").cast("long").alias("n_label1"))
 
 
-@register("sink_metrics_json")
+@register("sink_metrics_json", f"""WITH p AS (SELECT y_true, y_pred FROM {BINARY_PREDS_SQL})
+SELECT 'confusion' AS source, y_true || '/' || y_pred AS name, CAST(count(*) AS DOUBLE) AS value FROM p GROUP BY y_true, y_pred
+UNION ALL SELECT 'label_map', CAST(l AS VARCHAR), CAST(row_number() OVER (ORDER BY l) - 1 AS DOUBLE) FROM (SELECT DISTINCT y_true AS l FROM p)
+UNION ALL SELECT 'metrics', 'accuracy', round(avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END), 6) FROM p
+UNION ALL SELECT 'report', 'accuracy', CAST(count(*) AS DOUBLE) FROM p""")
 def q_sink_metrics_json(spark, sf):
-    """S7 + S8 + S9 + S11: metrics, report, fold summary and label map written as JSON
-    and read back (rows-only)."""
-    cm = mt.confusion(binary_preds(spark, sf))
+    """S7 + S8 + S9 + S11: metrics, report, confusion table and label map (J4) written as JSON and
+    all read back."""
+    preds = binary_preds(spark, sf)
+    cm = mt.confusion(preds)
     base = scratch_path(spark, f"metrics_{abs(hash(sf))}")
     sk.write_json_table(mt.summary_metrics(cm, "binary"), base + "/metrics")
     sk.write_json_table(mt.classification_report(cm), base + "/report")
     sk.write_json_table(cm, base + "/confusion")
-    lab = spark.createDataFrame([(0, "CLS_0"), (1, "CLS_1")], "id int, name string")
-    sk.write_json_table(lab, base + "/label_map")
-    return sk.read_json_table(spark, base + "/metrics").select("accuracy", "f1", "mcc")
-
-
-@register("sink_epochs_grid")
+    sk.write_json_table(sp.encode_labels(preds.select(F.col("y_true").alias("label")), None)[2], base + "/label_map")
+
+    def part(name, label, value):
+        d = sk.read_json_table(spark, f"{base}/{name}")
+        return d.select(F.lit(name).alias("source"), label.alias("name"), value.cast("double").alias("value"))
+    report = sk.read_json_table(spark, base + "/report").filter(F.col("row") == "accuracy")
+    return (part("confusion", F.concat_ws("/", "y_true", "y_pred"), F.col("n"))
+            .unionByName(part("label_map", F.col("label").cast("string"), F.col("label_id")))
+            .unionByName(part("metrics", F.lit("accuracy"), F.round("accuracy", 6)))
+            .unionByName(report.select(F.lit("report").alias("source"), F.col("row").alias("name"), F.col("support").cast("double").alias("value"))))
+
+
+@register("sink_epochs_grid", f"""SELECT 'epochs' AS source, CAST(count(*) AS BIGINT) AS n FROM {EPOCH_HISTORY_SQL}
+UNION ALL SELECT 'grid', CAST(2 * count(*) AS BIGINT) FROM documents
+UNION ALL SELECT 'tokens', CAST(count(DISTINCT text) AS BIGINT) FROM benchmark
+UNION ALL SELECT 'attributions', CAST(count(*) AS BIGINT) FROM {_TOKENS_SQL}
+UNION ALL SELECT 'predictions', CAST(count(*) AS BIGINT) FROM {BINARY_PREDS_SQL}""")
 def q_sink_epochs_grid(spark, sf):
-    """S10 + S14 + S12 + S13: epochs partitioned by (run, fold), step grid as CSV, token
-    dictionary as JSON, nested attributions as Parquet; read back (rows-only)."""
+    """S6 + S10 + S12 + S13 + S14: epochs, step grid, token dictionary, attributions and predictions
+    written, then every table read back in full and counted."""
     base = scratch_path(spark, f"hist_{abs(hash(sf))}")
     sk.write_epochs(epoch_history(spark, sf), base + "/epochs")
-    g = at.step_grid(at.wordpiece_tokens(_labelled_docs(spark, sf)), BIAS, [4, 8], [0])
-    sk.write_csv(g.select("doc_id", "fold", "n_steps", "rel_error", "converged"), base + "/grid")
+    g = at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [4, 8], [0])
+    g = g.select("doc_id", "fold", "n_steps", "rel_error", "converged")
+    sk.write_csv(g, base + "/grid")
     sk.write_json_table(tk.token_dictionary(benchmark_dictionary(spark, sf)), base + "/tokens")
     tw = _tw(spark, sf)
     sk.write_attributions(at.token_attributions(tw, at.doc_path_summary(tw, BIAS, 8)), base + "/attr",
                           "narrative", "linear", "single", "r1")
-    ep = spark.read.parquet(base + "/epochs").filter(F.col("run") == 3)
-    return ep.groupBy("fold").agg(F.count(F.lit(1)).alias("n_epochs"))
+    sk.write_predictions(binary_preds(spark, sf), base + "/preds", "narrative", "linear", "single")
+    back = {"epochs": sk.read_partitioned(spark, base + "/epochs"), "grid": sk.read_csv(spark, base + "/grid", g.schema),
+            "tokens": sk.read_json_table(spark, base + "/tokens"),
+            "attributions": sk.read_partitioned(spark, base + "/attr", run_ts="r1").select(F.explode("tokens")),
+            "predictions": sk.read_partitioned(spark, base + "/preds", model="linear")}
+    out = [d.agg(F.lit(k).alias("source"), F.count(F.lit(1)).alias("n")) for k, d in back.items()]
+    return out[0].unionByName(out[1]).unionByName(out[2]).unionByName(out[3]).unionByName(out[4])
+
+
+@register("first_samples", f"""SELECT case_id, story_text FROM ({O.stories_sql('narrative')}) ORDER BY case_id LIMIT 20""")
+def q_first_samples(spark, sf):
+    """The first 20 stories in case order."""
+    s = st.stories(events_log(spark, sf), event_dictionary(spark), "narrative")
+    return sk.first_samples(s.select("case_id", "story_text"), ["case_id"], 20)
+
+
+@register("story_by_id", f"""SELECT case_id, story_text FROM ({O.stories_sql('narrative')}) WHERE case_id =
+  (SELECT max(case_id) FROM {_EV})""")
+def q_story_by_id(spark, sf):
+    """The story of one case (the last id)."""
+    log = events_log(spark, sf)
+    last = log.agg(F.max("case_id").alias("c")).select("c").scalar()
+    s = st.stories(log, event_dictionary(spark), "narrative")
+    return sk.story_by_id(s.select("case_id", "story_text"), last)
+
+
+@register("traces", f"""SELECT case_id, CAST(count(*) AS BIGINT) AS n_events, min(ts) AS ts_start, max(ts) AS ts_end
+  FROM {_EV} WHERE case_id IS NOT NULL AND ts IS NOT NULL GROUP BY case_id""")
+def q_traces(spark, sf):
+    """Whole traces, checked by their length and ends."""
+    t = traces.traces(events_log(spark, sf))
+    return t.select("case_id", F.size("events").cast("long").alias("n_events"), F.element_at("events", 1)["ts"].alias("ts_start"),
+                    F.element_at("events", -1)["ts"].alias("ts_end"))
+
+
+@register("model_input", f"""WITH t AS (SELECT doc_id, token, pos, max(pos) OVER (PARTITION BY doc_id) AS last FROM {_TOKENS_SQL}),
+b AS (SELECT doc_id, list(token ORDER BY pos) FILTER (WHERE pos > 0 AND pos < last AND pos <= 30) AS body FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(least(coalesce(len(body), 0), 30) + 2 AS BIGINT) AS n_real, '[CLS] ' || coalesce(array_to_string(body, ' ') || ' ', '') || '[SEP]' ||
+  repeat(' [PAD]', 30 - coalesce(len(body), 0)) AS tokens FROM b""")
+def q_model_input(spark, sf):
+    """M1: 32 positions with padding and mask."""
+    m = at.model_input(_attribution_docs(spark, sf), 32)
+    return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))

@@ -18,10 +18,6 @@ DICT_SCHEMA = T.StructType([
     T.StructField("dst", T.StringType(), True),
 ])
 
-# Row bound under which a dictionary-sized table is broadcast; above it the join
-# shuffles (see functions.joins.small_side).
-MAX_BROADCAST_ROWS = 200_000
-
 
 def read_json_dictionary(spark: SparkSession, path: str) -> DataFrame:
     """JSON object file -> ``(pos, src, dst)`` in key order."""

@@ -85,7 +85,7 @@ def read_xes(spark: SparkSession, path: str) -> DataFrame:
         t[CASE_AGE_RANGE_KEY].alias("age_range"),
         t[CASE_AGE_KEY].alias("age_raw"),
         t[CASE_GENDER_KEY].alias("gender"),
-        F.map_filter(t, lambda k, v: ~k.isin(XES_CASE_NAME, CASE_CLASS_KEY)).alias("attrs"),
+        F.map_filter(t, lambda k, v: k != XES_CASE_NAME).alias("attrs"),
     ).filter(F.col("event_idx").isNotNull())
     return log.select(
         "case_id", "event_idx", "activity", "ts",
@@ -176,8 +176,16 @@ STAY_CSV_SCHEMA = T.StructType([
 def read_stay_csv(spark: SparkSession, path: str) -> DataFrame:
     """The flat stay log with an explicit schema; timestamps parsed (bad -> null).
 
-    ``row_idx`` keeps the position in the file for the stable timestamp order.
+    ``row_idx`` is the place in the input (``source_order``) for the stable timestamp order; the
+    engine orders splits by size, so a plain running id would not follow the files.
     """
     df = spark.read.csv(path, header=True, schema=STAY_CSV_SCHEMA)
-    return (df.withColumn("timestamps", F.try_to_timestamp(F.col("timestamps")))
-              .withColumn("row_idx", F.monotonically_increasing_id()))
+    return (df.withColumn("row_idx", source_order())
+              .withColumn("timestamps", F.try_to_timestamp(F.col("timestamps"))))
+
+
+def source_order() -> F.Column:
+    """Place of a row in its input, comparable over files and splits: file path, start of the
+    split in the file, number inside the split (the low bits of the partition-wise id)."""
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), inside.alias("no"))
