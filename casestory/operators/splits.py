@@ -26,6 +26,12 @@ def class_ranks(df: DataFrame, id_col: str, label_col: str, seed: int, salt: str
     return r.drop("__h")
 
 
+def _join_by_class(rows: DataFrame, per_class: DataFrame, label_col: str) -> DataFrame:
+    """Rows with their class's entry; rows without a label are a class of their own."""
+    right = per_class.withColumnRenamed(label_col, "__label")
+    return rows.join(right, rows[label_col].eqNullSafe(F.col("__label"))).drop("__label")
+
+
 def allocate(counts: DataFrame, label_col: str, total_take: Column | int) -> DataFrame:
     """Per-class take counts summing to ``total_take``: floor of the proportional share,
     the remainder to the classes with the largest remainders (ties: lower class first).
@@ -53,7 +59,7 @@ def stratified_split(df: DataFrame, id_col: str, label_col: str, test_size: floa
     n = df.select(F.count(F.lit(1))).scalar()
     n_test = F.ceil(n * F.lit(test_size)).cast("long")
     alloc = allocate(counts, label_col, n_test).select(label_col, "take")
-    r = class_ranks(df, id_col, label_col, seed, salt).join(alloc, label_col)
+    r = _join_by_class(class_ranks(df, id_col, label_col, seed, salt), alloc, label_col)
     return r.withColumn("split", F.when(F.col("rank_in_class") <= F.col("take"), "test").otherwise("train")) \
             .drop("take", "rank_in_class")
 
@@ -75,7 +81,7 @@ def stratified_kfold(df: DataFrame, id_col: str, label_col: str, k: int = 5, see
     counts = df.groupBy(label_col).agg(F.count(F.lit(1)).alias("n_c"))
     offs = counts.withColumn("__off", F.coalesce(F.sum("n_c").over(
         Window.orderBy(label_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    r = class_ranks(df, id_col, label_col, seed).join(offs.select(label_col, "__off"), label_col)
+    r = _join_by_class(class_ranks(df, id_col, label_col, seed), offs.select(label_col, "__off"), label_col)
     return r.withColumn("fold", ((F.col("__off") + F.col("rank_in_class") - 1) % k).cast("int")) \
             .drop("__off", "rank_in_class")
 
