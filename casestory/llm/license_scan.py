@@ -5,6 +5,10 @@ length. In a window the words that are unique to both sides anchor the alignment
 increasing subsequence is taken, and the gaps between anchors are aligned in the same way, where
 more words are unique. Coverage is the share of the template's words that are aligned. Windows in
 which too few words belong to the template cannot reach the threshold and are not aligned.
+
+In a one-line notice the words that tell licenses apart would fall inside the slack, so its name and
+version must stand in the text as a whole. Longer notices of sibling licenses are templates too, and
+the one with the most aligned words wins.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from casestory.llm.common import keyed
 from casestory.llm.license_texts import TEMPLATES
 
 THRESHOLD = 0.8
+#: Templates of up to so many words must have their key, the license's name and version, whole.
+SHORT = 20
+UNTELLING = frozenset(("the", "a", "version", "v", "gpl", "international"))
 WORD = re.compile(r"[a-z0-9]+")
 
 
@@ -69,9 +76,30 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def plain(words: list[str]) -> list[str]:
+    """Words of a license's name without those that do not tell licenses apart; v3 is 3, licence license."""
+    words = [w[1:] if w[0] == "v" and w[1:].isdigit() else "license" if w == "licence" else w for w in words]
+    return [w for w in words if w not in UNTELLING]
+
+
+def key_of(template: list[str]) -> list[str]:
+    """The words after "under" of a short template: the license's name and version."""
+    if len(template) > SHORT or "under" not in template:
+        return []
+    key = plain(template[template.index("under") + 1:])
+    return key[:-1] if key[-1] == "license" and any(w.isdigit() for w in key) else key
+
+
+def holds(words: list[str], key: list[str]) -> bool:
+    """Whether the key stands in the words, without other words in it."""
+    told = plain(words)
+    return any(told[k:k + len(key)] == key for k in range(len(told) - len(key) + 1))
+
+
 class Scanner:
     def __init__(self, templates=TEMPLATES, threshold: float = THRESHOLD):
         self.templates = [(name, words_of(text)) for name, text in templates]
+        self.keys = [key_of(w) for _, w in self.templates]
         self.sets = [Counter(w) for _, w in self.templates]
         self.vocabulary = frozenset(w for _, ws in self.templates for w in ws)
         self.threshold = threshold
@@ -80,7 +108,7 @@ class Scanner:
         """(license, first word, end word, coverage) of the best non-overlapping windows."""
         present = self.vocabulary.intersection(words)
         found = []
-        for (name, template), own in zip(self.templates, self.sets):
+        for (name, template), own, key in zip(self.templates, self.sets, self.keys):
             size = len(template)
             least = self.threshold * size
             if sum(own[w] for w in present if w in own) < least:
@@ -92,7 +120,8 @@ class Scanner:
             ends = np.minimum(starts + width, len(words))
             for s, e in zip(starts[total[ends] - total[starts] >= least], ends[total[ends] - total[starts] >= least]):
                 pairs = align(words[s:e], template)
-                if len(pairs) >= least:
+                # a name's last word may be written otherwise (v3), just after the aligned ones
+                if len(pairs) >= least and holds(words[s + pairs[0][0]:s + pairs[-1][0] + 3], key):
                     found.append((len(pairs) / size, len(pairs), name, int(s + pairs[0][0]), int(s + pairs[-1][0]) + 1))
         out: list[tuple[str, int, int, float]] = []
         for coverage, _, name, s, e in sorted(found, key=lambda f: (-f[1], -f[0], f[4] - f[3], f[3], f[2])):  # most aligned words first

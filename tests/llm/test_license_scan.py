@@ -64,6 +64,27 @@ def test_planted_notices(spark):
     assert op.scan(frame(spark, [])).count() == 0
 
 
+def test_siblings_are_told_apart():
+    """Notices that differ in a word or two from a template are their own license, or none."""
+    scanner = op.Scanner()
+    lines = {"Licensed under CC BY 4.0.": "CC-BY-4.0", "Licensed under CC BY-SA 4.0": "CC-BY-SA-4.0", "CC BY-SA 4.0": None, "Licensed under CC BY-NC-SA 4.0": "CC-BY-NC-SA-4.0",
+             "Licensed under CC BY-NC 3.0.": None, "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the BSD License": None, "Released under the MIT License": "MIT",
+             "Released under the MIT-0 License": None, "Licensed under the Apache License, Version 1.1.": None, "Licensed under the Apache License 2.0": "Apache-2.0",
+             "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0", "This work is licensed under the GNU General Public License v3": "GPL-3.0",
+             "This work is licensed under the GNU General Public License (GPL), version 3": "GPL-3.0", "This work is licensed under the GNU General Public License, version 1.": None,
+             "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License": "CC-BY-SA-4.0",
+             "This work is licensed under a Creative Commons Attribution 4.0 International Licence": "CC-BY-4.0",
+             "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License": None}
+    rng = random.Random(5)
+    for line, name in lines.items():
+        for before, after in ((0, 0), (7, 0), (0, 9), (30, 40)):
+            words = op.words_of(f"{prose(rng, before)} {line} {prose(rng, after)}")
+            assert [m[0] for m in scanner.matches(words)] == ([name] if name else []), line
+    for name, text in TEMPLATES:
+        assert [(m[0], m[3]) for m in scanner.matches(op.words_of(text))] == [(name, 1.0)]
+
+
 def test_windows_cover_every_place():
     """Against alignment at every start: whatever reaches the threshold there is found."""
     rng = random.Random(4)
