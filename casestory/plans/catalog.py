@@ -1149,3 +1149,17 @@ def q_model_input(spark, sf):
     """M1: 32 positions with padding and mask."""
     m = at.model_input(_attribution_docs(spark, sf), 32)
     return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))
+
+
+#: The reference's length of a model input (max_length of its training configuration).
+POSITIONS = 512
+
+
+@register(f"model_input_{POSITIONS}", f"""WITH t AS (SELECT doc_id, token, pos, max(pos) OVER (PARTITION BY doc_id) AS last FROM {_TOKENS_SQL}),
+b AS (SELECT doc_id, list(token ORDER BY pos) FILTER (WHERE pos > 0 AND pos < last AND pos <= {POSITIONS - 2}) AS body FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(least(coalesce(len(body), 0), {POSITIONS - 2}) + 2 AS BIGINT) AS n_real, '[CLS] ' || coalesce(array_to_string(body, ' ') || ' ', '') || '[SEP]' ||
+  repeat(' [PAD]', {POSITIONS - 2} - coalesce(len(body), 0)) AS tokens FROM b""")
+def q_model_input_full(spark, sf):
+    """M1 at the reference's length, with padding and mask."""
+    m = at.model_input(_attribution_docs(spark, sf), POSITIONS)
+    return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))
