@@ -60,6 +60,9 @@ TAG = re.compile(r"""<(?:!--(?:>|->|.*?(?:--!?>|\Z))|[!?][^>]*(?:>|\Z)|(/?)([a-z
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 NAMED = re.compile(r"\b(?:class|id|role)\s*=", re.I)
+#: Elements that can stand in a head; any other start tag, and text, ends a head without end tag.
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+HEAD = frozenset(("head",))
 P = frozenset(("p",))
 NOT_P = BLOCKS - P
 
@@ -95,6 +98,8 @@ class Page:
         while True:
             m = TAG.search(html, at)
             end = m.start() if m else len(html)
+            if end > at and self.stack and self.stack[-1].tag == "head" and not html[at:end].isspace():
+                self._close(HEAD)
             if end > at and not self.hidden:
                 text = html[at:end]
                 self.held.append(unescape(text) if "&" in text else text)
@@ -143,6 +148,8 @@ class Page:
                 return
 
     def _start(self, tag: str, attributes: str):
+        if tag == "body" or self.stack and self.stack[-1].tag == "head" and tag not in IN_HEAD:
+            self._close(HEAD)
         if tag in BLOCKS:
             self._flush()
             if tag in ENDS:

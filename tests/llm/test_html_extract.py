@@ -29,6 +29,19 @@ def test_asides_markup_and_references():
     assert op.main_text(op.analysed(ARTICLE % 7), None) == WANT
 
 
+def test_head_without_end_tag():
+    """An open head ends at the body, at what cannot stand in a head, and at text."""
+    article = ARTICLE % 7
+    want = op.analysed(article)
+    for html in (article.replace("</head>", ""), article.replace("</head>", "\n<meta charset=utf-8><link rel=x href=y>\n"),
+                 article.replace("</head>", "<noscript><img src=z>unseen</noscript>"), article.replace("</head>", "<noscript><style>p{}</style>")):
+        page = op.analysed(html)
+        assert op.main_text(page, None) == WANT and op.votes(page).keys() == op.votes(want).keys()
+    text = lambda h: op.main_text(op.analysed(h), None)
+    assert text("<head><title>T</title><p>one<p>two") == "one\n\ntwo" and text("<head><meta name=a> words <b>here</b>") == "words here"
+    assert text("<html><head><title>T</title><style>s</style><script>x</script>") == text("<head>\n<title>T</title>\n") == ""
+
+
 def test_awkward_pages():
     text = lambda h: op.main_text(op.analysed(h), None)
     assert text(None) == text("") == text("<html></html>") == text("<script>x") == text("<!-- open") == ""
