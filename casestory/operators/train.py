@@ -15,8 +15,13 @@ from pyspark.sql import functions as F
 from casestory.operators.metrics import class_weights, confusion, summary_metrics
 
 
-def text_pipeline(vocab_size: int = 1 << 18, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
-    """M4 estimator (CountVectorizer keeps token <-> index for attribution)."""
+#: No bound of its own: CountVectorizer counts the distinct terms and keeps as many as there are.
+ALL_TERMS = (1 << 31) - 1
+
+
+def text_pipeline(vocab_size: int = ALL_TERMS, max_iter: int = 50, reg: float = 0.01) -> Pipeline:
+    """M4 estimator (CountVectorizer keeps token <-> index for attribution). Every distinct term of
+    the training texts is a feature; the term index and the coefficients stand on the driver."""
     return Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tokens", pattern=r"\W+", minTokenLength=1),
         CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=vocab_size, minDF=1.0),
