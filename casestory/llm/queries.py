@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casestory.llm import exact_dedup, html_extract, lattice, license_scan, mixing, repeats, secret_scan, simhash, toxicity, winnowing
+from casestory.llm import alignment, exact_dedup, html_extract, knn_join, lattice, license_scan, mixing, ranked_search, repeats, secret_scan, simhash, toxicity, winnowing
 from casestory.llm.common import held_out, table
 
 
@@ -84,11 +84,31 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
-QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_extract, op6_simhash, op7_repeats, op8_license_scan, op9_winnowing, op10_mixing)}
+def op11_knn_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 highest inner products of every 20th row of ``embeddings`` with all other rows."""
+    return knn_join.top_products(table(spark, sf_dir, "embeddings"), F.col("query_id") % 20 == 0)
+
+
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 50 best ``documents`` for each ``benchmark`` item."""
+    found = ranked_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("item").alias("item_id"), "rank", F.col("doc").alias("doc_id"), "score")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of two public tokenizers aligned over every text of ``documents``."""
+    found = alignment.align(table(spark, sf_dir, "documents"), *alignment.tokenizer_files(spark))
+    return found.withColumnRenamed("id", "doc_id").drop("th")
+
+
+QUERIES = {f.__name__: f for f in (op1_lattice_likelihood, op2_exact_dedup, op3_secret_scan, op4_toxicity, op5_html_extract, op6_simhash, op7_repeats, op8_license_scan, op9_winnowing, op10_mixing,
+                                  op11_knn_join, op12_ranked_search, op13_token_alignment)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+_TERM = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+
 #: The operators that SQL expresses; the others are tested against brute-force versions.
 ORACLES: dict[str, str] = {
     "op2_exact_dedup": """
@@ -109,4 +129,21 @@ it AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(i, ',' ORDER BY i))
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
   coalesce(sha, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op11_knn_join": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, CAST(coalesce(list_sum(list_transform(range(1, least(len(q.e), len(d.e)) + 1), lambda i: q.e[i] * d.e[i])), 0) AS BIGINT) AS score
+      FROM v q JOIN v d ON q.vec_id <> d.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, CAST(row_number() OVER w AS INTEGER) AS rank, vec_id, score FROM s
+WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY row_number() OVER w <= 20""",
+    "op12_ranked_search": f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS t FROM documents),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+p AS (SELECT doc_id, term, count(*) AS tf, any_value(n) AS n FROM (SELECT doc_id, len(t) AS n, unnest(t) AS term FROM d) GROUP BY doc_id, term),
+f AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * any_value(n_docs) + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c GROUP BY term),
+b AS (SELECT DISTINCT item_id, unnest(regexp_extract_all({_LOWER}, '{_TERM}')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM b JOIN f USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER r AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0
+WINDOW r AS (PARTITION BY item_id ORDER BY score DESC, doc_id) QUALIFY row_number() OVER r <= 50""",
 }
