@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -86,7 +87,7 @@ class Tokenizers:
 
     def encode(self, chunk: str) -> tuple[list[int], list[int], bool]:
         """A and B ids of a chunk, which begins with a space, and whether both spell it."""
-        if self.quick is None or len(chunk) > LONG:
+        if self.quick is None or len(max(chunk.split(" "), key=len)) > LONG:
             a = self.slow.encode(chunk, add_special_tokens=False).ids
         else:
             a = self.quick.encode_ordinary(chunk)
@@ -115,34 +116,59 @@ class Chunks:
 
     def clear(self) -> None:
         self.number: dict[str, int] = {}
-        self.a, self.b = ([], [0]), ([], [0])
+        self.a, self.b = (array("q"), array("q", [0])), (array("q"), array("q", [0]))
         self.wrong: set[int] = set()
         self.n = 0
 
     def codes(self, text: str) -> list[int] | None:
         """Chunk numbers of a text; None where a side does not spell it."""
-        out, number = [], self.number
-        for chunk in self.of.chunks(text):
-            code = number.get(chunk)
-            if code is None:
-                a, b, right = self.of.encode(chunk)
-                for (ids, ends), new in ((self.a, a), (self.b, b)):
-                    ids += new
-                    ends.append(len(ids))
-                code, self.n = self.n, self.n + 1
-                if not right:
-                    self.wrong.add(code)
-                if len(chunk) <= LONG:
-                    number[chunk] = code
-            out.append(code)
+        chunks, number = self.of.chunks(text), self.number
+        new = [c for c in dict.fromkeys(chunks) if c not in number]
+        if new:
+            number = self._learn(new)
+        out = [number[c] for c in chunks]
         return None if self.wrong and not self.wrong.isdisjoint(out) else out
 
+    def _learn(self, new: list[str]) -> dict[str, int]:
+        """Encode new chunks; all numbers, those of long chunks only here. Chunks that begin and
+        end as borders ask are encoded in one go and cut at their ends."""
+        plain = [c for c in new if len(c) <= LONG and c[1:] and not c[1].isspace() and not c[-1].isspace()]
+        a, b, right = self.of.encode("".join(plain)) if plain and self.of.quick else ([], [], False)
+        if right:
+            ends = np.cumsum([len(c.encode()) for c in plain])
+            for (ids, at), got, lengths in ((self.a, a, self.of.a_len), (self.b, b, self.of.b_len)):
+                at.extend((np.searchsorted(np.cumsum(lengths[got]), ends) + 1 + len(ids)).tolist())
+                ids.extend(got)
+            self.number.update(zip(plain, range(self.n, self.n + len(plain))))
+            self.n += len(plain)
+        number = self.number
+        for chunk in new:
+            if chunk in number:
+                continue
+            a, b, right = self.of.encode(chunk)
+            for (ids, at), got in ((self.a, a), (self.b, b)):
+                ids.extend(got)
+                at.append(len(ids))
+            if not right:
+                self.wrong.add(self.n)
+            if len(chunk) > LONG and number is self.number:
+                number = dict(number)
+            number[chunk] = self.n
+            if len(chunk) <= LONG:
+                self.number[chunk] = self.n
+            self.n += 1
+        return number
+
     def tokens(self, codes: np.ndarray, side) -> tuple[np.ndarray, np.ndarray]:
         """(ids, tokens per chunk) of a row of chunks."""
-        ids, ends = np.array(side[0], dtype=np.int64), np.array(side[1])
-        n = ends[codes + 1] - ends[codes]
-        at = np.repeat(ends[codes] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        return ids[at], n
+        n = self.sizes(codes, side)
+        begin = np.frombuffer(side[1], np.int64)[codes]
+        at = np.repeat(begin - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        return np.frombuffer(side[0], np.int64)[at], n
+
+    def sizes(self, codes: np.ndarray, side) -> np.ndarray:
+        ends = np.frombuffer(side[1], np.int64)
+        return ends[codes + 1] - ends[codes]
 
 
 # ---- the alignment of a batch -------------------------------------------------------------------
@@ -232,7 +258,7 @@ class Batch:
         lengths = None
         if codes:
             codes = np.array(codes)
-            lengths = np.cumsum(np.diff(self.chunks.a[1])[codes])
+            lengths = np.cumsum(self.chunks.sizes(codes, self.chunks.a))
         begin = 0
         while lengths is not None and begin < len(codes):
             stop = max(begin + 1, int(np.searchsorted(lengths, (lengths[begin - 1] if begin else 0) + PART - self.size)))
