@@ -1017,9 +1017,9 @@ def q_english_vocabulary(spark, sf):
     return textgen.english_vocabulary(benchmark_dictionary(spark, sf))
 
 
-# ------------------------------------------------------------------ M2, M4, M5: Spark ML
+# ------------------------------------------------------------------ M2, M4, M5: training
 
-from casestory.operators import train as trn  # noqa: E402
+from casestory.operators import linear  # noqa: E402
 
 
 def _labelled_texts(spark, sf):
@@ -1029,18 +1029,18 @@ def _labelled_texts(spark, sf):
 
 @register("train_and_score")
 def q_train_and_score(spark, sf):
-    """M4 + M2: weighted logistic regression on whole texts; stratified 20 % test scored
-    (rows-only: a fitted model has no SQL form)."""
+    """M4 + M2: weighted logistic regression on whole texts, all terms, coefficients as a table;
+    stratified 20 % test scored (rows-only: a fitted model has no SQL form)."""
     s = sp.stratified_split(_labelled_texts(spark, sf), "doc_id", "label", 0.2, 42)
-    model = trn.fit(s.filter(F.col("split") == "train"))
-    return trn.score(model, s.filter(F.col("split") == "test")).select("doc_id", "y_true", "y_pred")
+    model = linear.fit(s.withColumn("fold", F.when(F.col("split") == "test", 0)), fold_col="fold")
+    return linear.probabilities(model, F.lit(0)).where("fold = 0").select("doc_id", "y_true", "y_pred")
 
 
 @register("kfold_train")
 def q_kfold_train(spark, sf):
-    """M5 + A11: 3-fold training, per-fold metrics aggregated (rows-only)."""
+    """M5 + A11: three models in one pass, out-of-fold metrics aggregated (rows-only)."""
     folded = sp.stratified_kfold(_labelled_texts(spark, sf), "doc_id", "label", 3, 42)
-    per_fold = trn.kfold_train(folded, 3)
+    per_fold, _ = linear.kfold_train(folded, 3)
     return hs.kfold_aggregate(per_fold.select("fold", "accuracy", "balanced_accuracy", "f1", "n_val"))
 
 
