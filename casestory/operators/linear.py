@@ -157,7 +157,7 @@ class Fold:
     """Step control of one model: its loss, its history's dot products and the step being tried."""
 
     def __init__(self):
-        self.loss, self.n, self.step, self.iterations, self.evaluations, self.done = np.inf, 0, 0.0, 0, 0, False
+        self.loss, self.n, self.step, self.iterations, self.tries, self.done = np.inf, 0, 0.0, 0, 0, False
         self.gram = self.penalty = self.mix = None
 
     def vectors(self) -> list[int]:
@@ -184,15 +184,16 @@ class Fold:
         return float(at @ self.penalty @ at)
 
     def judge(self, loss: float, max_iter: int, tol: float) -> bool:
-        """Whether the step is taken (enough decrease); halves it otherwise."""
-        self.evaluations += 1
+        """Whether the step is taken (enough decrease); shortens it to the minimum of the parabola
+        through what is known otherwise, and gives up where no step helps any more."""
         if not loss <= self.loss + 1e-4 * self.step * self.slope:
-            self.step *= 0.5
-            if self.step < 1e-12:
-                self.done = True
+            rise = loss - self.loss - self.slope * self.step
+            self.step *= min(0.5, max(0.1, -self.slope * self.step / (2 * rise))) if np.isfinite(rise) else 0.1
+            self.tries += 1
+            self.done = self.tries > 12
             return False
-        self.done = self.loss - loss <= tol * max(abs(loss), 1e-12)
-        self.loss, self.iterations = loss, self.iterations + 1
+        self.done = self.loss - loss <= tol * self.first
+        self.loss, self.iterations, self.tries = loss, self.iterations + 1, 0
         self.done |= self.iterations >= max_iter
         return True
 
@@ -381,12 +382,13 @@ def class_weights_by_fold(counts: dict, folds: int, classes: int, balanced: bool
 
 
 def fit(rows: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", fold_col: str | None = None,
-        reg: float = 0.01, max_iter: int = 50, tol: float = 1e-6, balanced: bool = True) -> Model:
+        reg: float = 0.01, max_iter: int = 50, tol: float = 1e-4, balanced: bool = True) -> Model:
     """M4 / M5: ``folds`` models at once; model f is trained on the labelled rows whose ``fold_col`` is not f.
 
     Without ``fold_col``, or where it is null, a row counts in all models. Labels are 0, 1, ...; rows
     with a null label are scored but not learnt from. Null and empty texts have the intercept alone. Rows
-    that repeat count each. ``Model.scored`` has one row per row: ``id, fold, label, margins`` (an
+    that repeat count each. A model is done when a step lowers its loss by at most ``tol`` of the loss
+    at zero, or after ``max_iter`` steps. ``Model.scored`` has one row per row: ``id, fold, label, margins`` (an
     array of classes per fold; that of the row's own fold is out-of-fold). No labelled rows raise
     ValueError.
     """
@@ -425,7 +427,7 @@ def fit(rows: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str =
             taken = []
             for m, loss, step in zip(models, losses, steps):
                 if evaluations == 1:
-                    m.loss = loss  # at zero, where nothing is penalised
+                    m.loss = m.first = loss  # at zero, where nothing is penalised
                     taken.append(True)
                 else:
                     taken.append(not m.done and m.judge(loss + reg / 2 * m.penalised(step), max_iter, tol))
