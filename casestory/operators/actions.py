@@ -1,88 +1,17 @@
 """Actions (multi-word phrases) found in texts and scored from word attributions
 (J3, J6, X12-X14), and the chart tables built on them (J7, J8, X15-X17).
 
-Phrase search (J3) is a case-insensitive substring test. A phrase can only stand in a text
-that has one of the phrase's own keys, so phrases and texts meet in an equi-join on keys and
-the substring test runs on the pairs that meet: no list is collected or broadcast and no
-pair is tested without a common key, whatever the number of phrases.
+The phrase search (J3) itself is in ``phrases``.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestory.functions.text import shorten
 from casestory.operators.attribute import top_k
-
-
-#: Consecutive words in a key; characters in the key of a phrase too short to have inner words.
-KEY_WORDS, KEY_CHARS = 3, 3
-
-
-def _key_parts(lowered: Column) -> Column:
-    return F.split(lowered, r"\s+")
-
-
-def _let(value: Column, fn) -> Column:
-    """``fn(value)`` with the value computed once, also where ``fn`` uses it inside a lambda."""
-    return F.get(F.transform(F.array(value), fn), F.lit(0))
-
-
-def _shingles(words: Column, size: int) -> Column:
-    """Runs of ``size`` words, joined by one space (none for fewer words)."""
-    n = F.size(words) - size + 1
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), lambda i: F.array_join(F.slice(words, i, size), " "))) \
-        .otherwise(F.array().cast("array<string>"))
-
-
-def phrase_keys(phrases: DataFrame) -> DataFrame:
-    """``action, lp, key``: one key per phrase, which every text that contains it has too.
-
-    Words inside a phrase, not the first or the last (these may be parts of words of the text),
-    are words of the text: with three or more of them the key is the longest run of three, else
-    the longest of them. A phrase without such words has its first characters as key.
-    """
-    p = phrases.select("action").where(F.col("action").isNotNull()).distinct().withColumn("lp", F.lower("action"))
-    words = _key_parts(F.col("lp"))
-    inner = F.slice(words, F.lit(2), F.greatest(F.size(words) - 2, F.lit(0)))
-    longest = lambda a: F.array_max(F.transform(a, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    key = (F.when(F.size(inner) >= KEY_WORDS, F.concat(F.lit("s:"), longest(_shingles(inner, KEY_WORDS))))
-           .when(F.size(inner) >= 1, F.concat(F.lit("w:"), longest(inner)))
-           .otherwise(F.concat(F.lit("c:"), F.substring("lp", 1, KEY_CHARS))))
-    return p.withColumn("key", key)
-
-
-def text_keys(lowered: Column, with_chars: Column) -> Column:
-    """All keys of a text: runs of three words, words, and, if asked for, runs of up to three characters."""
-    of_words = _let(_key_parts(lowered), lambda words: F.concat(
-        F.transform(_shingles(words, KEY_WORDS), lambda w: F.concat(F.lit("s:"), w)), F.transform(words, lambda w: F.concat(F.lit("w:"), w))))
-    of_chars = _let(F.split(lowered, ""), lambda chars: F.concat(
-        F.array(F.lit("c:")), *[F.transform(chars, _gram(chars, k)) for k in range(1, KEY_CHARS + 1)]))
-    return F.array_distinct(F.concat(of_words, F.when(with_chars, of_chars).otherwise(F.array().cast("array<string>"))))
-
-
-def _gram(chars: Column, size: int):
-    def at(c, i):
-        return F.concat(F.lit("c:"), c, *[F.coalesce(F.get(chars, i + k), F.lit("")) for k in range(1, size)])
-    return at
-
-
-def phrase_hits(texts: DataFrame, phrases: DataFrame, text: str = "text", ignore_case: bool = True) -> DataFrame:
-    """(doc_id, action) for every phrase contained in the text.
-
-    Keys are compared without case; the final test ignores it too unless ``ignore_case`` is
-    off. Null texts and null phrases have no hits, the empty phrase is in every text; ids may
-    have any type.
-    """
-    keys = phrase_keys(phrases)
-    t = texts.select("doc_id", F.col(text).alias("__t")).where(F.col("__t").isNotNull())
-    by_chars = keys.agg(F.coalesce(F.bool_or(F.startswith(F.col("key"), F.lit("c:"))), F.lit(False)).alias("c")).select("c").scalar()
-    each = t.select("doc_id", F.explode(text_keys(F.lower("__t"), by_chars)).alias("key"))
-    met = each.join(keys, "key").select("doc_id", "action", "lp").distinct()
-    left = F.lower("__t") if ignore_case else F.col("__t")
-    found = F.contains(left, F.col("lp") if ignore_case else F.col("action"))
-    return t.join(met, "doc_id").where(found).select("doc_id", "action").distinct()
+from casestory.operators.phrases import phrase_hits as phrase_hits
 
 
 def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:

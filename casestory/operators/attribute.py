@@ -25,6 +25,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from casestory.functions.quantile import exact_medians, stash
 from casestory.functions.seq import scan_by_key
 
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[PAD]"]
@@ -236,20 +237,30 @@ def step_ladder(initial: int = 50, max_steps: int = 1000, max_attempts: int = 5)
 
 def optimal_steps(tw: DataFrame, bias: list[float], rungs: list[int], target_rel_error: float = 0.01,
                   k: int = 2) -> DataFrame:
-    """Completeness at every rung in one pass; the first rung meeting the target,
-    else the last rung tried. Returns one row per document with its diagnostics."""
+    """The first rung that meets the target, else the last rung. One row per document with its
+    diagnostics.
+
+    A rung is evaluated for the documents that all earlier rungs left above the target and no others;
+    what is left after a rung is written to the shared folder, and the next rung starts from there.
+    """
     s = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
     s = s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)]))
     b = F.array(*[F.lit(float(x)) for x in bias])
     z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
     s = s.withColumn("target", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
-    s = s.select("doc_id", "s", "target",
-                 F.posexplode(F.array(*[F.lit(r) for r in rungs])).alias("rung_no", "n_steps"))
-    d = completeness(_path_terms(s, b, k))
-    ok = d.withColumn("__ok", F.col("rel_error") <= target_rel_error)
-    pick = ok.groupBy("doc_id").agg(
-        F.coalesce(F.min(F.when(F.col("__ok"), F.col("rung_no"))), F.max("rung_no")).alias("__pick"))
-    return ok.join(pick, "doc_id").filter(F.col("rung_no") == F.col("__pick")).drop("__pick", "__ok")
+    open_, parts = stash(s.select("doc_id", "s", "target"), "open-paths"), []
+    for no, steps in enumerate(rungs):
+        tried = open_.withColumn("rung_no", F.lit(no)).withColumn("n_steps", F.lit(steps))
+        tried = stash(completeness(_path_terms(tried, b, k)), "tried-paths")
+        met = F.coalesce(F.col("rel_error") <= target_rel_error, F.lit(False))
+        parts.append(tried if no == len(rungs) - 1 else tried.where(met))
+        open_ = tried.where(~met).select("doc_id", "s", "target")
+        if no < len(rungs) - 1 and open_.isEmpty():
+            break
+    found = parts[0]
+    for p in parts[1:]:
+        found = found.unionByName(p)
+    return found
 
 
 def adaptive(tw: DataFrame, bias: list[float], low: int = 1500, high: int = 5500,
@@ -336,12 +347,16 @@ def grid_summary(grid: DataFrame) -> tuple[DataFrame, DataFrame]:
     unrounded values: first
     n_steps with rate >= 0.95 and mean error <= 0.01, else first with rate >= 0.80,
     else the lowest mean error."""
+    grid = stash(grid.select("n_steps", "rel_error", "abs_error", "converged"), "grid")
+    medians = exact_medians(grid, "n_steps", ["rel_error", "abs_error"]).withColumnsRenamed(
+        {"n_steps": "__n", "rel_error": "median_rel_error", "abs_error": "median_abs_error"})
     mean_rel = F.avg("rel_error").alias("__mean")
     g = grid.groupBy("n_steps").agg(
-        mean_rel, F.median("rel_error").alias("median_rel_error"), F.stddev_samp("rel_error").alias("std_rel_error"),
+        mean_rel, F.stddev_samp("rel_error").alias("std_rel_error"),
         F.max("rel_error").alias("max_rel_error"), F.avg("abs_error").alias("mean_abs_error"),
-        F.median("abs_error").alias("median_abs_error"), F.sum(F.col("converged").cast("int")).alias("converged"),
+        F.sum(F.col("converged").cast("int")).alias("converged"),
         F.count(F.lit(1)).alias("total")).withColumn("convergence_rate", F.col("converged") / F.col("total"))
+    g = g.join(medians, F.col("n_steps").eqNullSafe(F.col("__n")))
     rec = g.agg(F.coalesce(
         F.min(F.when((F.col("convergence_rate") >= 0.95) & (F.col("__mean") <= 0.01), F.col("n_steps"))),
         F.min(F.when(F.col("convergence_rate") >= 0.80, F.col("n_steps"))),

@@ -866,9 +866,15 @@ def q_step_grid(spark, sf):
              .select("doc_id", "fold", "n_steps", F.round("rel_error", 6).alias("rel_error"), "converged")
 
 
-@register("step_grid_summary")
+@register("step_grid_summary", f"""WITH g AS {_grid_sql([2, 4, 8, 16, 32], [0, 1])},
+s AS (SELECT n_steps, avg(rel_error) AS m, median(rel_error) AS md, CASE WHEN bool_or(isinf(rel_error)) THEN 'NaN'::DOUBLE ELSE stddev_samp(CASE WHEN isinf(rel_error) THEN 0 ELSE rel_error END) END AS sd,
+  max(rel_error) AS mx, avg(abs_error) AS ma, median(abs_error) AS mda, CAST(count(*) FILTER (WHERE converged) AS BIGINT) AS converged, count(*) AS total,
+  count(*) FILTER (WHERE converged) / count(*) AS convergence_rate FROM g GROUP BY n_steps)
+SELECT n_steps, round(m, 6) AS mean_rel_error, round(md, 6) AS median_rel_error, round(sd, 6) AS std_rel_error, round(mx, 6) AS max_rel_error, round(ma, 6) AS mean_abs_error,
+  round(mda, 6) AS median_abs_error, converged, total, convergence_rate,
+  (SELECT coalesce(min(n_steps) FILTER (WHERE convergence_rate >= 0.95 AND m <= 0.01), min(n_steps) FILTER (WHERE convergence_rate >= 0.80), arg_min(n_steps, m)) FROM s) AS recommended_n_steps FROM s""")
 def q_step_grid_summary(spark, sf):
-    """X11: per-n_steps summary and the recommendation (rows-only)."""
+    """X11: per-n_steps summary and the recommendation."""
     g = at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [2, 4, 8, 16, 32], [0, 1])
     s, rec = at.grid_summary(g)
     return s.withColumn("recommended_n_steps", rec.select("recommended_n_steps").scalar())
@@ -1141,17 +1147,7 @@ def q_traces(spark, sf):
                     F.element_at("events", -1)["ts"].alias("ts_end"))
 
 
-@register("model_input", f"""WITH t AS (SELECT doc_id, token, pos, max(pos) OVER (PARTITION BY doc_id) AS last FROM {_TOKENS_SQL}),
-b AS (SELECT doc_id, list(token ORDER BY pos) FILTER (WHERE pos > 0 AND pos < last AND pos <= 30) AS body FROM t GROUP BY doc_id)
-SELECT doc_id, CAST(least(coalesce(len(body), 0), 30) + 2 AS BIGINT) AS n_real, '[CLS] ' || coalesce(array_to_string(body, ' ') || ' ', '') || '[SEP]' ||
-  repeat(' [PAD]', 30 - coalesce(len(body), 0)) AS tokens FROM b""")
-def q_model_input(spark, sf):
-    """M1: 32 positions with padding and mask."""
-    m = at.model_input(_attribution_docs(spark, sf), 32)
-    return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))
-
-
-#: The reference's length of a model input (max_length of its training configuration).
+#: Positions of a model input.
 POSITIONS = 512
 
 
@@ -1160,6 +1156,33 @@ b AS (SELECT doc_id, list(token ORDER BY pos) FILTER (WHERE pos > 0 AND pos < la
 SELECT doc_id, CAST(least(coalesce(len(body), 0), {POSITIONS - 2}) + 2 AS BIGINT) AS n_real, '[CLS] ' || coalesce(array_to_string(body, ' ') || ' ', '') || '[SEP]' ||
   repeat(' [PAD]', {POSITIONS - 2} - coalesce(len(body), 0)) AS tokens FROM b""")
 def q_model_input_full(spark, sf):
-    """M1 at the reference's length, with padding and mask."""
+    """M1 for attribution: the first positions, with padding and mask."""
     m = at.model_input(_attribution_docs(spark, sf), POSITIONS)
     return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))
+
+
+@register("model_input", f"""WITH t AS (SELECT doc_id, token, pos, max(pos) OVER (PARTITION BY doc_id) AS last FROM {_TOKENS_SQL}),
+b AS (SELECT doc_id, list(token ORDER BY pos) FILTER (WHERE pos > 0 AND pos < last AND pos >= last - {POSITIONS - 2}) AS body FROM t GROUP BY doc_id)
+SELECT doc_id, CAST(least(coalesce(len(body), 0), {POSITIONS - 2}) + 2 AS BIGINT) AS n_real, '[CLS] ' || coalesce(array_to_string(body, ' ') || ' ', '') || '[SEP]' ||
+  repeat(' [PAD]', {POSITIONS - 2} - coalesce(len(body), 0)) AS tokens FROM b""")
+def q_model_input(spark, sf):
+    """M1 for training and evaluation: a longer text keeps its last positions, with padding and mask."""
+    m = at.model_input(_attribution_docs(spark, sf), POSITIONS, side="left")
+    return m.select("doc_id", F.aggregate("mask", F.lit(0).cast("long"), lambda a, x: a + x).alias("n_real"), F.array_join("tokens", " ").alias("tokens"))
+
+
+# ------------------------------------------------------------------ M2: a caller's own scorer
+
+from casestory.operators import scorer  # noqa: E402
+
+#: A demo model: weights of some words per class, exact in binary.
+WORD_WEIGHTS = {"the": (0.25, 0.0), "and": (0.0, 0.125), "der": (0.0, 0.5), "la": (0.5, 0.25), "de": (-0.125, 0.25), "in": (0.0625, 0.0)}
+
+
+@register("own_scorer", f"""WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z_]+') AS ws FROM documents),
+z AS (SELECT doc_id, {', '.join(f"0.125 * {c} + " + ' + '.join(f"({x[c]}) * len(list_filter(ws, lambda y: y = '{t}'))" for t, x in WORD_WEIGHTS.items()) + f' AS z{c}' for c in (0, 1))} FROM w)
+SELECT doc_id, CAST(CASE WHEN z1 > z0 THEN 1 ELSE 0 END AS INTEGER) AS y_pred, round(CAST(1 / (1 + exp(CAST(z0 - z1 AS DOUBLE))) AS DOUBLE), 6) AS prob FROM z""")
+def q_own_scorer(spark, sf):
+    """M2: whole texts scored in batches by a model that the caller brings."""
+    own = scorer.linear_scorer(WORD_WEIGHTS, (0.0, 0.125))
+    return scorer.score_with(table(spark, sf, "documents"), own, 2).select("doc_id", "y_pred", F.round(F.element_at("probs", 2), 6).alias("prob"))
