@@ -47,6 +47,8 @@ register_pickle_by_value(sys.modules[__name__])  # executors need not have this
 BLOCK_POSTINGS, BLOCK_DOCS, SHARD_TERMS, FAN = 1_000_000, 16_384, 32_768, 64
 #: Vectors that L-BFGS remembers.
 MEMORY = 6
+#: Shuffle files of a finished evaluation go at once, not when the driver happens to collect its garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The term of the intercept, which no text has.
 INTERCEPT = ""
 
@@ -56,7 +58,16 @@ def _stash(df: DataFrame, name: str) -> DataFrame:
     import uuid
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stashed_at = path
+    return out
+
+
+def _discard(df: DataFrame) -> None:
+    """Delete a table that ``_stash`` wrote and that nothing reads any more."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(df.stashed_at)
+    path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 def terms(text: Column) -> Column:
@@ -207,15 +218,22 @@ _STATE = "shard int, n int, bias boolean, scale binary, vectors binary, gram arr
 def _messages(state: DataFrame, links: DataFrame, groups: int, shape, mixes, steps) -> DataFrame:
     """``block, shard, pos, values``: coefficients per frequency, at the points being tried."""
     folds, classes = shape
-    spread = state.select("shard", "n", "scale", "vectors").withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+
+    def points(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                row = pa.Table.from_batches([batch.slice(k, 1)])
+                w = _point(row, folds, classes, mixes, steps) * _scale(row, folds)[:, :, None]
+                yield pa.RecordBatch.from_arrays([batch.column("shard").slice(k, 1), pa.array([w.astype("<f8").tobytes()], pa.binary())], ["shard", "w"])
+    at = state.select("shard", "scale", "vectors").mapInArrow(points, "shard int, w binary")
+    spread = at.withColumn("group", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
 
     def run(links: pa.Table, spread: pa.Table) -> pa.Table:
         names, types = ["block", "shard", "pos", "values"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()]
         if not links.num_rows or not spread.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
-        w = _point(spread, folds, classes, mixes, steps)
-        w *= _scale(spread, folds)[:, :, None]
-        values = [w[np.frombuffer(p.as_py(), "<i4")].astype("<f8").tobytes() for p in links["pos"]]
+        w = np.frombuffer(spread["w"][0].as_py(), "<f8").reshape(-1, folds * classes)
+        values = [w[np.frombuffer(p.as_py(), "<i4")].tobytes() for p in links["pos"]]
         return pa.table([links["block"], links["shard"], links["pos"], pa.array(values, pa.binary())], names=names)
     return links.groupBy("group", "shard").cogroup(spread.groupBy("group", "shard")).applyInArrow(run, "block long, shard int, pos binary, values binary")
 
@@ -412,6 +430,8 @@ def fit(rows: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str =
     groups = parts = max(1, -(-n_blocks // FAN))
     blocks = held.where("shard is null").select("block", "row", "col", "tf", "ids", "label", "fold").repartition("block").persist()
     shape = folds, classes
+    kept = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
     try:
         vocabulary = _stash(_shard_terms(held), "terms")
         links = _stash(_links(held, vocabulary, groups), "links")
@@ -431,7 +451,10 @@ def fit(rows: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str =
                     taken.append(True)
                 else:
                     taken.append(not m.done and m.judge(loss + reg / 2 * m.penalised(step), max_iter, tol))
-            state = _stash(_updated(state, _combined(found, parts, folds * classes), shape, mixes, steps, taken, [t for t, _ in totals], reg, evaluations > 1), "state")
+            last = state
+            state = _stash(_updated(last, _combined(found, parts, folds * classes), shape, mixes, steps, taken, [t for t, _ in totals], reg, evaluations > 1), "state")
+            _discard(last)
+            _discard(found)
             grams = _grams(state, folds)
             for f, m in enumerate(models):
                 if taken[f] and not m.done:
@@ -447,6 +470,7 @@ def fit(rows: DataFrame, folds: int = 1, id_col: str = "doc_id", text_col: str =
         scored = _stash(_scored(blocks, _messages(state, links, groups, shape, mixes * 0, still), shape, kind), "scored")
     finally:
         blocks.unpersist()
+        spark.conf.set(CLEANUP, kept) if kept is not None else spark.conf.unset(CLEANUP)
     return Model(_coefficients(state.join(vocabulary, "shard"), shape), scored, folds, classes, [m.loss for m in models], [m.iterations for m in models], evaluations)
 
 
