@@ -1186,3 +1186,61 @@ def q_own_scorer(spark, sf):
     """M2: whole texts scored in batches by a model that the caller brings."""
     own = scorer.linear_scorer(WORD_WEIGHTS, (0.0, 0.125))
     return scorer.score_with(table(spark, sf, "documents"), own, 2).select("doc_id", "y_pred", F.round(F.element_at("probs", 2), 6).alias("prob"))
+
+
+# ------------------------------------------------------------------ S9, S12, S14 by value, J9
+
+import uuid  # noqa: E402
+
+from casestory.sources import positions, summaries  # noqa: E402
+
+
+def _fresh(spark, name):
+    return scratch_path(spark, f"{name}-{uuid.uuid4().hex}")
+
+
+@register("sink_kfold_summary", f"""WITH f AS {_FOLD_METRICS_SQL},
+l AS (SELECT 'accuracy' AS metric, accuracy AS value FROM f UNION ALL SELECT 'n_val', CAST(n_val AS DOUBLE) FROM f)
+SELECT metric, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
+  (SELECT CAST(fold AS INTEGER) FROM f ORDER BY accuracy DESC, fold LIMIT 1) AS best_fold, (SELECT count(*) FROM f) AS n_folds, 'accuracy' AS monitor, '5' AS k FROM l GROUP BY metric""")
+def q_sink_kfold_summary(spark, sf):
+    """Fold table, aggregated metrics, best fold and configuration written and read back."""
+    path = _fresh(spark, "kfold")
+    summaries.write_kfold_summary(_fold_metrics(spark, sf), {"k": 5, "seed": 42}, path, "accuracy")
+    summary, _ = summaries.read_kfold_summary(spark, path)
+    m = summary.select(F.explode("metrics").alias("m"), "best_fold", "n_folds", "monitor", F.col("config")["k"].alias("k"))
+    return _r6(m.select("m.metric", "m.mean", "m.std", "m.min", "m.max", "best_fold", "n_folds", "monitor", "k"))
+
+
+@register("sink_token_dictionary", f"""WITH t AS (SELECT * FROM {_BENCH_TOKENS_SQL})
+SELECT token, phrase, src, length, (SELECT count(*) FROM t) AS total_tokens, (SELECT count(DISTINCT src) FROM t) AS total_sources,
+  '[CLIN_%03d]' AS token_format, (SELECT min(length) FROM t) AS shortest, (SELECT max(length) FROM t) AS longest FROM t""")
+def q_sink_token_dictionary(spark, sf):
+    """The token dictionary with its metadata written, read back and compared with it."""
+    tokens, path = tk.token_dictionary(benchmark_dictionary(spark, sf)), _fresh(spark, "token-dictionary")
+    summaries.write_token_dictionary(tokens, path)
+    back, metadata = summaries.read_token_dictionary(spark, path, tokens.schema)
+    return back.select("token", "phrase", "src", "length").join(F.broadcast(metadata.drop("fingerprint")))  # one row
+
+
+@register("sink_step_grid", f"""WITH g AS {_grid_sql([4, 8], [0])},
+m AS (SELECT n_steps, round(median(abs_error), 6) AS median_abs_error, count(*) AS total FROM g GROUP BY n_steps)
+SELECT g.doc_id, g.n_steps, CASE WHEN isinf(g.rel_error) THEN g.rel_error ELSE round(g.rel_error, 6) END AS rel_error, g.converged, m.median_abs_error, m.total
+FROM g JOIN m USING (n_steps)""")
+def q_sink_step_grid(spark, sf):
+    """The step grid as CSV with its summary, read back by value."""
+    path = _fresh(spark, "step-grid")
+    summaries.write_step_grid(at.step_grid(at.wordpiece_tokens(_attribution_docs(spark, sf)), BIAS, [4, 8], [0]), path)
+    grid, summary, _ = summaries.read_step_grid(spark, path)
+    return grid.join(summary.select("n_steps", "median_abs_error", "total"), "n_steps").select(
+        "doc_id", "n_steps", F.round("rel_error", 6).alias("rel_error"), "converged", "median_abs_error", "total")
+
+
+@register("pairs_by_position", "SELECT doc_id, CAST(length(text) AS INTEGER) AS n FROM documents")
+def q_pairs_by_position(spark, sf):
+    """Two tables of files without a key, written from one, paired again row by row."""
+    docs, a, b = table(spark, sf, "documents"), _fresh(spark, "left"), _fresh(spark, "right")
+    docs.select("doc_id").write.json(a)
+    docs.select(F.length("text").alias("n")).write.csv(b)
+    return positions.pair_by_position(spark.read.schema("doc_id long").json(a), spark.read.schema("n int").csv(b)).select("doc_id", "n")
+
