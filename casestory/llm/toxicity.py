@@ -74,22 +74,24 @@ class Scorer:
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
-    """All maximal-scoring segments (start, end exclusive, score) in one pass over the scores."""
+    """All maximal-scoring segments (start, end exclusive, score) in one pass over the scores.
+
+    A kept segment knows the nearest earlier one that starts lower; the search for such a one follows
+    these links, so a segment once passed over is not met again and the scan is linear.
+    """
     total = np.concatenate([[0.0], np.cumsum(scores)])
-    out: list[tuple[int, int, float, float]] = []  # start, end, sum before, sum through
+    out: list[tuple[int, int, float, float, int]] = []  # start, end, sum before, sum through, link
     for k in np.flatnonzero(scores > 0).tolist():
-        start, end, low, high = k, k + 1, total[k], total[k + 1]
-        while out:
-            # the nearest earlier segment that starts lower; all between start higher and stay
-            j = len(out) - 1
-            while j >= 0 and out[j][2] >= low:
-                j -= 1
-            if j < 0 or out[j][3] >= high:
-                break
-            start, low = out[j][0], out[j][2]
+        start, low, high = k, total[k], total[k + 1]
+        j = len(out) - 1
+        while j >= 0 and out[j][2] >= low:
+            j = out[j][4]
+        while j >= 0 and out[j][3] < high:
+            start, _, low, _, link = out[j]
             del out[j:]
-        out.append((start, end, low, high))
-    return [(s, e, float(high - low)) for s, e, low, high in out]
+            j = link
+        out.append((start, k + 1, low, high, j))
+    return [(s, e, float(high - low)) for s, e, low, high, _ in out]
 
 
 def evidence(n: int, scores: list[float], lam: float, k: float) -> float:

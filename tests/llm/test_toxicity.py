@@ -34,6 +34,14 @@ def test_maximal_segments():
         assert np.allclose([v for *_, v in got], [v for *_, v in want])
 
 
+def test_maximal_segments_in_linear_time():
+    # every segment of a falling sum stays; looking at all of them for each token would never end
+    assert len(op.maximal_segments(np.tile([1.0, -2.0], 300_000))) == 300_000
+    # rising sums merge into one, and a last high token takes all before it
+    assert op.maximal_segments(np.tile([2.0, -1.0], 300_000)) == [(0, 599_999, 300_001.0)]
+    assert op.maximal_segments(np.concatenate([np.tile([1.0, -2.0], 50_000), [1e6]])) == [(s, s + 1, 1.0) for s in range(0, 100_000, 2)] + [(100_000, 100_001, 1e6)]
+
+
 def test_parts():
     assert op.log_odds(10, 0, 100, 900)[0] > 0 > op.log_odds(0, 10, 100, 900)[0] and abs(op.log_odds(10, 90, 100, 900)[0]) < 1e-2
     assert op.log_odds(10, 90, 100, 900)[1] < 1e-6 and op.log_odds(5, 0, 30, 270)[1] > op.SIGNIFICANT_ROOT
