@@ -169,11 +169,11 @@ class Lattice:
             places.append(at)
         counts += np.bincount(np.concatenate(places), np.concatenate(shares), counts.size).reshape(counts.shape)
 
-    def score_long(self, word: bytes) -> np.ndarray:
-        """Forward recursion over one long word: pieces are found for all places at once."""
+    def _ends(self, word: bytes) -> list[tuple[list[int], list[int]]]:
+        """By end - 1: starts and pieces of one long word; pieces are found for all places at once."""
         data = np.frombuffer(word, dtype=np.uint8)
         prefix = self.hasher.prefix(data)
-        ends: list[list[tuple[int, int]]] = [[] for _ in range(len(data) + 1)]
+        ends: list[tuple[list[int], list[int]]] = [([], []) for _ in data]
         for size in self.sizes:
             if size <= len(data):
                 start = np.arange(len(data) - size + 1)
@@ -181,14 +181,39 @@ class Lattice:
                     h = (prefix[start + size] - prefix[start]) * self.hasher.down[start]
                 rows, ids = self._find(h)
                 for s, k in zip(rows.tolist(), ids.tolist()):
-                    ends[s + size].append((s, k))
-        alpha = np.zeros((len(data) + 1, len(self.logp)))
-        for end in range(1, len(data) + 1):
-            starts, ids = (list(x) for x in zip(*ends[end]))
-            terms = alpha[starts] + self.logp[:, ids].T
+                    ends[s + size - 1][0].append(s)
+                    ends[s + size - 1][1].append(k)
+        return ends
+
+    @staticmethod
+    def _forward_long(ends, logp: np.ndarray) -> np.ndarray:
+        """alpha[end, class]."""
+        alpha = np.zeros((len(ends) + 1, len(logp)))
+        for end, (starts, ids) in enumerate(ends, 1):
+            terms = alpha[starts] + logp[:, ids].T
             top = terms.max(axis=0)
             alpha[end] = top + np.log(np.exp(terms - top).sum(axis=0))
-        return alpha[-1]
+        return alpha
+
+    def score_long(self, word: bytes) -> np.ndarray:
+        """Forward recursion over one long word."""
+        return self._forward_long(self._ends(word), self.logp)[-1]
+
+    def expected_long(self, word: bytes, counts: np.ndarray, has: np.ndarray) -> None:
+        """``expected`` of one long word in the classes ``has`` [class]."""
+        ends, kinds = self._ends(word), np.flatnonzero(has)
+        logp = self.logp[kinds]
+        alpha = self._forward_long(ends, logp)
+        beta = np.full(alpha.shape, -np.inf)
+        beta[-1] = 0.0
+        places, shares = [], []
+        for end in range(len(ends), 0, -1):
+            starts, ids = ends[end - 1]
+            through = logp[:, ids].T + beta[end]
+            beta[starts] = np.logaddexp(beta[starts], through)  # a start has one piece to an end
+            shares.append(np.exp(alpha[starts] + through - alpha[-1]))
+            places += ids
+        np.add.at(counts, (kinds[:, None], np.array(places)[None, :]), np.concatenate(shares).T)
 
     def score(self, words: list[bytes]) -> np.ndarray:
         """Natural-log marginal probability [class, word]."""
@@ -267,7 +292,13 @@ def fit_classes(rows: DataFrame, classes: int = CLASSES, rounds: int = CLASS_ROU
     train = rows.where("train")
     chosen = train.select("th", "id").distinct().orderBy(F.xxhash64("th"), "th", "id").limit(SEEDS).select("th").distinct()
     texts = train.select("th", "text").join(F.broadcast(chosen), "th").dropDuplicates(["th"])  # at most SEEDS
-    theta = start_classes([sketch(t) for (t,) in texts.orderBy("th").select("text").collect()], classes)
+
+    def sketches(batches):
+        for batch in batches:
+            for th, text in zip(batch.column("th"), batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array([th.as_py()]), pa.array([sketch(text.as_py()).tobytes()], pa.binary())], ["th", "sketch"])
+    seeds = texts.mapInArrow(sketches, "th long, sketch binary").orderBy("th").select("sketch").collect()
+    theta = start_classes([np.frombuffer(s) for (s,) in seeds], classes)
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(theta)
 
@@ -349,10 +380,13 @@ def train_pieces(words: DataFrame, pieces: list[bytes], classes: int, rounds: in
                 has = np.stack([table.column(f"c{k}").to_numpy() > 0 for k in range(len(scores))], axis=1)
                 has[[i for i, w in enumerate(words) if not w]] = False
                 for at, data in grouped(words):
-                    if data is not None:  # a long word's inside says nothing about words
-                        own = has[at].any(axis=1)
-                        if own.any():
-                            lattice.expected(data[own], counts, has[at][own])
+                    if data is None:
+                        if has[at].any():
+                            lattice.expected_long(b" " + words[at], counts, has[at])
+                        continue
+                    own = has[at].any(axis=1)
+                    if own.any():
+                        lattice.expected(data[own], counts, has[at][own])
             k, at = np.nonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(at, pa.int32()), pa.array(counts[k, at], pa.float64())], ["k", "piece", "n"])
         counts = np.full((classes, len(pieces) + 1), 1e-3)
@@ -397,11 +431,12 @@ class TokenModel:
 
 def score_words(words: DataFrame, pieces: list[bytes], logp: np.ndarray, model: TokenModel) -> DataFrame:
     """``word, class, n, known, base, score`` (log10) of each counted word in each class that has it."""
-    shared = words.sparkSession.sparkContext.broadcast((pieces, logp, model))
+    # plain values: a broadcast is not pickled by value, so a class of this package would have to be there
+    shared = words.sparkSession.sparkContext.broadcast((pieces, logp, model.facts, model.b))
 
     def run(batches):
-        known, scores, tokens = shared.value
-        lattice = Lattice(known, scores)
+        known, scores, *own = shared.value
+        lattice, tokens = Lattice(known, scores), TokenModel(*own)
         for table in gathered(batches):
             words = np.array(table.column("word").to_pylist(), dtype=object)
             cs = [table.column(f"c{k}").to_numpy() for k in range(len(scores))]

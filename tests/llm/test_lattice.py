@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import zlib
 from collections import Counter
@@ -68,6 +69,36 @@ def test_expected_counts_of_several_classes(model):
             assert np.allclose(got[k], want) and want.sum() > 0
 
 
+def test_expected_counts_of_a_long_word():
+    """As the sums over matrices, class by class, and finite where the matrices' probabilities underflow."""
+    rng = np.random.default_rng(5)
+    logp = np.log(rng.dirichlet(np.ones(len(PIECES)), 3))
+    lattice, has = op.Lattice(PIECES, logp), np.array([True, False, True])
+    for size in (1, 9, 63, 2000):
+        word = b" " + bytes(rng.choice(list(b"abc"), size).tolist())
+        got, want = np.zeros(logp.shape), np.zeros(logp.shape)
+        lattice.expected_long(word, got, has)
+        lattice.expected(np.frombuffer(word, np.uint8)[None, :], want, has[None, :])
+        assert np.allclose(got, want) and got[0].sum() > 0 and not got[1].any()
+
+
+def test_long_words_train_the_pieces(spark, monkeypatch):
+    """Words beyond the matrices' length count as if they were in a matrix."""
+    table = spark.createDataFrame([(bytearray(b"ab" * 100), 1, 0), (bytearray(b"cab"), 1, 1), (bytearray(b"b" * 70), 0, 2), (bytearray(b""), 1, 1)], "word binary, c0 long, c1 long")
+    got = op.train_pieces(table, PIECES, 2, rounds=2)
+    monkeypatch.setattr(op, "LONG_WORD", 1000)
+    assert np.allclose(got, op.train_pieces(table, PIECES, 2, rounds=2))
+    assert got[0, PIECES.index(b"ab")] > got[0, PIECES.index(b"c")]
+
+
+def test_broadcasts_hold_no_class_of_the_package(spark, monkeypatch):
+    """Executors need not have the package, and broadcasts are pickled by reference."""
+    held, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: held.append(pickle.dumps(value)) or real(value))
+    op.document_scores(frame(spark, [(k, "a few words", "s") for k in range(9)]), classes=2, rounds=1).collect()
+    assert len(held) >= 5 and not any(b"casestory" in h for h in held)
+
+
 def test_words_seen_once_train_the_pieces(spark):
     """One round over the different words of each class, those that a class has once included."""
     words = {b"abab": (1, 0), b"bab": (0, 1), b"cab": (1, 1), b"ab": (2, 0), b"": (5, 5), b"ba": (0, 0)}
