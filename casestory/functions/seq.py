@@ -96,17 +96,26 @@ def scan_by_key(df: DataFrame, key: list[str], order: list[Column | str], bucket
     return out.drop(*[c for c in out.columns if c.startswith("__") and c not in keep])
 
 
+def range_buckets(df: DataFrame, order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``, the number of the row's range in the order of ``order``.
+
+    Rows are range-partitioned by the whole order, so equal leading values spread over ranges as
+    long as the order differs; a number never falls along the order, which makes it a bucket for
+    ``scan_by_key`` with any leading part of the order as key. The ranges are sampled, so the rows
+    and their numbers are kept in a reliable checkpoint.
+    """
+    checkpoint_dir(df.sparkSession)
+    return df.repartitionByRange(*(F.col(c) for c in order)).withColumn(out, F.spark_partition_id()).checkpoint()
+
+
 def global_position(df: DataFrame, order: list[str], out: str) -> DataFrame:
     """1-based position of every row in the order of ``order`` over the whole table.
 
-    Rows are range-partitioned by the whole order (so equal leading values spread over ranges as
-    long as the order differs), numbered inside their range, and a table with one row per range
-    carries the counts over. The ranges are sampled, so the rows and their ranges are kept in a
-    reliable checkpoint that both uses read. Nulls come first.
+    Rows are numbered inside their range (``range_buckets``), and a table with one row per range
+    carries the counts over. Nulls come first.
     """
-    checkpoint_dir(df.sparkSession)
     cols = [F.col(c) for c in order]
-    d = df.repartitionByRange(*cols).withColumn("__range", F.spark_partition_id()).checkpoint()
+    d = range_buckets(df, order, "__range")
     first = d.groupBy("__range").agg(F.min(F.struct(*cols)).alias("__min"), F.count(F.lit(1)).alias("__n"))
     before = F.sum("__n").over(Window.orderBy("__min").rowsBetween(Window.unboundedPreceding, -1))
     offsets = first.select("__range", F.coalesce(before, F.lit(0)).alias("__off"))

@@ -57,7 +57,7 @@ def py_str(x) -> Column:
     c = _c(x)
     s = c.cast("string")
     mant = F.substring_index(s, "E", 1)
-    exp = F.substring_index(s, "E", -1).cast("int")
+    exp = F.substring_index(s, "E", -1).try_cast("int")  # null without an exponent, also where it is computed ahead of the tests
     sign = F.when(F.startswith(mant, F.lit("-")), F.lit("-")).otherwise(F.lit(""))
     m = F.regexp_replace(mant, "^-", "")
     digits = F.regexp_replace(m, "\\.", "")

@@ -4,9 +4,11 @@ A stay's prefixes are the cumulative concatenation of its rendered events; list-
 activities (dispensations, reconciliations, discharge) emit once per run of equal
 consecutive activities with the run's values joined by ', '.
 
-Scale: all ordered work goes through ``scan_by_key`` (time buckets per stay, summary
-per bucket), and the quadratic prefix text is built per *block* of ``block`` pieces:
-within a block by a bounded window, across blocks from one cumulative text per block.
+Scale: all ordered work goes through ``scan_by_key`` over ranges of the log in the order of
+stay and time, so a stay that holds most rows, even within a day or an instant, is spread like
+any other. The values of a run are joined in chunks of ``CHUNK`` rows whose texts combine in
+order, and the quadratic prefix text is a *rope*: pieces are stored once, in blocks, and a prefix
+refers to the blocks before its own and to a number of pieces in it.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from casestory.functions.seq import global_position, scan_by_key, ts_bucket
+from casestory.functions.seq import global_position, range_buckets, scan_by_key
 from casestory.functions.text import py_str
 
 # Per-activity sentence templates of the prefix texts ({{field}} is
@@ -46,20 +48,22 @@ DISCHARGE = "Discharge from the ED"
 TEXT_COLUMNS = ["activity", "gender", "race", "arrival_transport", "icd_title", "chiefcomplaint",
                 "rhythm", "pain", "name", "etcdescription", "disposition"]
 NUMERIC_COLUMNS = ["temperature", "heartrate", "resprate", "o2sat", "sbp", "dbp", "acuity"]
+#: Rows of a run whose values one group joins; pieces of a stay that stand in one block.
+CHUNK, BLOCK = 4096, 64
 
 
-def stay_features(stays: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def stay_features(stays: DataFrame) -> DataFrame:
     """W1 W2 W3 W6 W7 + P11 + P10 on the flat stay log.
 
     Adds row_position (0-based), timesincelastevent (float s), timesincecasestart
     (truncated int s), next_activity ('Discharge from the ED' after the last row),
     name_etc (null if either part is null), then every null -> 'N/A' (as text).
     """
-    ev = stays.filter(F.col("stay_id").isNotNull())
+    ev = range_buckets(stays.filter(F.col("stay_id").isNotNull()), ["stay_id", "timestamps", "row_idx"], "bucket")
     start = ev.groupBy("stay_id").agg(F.min("timestamps").alias("_start"))
-    s = scan_by_key(ev, ["stay_id"], ["timestamps", "row_idx"], ts_bucket("timestamps", bucket_seconds),
+    s = scan_by_key(ev, ["stay_id"], ["timestamps", "row_idx"], F.col("bucket"),
                     lags={"_prev_ts": F.col("timestamps"), "prev_activity": F.col("activity")},
-                    leads={"_next": F.col("activity")}, rownum="_rn", keep_bucket="bucket")
+                    leads={"_next": F.col("activity")}, rownum="_rn")
     s = s.join(start, "stay_id")
     s = (s.withColumn("row_position", F.col("_rn") - 1)
           .withColumn("timesincelastevent",
@@ -91,12 +95,14 @@ def render_template(activity: Column) -> Column:
     return out.otherwise(F.raise_error(F.concat(F.lit("no template for activity: "), activity)).cast("string"))
 
 
-def emitted_pieces(feat: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
+def emitted_pieces(feat: DataFrame) -> DataFrame:
     """W8 + W9 + T7: one rendered piece per emitting row, with its 1-based prefix length.
 
     A run is a maximal stretch of equal consecutive activities (gaps-and-islands:
     run_id = running count of rows whose previous activity differs). List activities
-    emit on the first row of their run only, with the run's values listed.
+    emit on the first row of their run only, with the run's values listed. Lists combine:
+    the values of ``CHUNK`` successive rows become one text, the texts of a run its list, so
+    only these texts meet in the run's one row.
     """
     start_run = (~F.col("prev_activity").eqNullSafe(F.col("activity"))).cast("long")
     is_list = F.col("activity").isin(*LIST_ACTIVITIES)
@@ -107,12 +113,11 @@ def emitted_pieces(feat: DataFrame, bucket_seconds: int = 86400) -> DataFrame:
     list_value = F.when(F.lit(False), F.lit(None).cast("string"))
     for act, col in LIST_ACTIVITIES.items():
         list_value = list_value.when(F.col("activity") == act, F.col(col))
-    runs = (f.filter(is_list)
-             .groupBy("stay_id", "run_id")
-             .agg(F.sort_array(F.collect_list(F.struct("timestamps", "row_idx", list_value.alias("v"))))
-                  .alias("vs")))
-    runs = runs.select("stay_id", "run_id",
-                       F.array_join(F.transform("vs", lambda x: x["v"]), ", ").alias("run_list"))
+    ordered = lambda col: F.array_join(F.transform(F.sort_array(col), lambda x: x["v"]), ", ")
+    parts = (f.filter(is_list)
+              .groupBy("stay_id", "run_id", F.floor(F.col("row_position") / CHUNK).alias("part"))
+              .agg(ordered(F.collect_list(F.struct("timestamps", "row_idx", list_value.alias("v")))).alias("v")))
+    runs = parts.groupBy("stay_id", "run_id").agg(ordered(F.collect_list(F.struct("part", "v"))).alias("run_list"))
     em = f.filter(F.col("__emit") == 1)
     em = em.join(runs, ["stay_id", "run_id"], "left").withColumn("__t", render_template(F.col("activity")))
     piece = (F.when(F.col("activity") == DISCHARGE, F.concat("__t", F.lit(" "), "run_list", F.lit(".")))
@@ -128,32 +133,44 @@ def stay_labels(stays: DataFrame) -> DataFrame:
                                F.struct("timestamps", "row_idx")).alias("label")))
 
 
-def prefix_texts(stays: DataFrame, block: int = 64, bucket_seconds: int = 86400) -> DataFrame:
-    """``(stay_id, prefix_len, prefix_text, label)``, one row per emitted event.
+def rope(pieces: DataFrame, block: int = BLOCK) -> DataFrame:
+    """W10 stored once: ``(stay_id, blk, first_len, pieces)``, ``block`` successive pieces of a stay a row.
 
-    Prefix j = pieces 1..j. Pieces are grouped in blocks of ``block``; a block's text
-    and the text of all earlier blocks (one running collect over the per-block rows of a
-    stay) are joined to each piece, which adds its in-block prefix from a window bounded
-    by the block size.
+    Prefix j of a stay is all blocks before j's and the pieces ``first_len`` to j of its own, so what
+    is kept grows with the pieces, not with their prefixes.
     """
-    pieces = emitted_pieces(stay_features(stays, bucket_seconds), bucket_seconds)
-    pieces = pieces.withColumn("__blk", F.floor((F.col("prefix_len") - 1) / block))
-    blocks = (pieces.groupBy("stay_id", "__blk")
-                    .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("prefix_len", "piece"))),
-                                                  lambda x: x["piece"]), "").alias("__btext")))
-    wb = Window.partitionBy("stay_id").orderBy("__blk").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = blocks.select("stay_id", "__blk",
-                           F.array_join(F.collect_list("__btext").over(wb), "").alias("__before"))
-    wi = (Window.partitionBy("stay_id", "__blk").orderBy("prefix_len")
-          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    inblock = pieces.withColumn("__in", F.array_join(F.collect_list("piece").over(wi), ""))
-    out = inblock.join(blocks, ["stay_id", "__blk"])
-    out = out.join(stay_labels(stays), "stay_id")
-    return out.select("stay_id", F.col("prefix_len").cast("int").alias("prefix_len"),
-                      F.concat("__before", "__in").alias("prefix_text"), "label")
-
-
-def temporal_split(stays: DataFrame, train_share: float = 0.66, bucket_seconds: int = 86400) -> DataFrame:
+    blk = F.floor((F.col("prefix_len") - 1) / block).cast("int")
+    b = pieces.groupBy("stay_id", blk.alias("blk")).agg(F.sort_array(F.collect_list(F.struct("prefix_len", "piece"))).alias("p"))
+    return b.select("stay_id", "blk", (F.col("blk") * block + 1).alias("first_len"), F.transform("p", lambda x: x["piece"]).alias("pieces"))
+
+
+def prefix_references(blocks: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(stay_id, prefix_len, blk, label)``: every prefix by the block that it ends in."""
+    last = F.col("first_len") + F.size("pieces") - 1
+    return blocks.select("stay_id", "blk", F.explode(F.sequence("first_len", last)).alias("prefix_len")) \
+                 .join(labels, "stay_id").select("stay_id", "prefix_len", "blk", "label")
+
+
+def expand(blocks: DataFrame, references: DataFrame) -> DataFrame:
+    """``(stay_id, prefix_len, prefix_text, label)`` of the prefixes referred to.
+
+    The text before a block is one running text over the few blocks of its stay; the part within the
+    block is cut from its pieces.
+    """
+    w = Window.partitionBy("stay_id").orderBy("blk").rowsBetween(Window.unboundedPreceding, -1)
+    whole = blocks.withColumn("before", F.array_join(F.collect_list(F.array_join("pieces", "")).over(w), ""))
+    own = F.slice("pieces", F.lit(1), F.col("prefix_len") - F.col("first_len") + 1)
+    return references.join(whole, ["stay_id", "blk"]).select(
+        "stay_id", F.col("prefix_len").cast("int").alias("prefix_len"), F.concat("before", F.array_join(own, "")).alias("prefix_text"), "label")
+
+
+def prefix_texts(stays: DataFrame, block: int = BLOCK) -> DataFrame:
+    """``(stay_id, prefix_len, prefix_text, label)``, one row per emitted event."""
+    blocks = rope(emitted_pieces(stay_features(stays)), block)
+    return expand(blocks, prefix_references(blocks, stay_labels(stays)))
+
+
+def temporal_split(stays: DataFrame, train_share: float = 0.66) -> DataFrame:
     """D1 + W12: stays ordered by start time (ties by id); the first int(share * n) train.
 
     Position without a global window: windows over the ranges of a range partitioning plus the

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from casestory.operators import stories as st
 from casestory.operators import textgen, traces
 from casestory.plans import oracle as O
-from casestory.plans.bindings import event_dictionary, events_log, events_log_sql
+from casestory.plans.bindings import dictionary_sql, event_dictionary, events_log, events_log_sql
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
@@ -216,9 +216,15 @@ def q_token_summary(spark, sf):
     return tk.token_summary(tk.token_dictionary(d), d)
 
 
-@register("stories_tokens")
+@register("stories_tokens", f"""WITH t AS (SELECT dst AS phrase, printf('[CLIN_%03d]', row_number() OVER (ORDER BY length(dst) DESC, min(pos))) AS token,
+  row_number() OVER (ORDER BY length(dst) DESC, min(pos)) AS token_no FROM {dictionary_sql()} GROUP BY dst),
+arr AS (SELECT list({{'p': phrase, 't': token}} ORDER BY token_no) AS l FROM t),
+st AS ({O.stories_sql("narrative")})
+SELECT case_id, list_reduce(list_prepend({{'p': '', 't': ''}}, arr.l),
+  lambda acc, x: CASE WHEN x.p = '' THEN acc ELSE {{'p': replace(acc.p, x.p, x.t), 't': ''}} END,
+  {{'p': story_text, 't': ''}}).p AS story_text, language, label FROM st, arr""")
 def q_stories_tokens(spark, sf):
-    """T6 with T10: stories whose dictionary phrases are replaced by tokens (rows-only)."""
+    """T6 with T10: stories whose dictionary phrases are replaced by tokens."""
     d = event_dictionary(spark)
     return st.stories(events_log(spark, sf), d, "narrative", token_dict=tk.token_dictionary(d))
 
@@ -564,11 +570,31 @@ def q_early_stopping(spark, sf):
     return r.withColumn("best_val_loss", F.round("best_val_loss", 6))
 
 
-@register("early_stopping_v2")
+def _es2_sql(patience=3, min_delta=0.01, thr=1.15, rp=2):
+    first, better = "(s.best IS NULL)", f"coalesce(x.v < s.best - {min_delta}, false)"
+    imp = f"({first} OR {better})"
+    counter = f"(CASE WHEN {first} THEN s.counter WHEN {better} THEN 0 ELSE s.counter + 1 END)"
+    ok = "coalesce(x.t > 0 AND x.v > 0, false)"
+    high = f"({ok} AND x.v / x.t > {thr})"
+    rc = f"(CASE WHEN NOT {ok} THEN s.rc WHEN {high} THEN s.rc + 1 ELSE 0 END)"
+    by_ratio, by_score = f"({high} AND {rc} >= {rp})", f"(NOT {imp} AND {counter} >= {patience})"
+    return f"""WITH h AS {EPOCH_HISTORY_SQL},
+g AS (SELECT run, fold, list({{'epoch': epoch, 'v': val_loss, 't': train_loss}} ORDER BY epoch) AS l FROM h GROUP BY run, fold),
+r AS (SELECT run, fold, list_reduce(l, lambda s, x: CASE WHEN s.stop_epoch >= 0 THEN s ELSE {{
+    'best': CASE WHEN {imp} THEN x.v ELSE s.best END, 'best_epoch': CASE WHEN {imp} THEN x.epoch ELSE s.best_epoch END,
+    'counter': {counter}, 'rc': {rc}, 'stop_epoch': CASE WHEN {by_ratio} OR {by_score} THEN x.epoch ELSE -1 END,
+    'reason': CASE WHEN {by_ratio} THEN 'loss_ratio_overfitting' WHEN {by_score} THEN 'no_improvement' END}} END,
+  {{'best': CAST(NULL AS DOUBLE), 'best_epoch': -1, 'counter': 0, 'rc': 0, 'stop_epoch': -1, 'reason': CAST(NULL AS VARCHAR)}}) AS s FROM g)
+SELECT run, fold, s.stop_epoch >= 0 AS stopped, s.stop_epoch AS stop_epoch, round(s.best, 6) AS best_score, s.best_epoch AS best_epoch,
+  s.reason AS stop_reason FROM r"""
+
+
+@register("early_stopping_v2", _es2_sql())
 def q_early_stopping_v2(spark, sf):
-    """Min mode with the val/train ratio rule (rows-only check)."""
-    return hs.early_stopping_v2(epoch_history(spark, sf), patience=3, min_delta=0.01, use_loss_ratio=True,
-                                loss_ratio_threshold=1.15, loss_ratio_patience=2)
+    """Min mode with the val/train ratio rule."""
+    r = hs.early_stopping_v2(epoch_history(spark, sf), patience=3, min_delta=0.01, use_loss_ratio=True,
+                             loss_ratio_threshold=1.15, loss_ratio_patience=2)
+    return r.withColumn("best_score", F.round("best_score", 6))
 
 
 _FOLD_METRICS_SQL = f"""(SELECT fold, avg(CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END) AS accuracy,
@@ -744,7 +770,9 @@ def _grid_sql(grid, folds):
 _TW_SQL, _PATH_SQL = _tw_sql(), _path_sql()
 
 
-@register("wordpiece_tokens", f"SELECT doc_id, CAST(pos AS BIGINT) AS pos, token FROM {_TOKENS_SQL}")
+@register("wordpiece_tokens", r"""SELECT doc_id, unnest(range(len(f))) AS pos, unnest(f) AS token FROM (SELECT doc_id, list_concat(['[CLS]'],
+  flatten(list_transform(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> ''),
+    lambda w: list_transform(range(0, length(w), 4), lambda j: CASE WHEN j = 0 THEN '' ELSE '##' END || substr(w, j + 1, 4)))), ['[SEP]']) AS f FROM documents)""")
 def q_wordpiece_tokens(spark, sf):
     """M1: whole texts as [CLS] word pieces [SEP]."""
     return at.wordpiece_tokens(_attribution_docs(spark, sf)).select("doc_id", F.col("pos").cast("long"), "token")
@@ -1192,7 +1220,7 @@ def q_own_scorer(spark, sf):
 
 import uuid  # noqa: E402
 
-from casestory.sources import positions, summaries  # noqa: E402
+from casestory.sources import positions, prefix_store, summaries  # noqa: E402
 
 
 def _fresh(spark, name):
@@ -1244,3 +1272,11 @@ def q_pairs_by_position(spark, sf):
     docs.select(F.length("text").alias("n")).write.csv(b)
     return positions.pair_by_position(spark.read.schema("doc_id long").json(a), spark.read.schema("n int").csv(b)).select("doc_id", "n")
 
+
+
+@register("sink_prefix_store", O.prefixes_sql())
+def q_sink_prefix_store(spark, sf):
+    """W10 written as pieces and references to them, read back as texts."""
+    path = _fresh(spark, "prefixes")
+    prefix_store.write_prefixes(stays(spark, sf), path)
+    return prefix_store.read_prefixes(spark, path)
