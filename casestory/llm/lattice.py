@@ -39,6 +39,8 @@ FREQUENT = 200_000
 #: Words that one task scores.
 TASK_WORDS = 50_000
 LONG_WORD = 64
+#: Words whose sums are held together in training: all their arcs, in all classes, stand in memory.
+TRAIN_BLOCK = 4096
 SLOT_BITS = 20
 #: Classes of texts; buckets for the byte pairs that tell them; texts that start them; rounds over all.
 CLASSES, BUCKETS, SEEDS, CLASS_ROUNDS = 8, 1024, 2000, 3
@@ -379,7 +381,7 @@ def train_pieces(words: DataFrame, pieces: list[bytes], classes: int, rounds: in
                 words = table.column("word").to_pylist()
                 has = np.stack([table.column(f"c{k}").to_numpy() > 0 for k in range(len(scores))], axis=1)
                 has[[i for i, w in enumerate(words) if not w]] = False
-                for at, data in grouped(words):
+                for at, data in grouped(words, TRAIN_BLOCK):
                     if data is None:
                         if has[at].any():
                             lattice.expected_long(b" " + words[at], counts, has[at])
