@@ -4,6 +4,8 @@ import random
 import re
 import string
 
+from pyspark.sql import functions as F
+
 from casestory.llm import queries
 from casestory.llm import secret_scan as op
 from tests.llm.helpers import frame, prose, rows_of
@@ -24,11 +26,15 @@ def brute(text):
         for m in re.finditer(f"{chars}{{{window},}}", text):
             if any(re.fullmatch(a, m[0], re.S) for a in op.ALLOW_LIST):
                 continue
-            hit = sorted({p for i in range(len(m[0]) - window + 1) if entropy(m[0][i:i + window]) >= bits - 1e-9 for p in range(i, i + window)})
-            starts = [p for p in hit if p - 1 not in hit]
-            ends = [p + 1 for p in hit if p + 1 not in hit]
-            # windows that only touch make one span too
-            added += [(m.start() + s, k, m.start() + e) for s, e in zip(starts, ends)]
+            edges = [0, *(x for c in re.finditer(op.MARKERS, m[0]) for x in c.span()), len(m[0])]
+            for a, b in zip(edges[::2], edges[1::2]):
+                if any(re.fullmatch(p, m[0][a:b], re.S) for p in op.ALLOW_LIST):
+                    continue
+                hit = {p for i in range(a, b - window + 1) if entropy(m[0][i:i + window]) >= bits - 1e-9 for p in range(i, i + window)}
+                starts = sorted(p for p in hit if p - 1 not in hit)
+                ends = sorted(p + 1 for p in hit if p + 1 not in hit)
+                # windows that only touch make one span too
+                added += [(m.start() + s, k, m.start() + e) for s, e in zip(starts, ends)]
     added = [s for s in added if not any(b[0] <= s[0] and s[2] <= b[2] for b in base)]
     show = lambda spans: ",".join(f"{op.KINDS[k]}:{s}:{e}" for s, k, e in spans)
     return tuple(sum(k == j for _, k, _ in base) for j in range(3)), show(base), show(sorted(base + added))
@@ -49,6 +55,9 @@ def sample():
         texts.append(rng.choice([" ", "\n", " é "]).join(words))
     texts.append("plain words and 1 number " * 8_000 + token(40) + " secret=" + token(12))
     texts.append(token(3_000))
+    # pieces of a long candidate, with spans over their borders and gaps between
+    texts.append("".join(token(rng.randint(15, 60)) + "ab" * rng.randint(0, 30) for _ in range(200)) + token(5_000))
+    texts += ["/example/v1/" + token(40), "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", token(30) + "0123456789" + token(19) + "EXAMPLE" + token(22), "some-path/" * 20_000]
     return [(k, t, "hot" if k % 2 else None) for k, t in enumerate(texts)] + [(3, texts[3], "x"), (None, texts[4], "x")]
 
 
@@ -60,6 +69,25 @@ def test_against_brute_force(spark):
     assert any("entropy_hex" in g[2] for g in got) and any("entropy_base64" in g[2] for g in got)
 
 
+def test_key_beside_a_marker_and_example_key(spark):
+    key = "kJ8vQ2xZ7nR4tLw9Yc3BmF6hSd1GpA5u"
+    rows = [(1, f"see /example/v1/{key} there", None), (2, "id wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", None)]
+    spans = {r["id"]: [rows[r["id"] - 1][1][s["start"]:s["end"]] for s in r["spans"]] for r in op.scan(frame(spark, rows)).collect()}
+    assert any(key in s for s in spans[1]) and "example" not in "".join(spans[1]) and spans[2] == []
+
+
+def test_many_matches_in_one_text(spark):
+    """200,000 matches, and spans beside them; appending to one array took hours."""
+    rng = random.Random(3)
+    key = lambda: "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32))
+    text = "".join(f"token=abcd{k:06d} " + (key() + " " if k % 100 == 0 else "") for k in range(200_000))
+    got = op.scan(frame(spark, [(1, text, None)], 1)).select(op.listed(op.of_kind(F.col("spans"), 0)).alias("base"), "spans").first()
+    want = [(m.start(), m.end()) for m in re.finditer("token=abcd[0-9]{6}", text)]
+    assert got["base"] == ",".join(f"assign:{a}:{b}" for a, b in want)
+    keys = [(m.start(), m.end()) for m in re.finditer("[A-Za-z0-9]{32}", text)]
+    assert len(keys) == 2_000 and sum(s["kind"] > 2 for s in got["spans"]) >= 1_990
+
+
 def test_empty_table_and_plan(spark):
     assert op.scan(frame(spark, [])).count() == 0
     plan = op.scan(frame(spark, sample()))._jdf.queryExecution().executedPlan().toString()
