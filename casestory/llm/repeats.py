@@ -7,12 +7,17 @@ cover, on the left too. Suffixes whose anchors begin alike form a class; equal c
 are counted and kept once, so a class has different contexts only.
 
 In a class the suffixes are sorted and a stack scan over their common prefixes lists the interval
-tree. Below an interval of common prefix r lie the suffixes that share r bytes to the right; its
-members are told apart by what they share on the left. A member whose left extension agrees with
-another's for l bytes, l + r >= 400, repeats there; where the left extensions are diverse the
-interval is a maximal repeat, and all its members are its occurrences. A class with more than
-``CLASS`` contexts is split first, by the bytes that halves of its windows have in common, as often
-as needed.
+tree. Below an interval of common prefix r lie the suffixes that share r bytes to the right. A second
+scan over what its members share on the left lists sets with equal left extension l that is diverse
+beyond it. Such a set whose suffixes stand below at least two branches of the interval is a maximal
+repeat of l + r bytes, and its members are all its occurrences; equal contexts are one leaf, which is
+a group itself where they occur twice. The removed bytes are those that groups of 400 bytes and more
+cover. A class with more than ``CLASS`` contexts is split first, by the bytes that halves of its
+windows have in common, as often as needed.
+
+A group is maximal within the reach of its anchor, the bytes of the windows that chose it (in split
+classes a half of them). A repeat that goes on behind comes as several groups, one per anchor, each
+with all occurrences of its bytes.
 """
 
 from __future__ import annotations
@@ -47,8 +52,12 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(data: bytes, hasher: ByteHash, length: int = LENGTH, gram: int = GRAM):
-    """Blocks of (at, first, last, hash): windows first..last have their anchor at ``at``."""
+    """Blocks of (at, first, last, hash): windows first..last have their anchor at ``at``.
+
+    An anchor that windows of two blocks choose comes once: the last one of a block waits for the next.
+    """
     whole = np.frombuffer(data, dtype=np.uint8)
+    waits = None
     for begin in range(0, len(data) - length + 1, BLOCK):
         part = whole[begin:begin + BLOCK + length - 1]
         n = len(part) - gram + 1
@@ -59,7 +68,14 @@ def anchors(data: bytes, hasher: ByteHash, length: int = LENGTH, gram: int = GRA
         first = np.concatenate([[0], np.flatnonzero(place[1:] != place[:-1]) + 1])
         last = np.concatenate([first[1:] - 1, [len(place) - 1]])
         at = place[first]
-        yield at + begin, first + begin, last + begin, h[at].view(np.int64)
+        block = [at + begin, first + begin, last + begin, h[at].view(np.int64)]
+        if waits and waits[0][0] == block[0][0]:
+            block[1][0] = waits[1][0]
+        elif waits:
+            block = [np.concatenate(x) for x in zip(waits, block)]
+        if begin + BLOCK <= len(data) - length:
+            waits, block = [x[-1:] for x in block], [x[:-1] for x in block]
+        yield tuple(block)
 
 
 def suffixes(rows: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
@@ -122,30 +138,47 @@ def intervals(lcp: list[int]):
             stack.append((value, first))
 
 
-def repeated_windows(members: list[tuple[bytes, bytes, int, int]], length: int = LENGTH):
-    """For members (bytes before the anchor, bytes from it, left, right) of one class, all different:
-    (member, from, to), ranges of windows that begin from..to bytes before the anchor and occur in
-    another member."""
+def maximal_repeats(members: list[tuple[bytes, bytes]], length: int = LENGTH):
+    """For members (bytes before the anchor, bytes from it) of one class, all different: (l, r, who),
+    every maximal string of l bytes before the anchor and r bytes from it, l + r >= length, that two
+    or more members have, and all members that have it."""
     order = sorted(range(len(members)), key=lambda k: members[k][1])
     lcp = [common_prefix(members[a][1], members[b][1]) for a, b in zip(order, order[1:])]
     before = [m[0][::-1] for m in members]
     by_left = sorted(range(len(members)), key=lambda k: before[k])
     lcs = np.array([common_prefix(before[a], before[b]) for a, b in zip(by_left, by_left[1:])], dtype=np.int64)
-    rank = np.empty(len(members), dtype=np.int64)
-    rank[by_left] = np.arange(len(members))
     order, by_left = np.array(order), np.array(by_left)
-    left = np.array([m[2] for m in members])
-    right = np.array([m[3] for m in members])
-    for r, parent, first, last in intervals(lcp):
-        # the longest left extension that each member shares with another one of the interval
+    rank, place = np.empty_like(order), np.empty_like(order)
+    rank[by_left] = place[order] = np.arange(len(members))
+    steps = np.array(lcp)
+    for r, _, first, last in intervals(lcp):
+        least = length - r
         ranks = np.sort(rank[order[first:last + 1]])
-        shared = np.minimum.reduceat(lcs[:ranks[-1]], ranks[:-1])
-        most = np.maximum(np.concatenate([[0], shared]), np.concatenate([shared, [0]]))
+        shared = np.minimum.reduceat(lcs[:ranks[-1]], ranks[:-1]) - least + 1  # above zero: long enough
+        if shared.max() <= 0:
+            continue
         who = by_left[ranks]
-        low = np.maximum(right[who], length - r)
-        high = np.minimum(np.minimum(left[who], most), length - parent - 1)
-        for k in np.flatnonzero(low <= high):
-            yield int(who[k]), int(low[k]), int(high[k])
+        branch = np.concatenate([[0], np.cumsum(steps[first:last] == r)])[place[who] - first]
+        for l, _, a, b in intervals(np.maximum(shared, 0).tolist()):
+            if (branch[a:b + 1] != branch[a]).any():  # else they share more than r to the right
+                yield l + least - 1, r, who[a:b + 1]
+
+
+def widest(repeats) -> dict[int, list[tuple[int, int]]]:
+    """Per member the (l, r) of its repeats that lie in no other one of its repeats."""
+    per: dict[int, dict[int, int]] = {}
+    for l, r, who in repeats:
+        for k in who.tolist():
+            held = per.setdefault(k, {})
+            held[r] = max(l, held.get(r, 0))
+    out = {}
+    for k, held in per.items():
+        most = -1
+        for r in sorted(held, reverse=True):
+            if held[r] > most:
+                most = held[r]
+                out.setdefault(k, []).append((most, r))
+    return out
 
 
 # ---- the job ------------------------------------------------------------------------------------
@@ -177,8 +210,8 @@ def _contexts(rows: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
 def _halves(members: DataFrame, length: int) -> DataFrame:
     """Members once per half of their class's windows: class, context and bytes cut to the half."""
     def run(batches):
-        names = ["node", "low", "high", "key", "n", "left", "right", "before", "after", "kh", "ctx", "o_n"]
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
+        names = ["node", "low", "high", "key", "n", "left", "right", "before", "after", "kh", "ctx", "o_n", "of_node", "of_key"]
+        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary()] + [pa.int64()] * 5
         for batch in batches:
             out = []
             for m in batch.to_pylist():
@@ -192,68 +225,146 @@ def _halves(members: DataFrame, length: int) -> DataFrame:
                     node = xxhash.xxh3_64_intdigest(core, seed=(m["node"] ^ (a << 16 | b)) & (2**64 - 1))
                     key = xxhash.xxh3_64_intdigest(before + after, seed=l)
                     sign = lambda x: x - 2**64 if x >= 2**63 else x
-                    out.append((sign(node), a, b, sign(key), m["n"], l, r, before, after, m["kh"], m["ctx"], m["o_n"]))
+                    out.append((sign(node), a, b, sign(key), m["n"], l, r, before, after, m["kh"], m["ctx"], m["o_n"], m["node"], m["key"]))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
-    return members.mapInArrow(run, "node long, low int, high int, key long, n long, left int, right int, before binary, after binary, kh long, ctx long, o_n long")
+    return members.mapInArrow(run, "node long, low int, high int, key long, n long, left int, right int, before binary, after binary, kh long, ctx long, o_n long, of_node long, of_key long")
 
 
-def _in_classes(members: DataFrame, length: int) -> DataFrame:
-    """``kh, ctx, from, to`` of the repeated windows of contexts that occur once."""
+def _covered(members: DataFrame, length: int) -> DataFrame:
+    """``kh, ctx, from, to``: windows that the maximal repeats of a class cover, of contexts that occur once."""
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        out = [(rows[k]["kh"], rows[k]["ctx"], a, b) for k, a, b in repeated_windows(
-            [(r["before"], r["after"], r["left"], r["right"]) for r in rows], length) if rows[k]["o_n"] == 1 and rows[k]["n"] == 1]
+        out = [(rows[k]["kh"], rows[k]["ctx"], length - r, l) for k, pairs in widest(
+            maximal_repeats([(r["before"], r["after"]) for r in rows], length)).items() if rows[k]["o_n"] == 1 and rows[k]["n"] == 1 for l, r in pairs]
         cols = list(zip(*out)) or [[]] * 4
         return pa.table([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())],
                         names=["kh", "ctx", "from", "to"])
     return members.groupBy("node").applyInArrow(run, "kh long, ctx long, from int, to int")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
-                   gram: int = GRAM, most: int = CLASS) -> DataFrame:
-    """``id, th, first, last``: windows of ``length`` bytes that occur elsewhere, as ranges of starts.
-
-    Ranges of a text may meet. Rows that repeat id and text are different places and repeat each
-    other.
-    """
-    rows = keyed(docs, id_col, text_col)
+def _groups_of_classes(members: DataFrame, length: int) -> DataFrame:
+    """``node, key, g, l, r``: the maximal repeats of a class, one row per repeat and context."""
+    def run(table: pa.Table) -> pa.Table:
+        rows, out, whole = table.to_pylist(), [], set()
+        for l, r, who in maximal_repeats([(m["before"], m["after"]) for m in rows], length):
+            one = rows[who[0]]
+            g = xxhash.xxh3_64_intdigest(one["before"][len(one["before"]) - l:] + one["after"][:r], seed=l)
+            for k in who.tolist():
+                out.append((rows[k]["node"], rows[k]["key"], g - 2**64 if g >= 2**63 else g, l, r))
+                if l == len(rows[k]["before"]) and r == len(rows[k]["after"]):
+                    whole.add(k)
+        out += [(m["node"], m["key"], m["key"], len(m["before"]), len(m["after"])) for k, m in enumerate(rows) if m["n"] > 1 and k not in whole]
+        cols = list(zip(*out)) or [[]] * 5
+        return pa.table([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 3 + [pa.int32()] * 2)], names=["node", "key", "g", "l", "r"])
+    return members.groupBy("node").applyInArrow(run, "node long, key long, g long, l int, r int")
+
+
+def _suffix_classes(rows: DataFrame, length: int, gram: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Suffixes whose anchor occurs twice; their contexts; classes of several contexts; the members of these."""
     every = stash(suffixes(rows, length, gram), "suffixes")
     classes = stash(every.groupBy("kh").agg(F.count("*").alias("size")).where("size > 1"), "classes")
     again = stash(join_groups(every, classes, ["kh"], "size").drop("size"), "repeated-suffixes")
     one = F.min(F.struct("id", "th", "at", "left", "right")).alias("one")
     contexts = stash(again.groupBy("kh", "ctx").agg(F.count("*").alias("n"), one), "contexts")
-    # contexts that occur twice repeat as a whole
-    whole = join_groups(again, contexts.where("n > 1").select("kh", "ctx", "n"), ["kh", "ctx"], "n").select(
-        "id", "th", (F.col("at") - F.col("left")).alias("first"), (F.col("at") - F.col("right")).alias("last"))
     mixed = stash(contexts.groupBy("kh").agg(F.count("*").alias("m")).where("m > 1"), "mixed")
     wanted = stash(join_groups(contexts, mixed, ["kh"], "m").select("one.*", "kh", "ctx", "n"), "wanted")
     members = _contexts(rows, wanted, length).select(
         F.col("kh").alias("node"), F.lit(0).alias("low"), F.lit(length - gram).alias("high"), F.col("ctx").alias("key"),
         "n", "left", "right", "before", "after", "kh", "ctx", F.col("n").alias("o_n"))
-    members = stash(members.dropDuplicates(["node", "key"]), "members")
+    return again, contexts, mixed, stash(members.dropDuplicates(["node", "key"]), "members")
+
+
+def _split(members: DataFrame, large: DataFrame, length: int) -> DataFrame:
+    """Members of large classes cut to halves, with how often (total) and in how many (k) of them the cut context stands."""
+    halves = stash(_halves(join_groups(members, large, ["node"], "m").drop("m"), length), "halves")
+    same = stash(halves.groupBy("node", "key").agg(F.sum("n").alias("total"), F.count("*").alias("k")), "same")
+    return stash(join_groups(halves, same, ["node", "key"], "k"), "met")
+
+
+def _different(met: DataFrame) -> DataFrame:
+    return stash(met.withColumn("n", F.col("total")).drop("total", "k", "of_node", "of_key").dropDuplicates(["node", "key"]), "members")
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                   gram: int = GRAM, most: int = CLASS) -> DataFrame:
+    """``id, th, first, last``: windows of ``length`` bytes that occur elsewhere, as ranges of starts.
+
+    They are what the groups of ``repeat_groups`` cover; of nested groups the widest are enough.
+    Ranges of a text may meet. Rows that repeat id and text are different places and repeat each
+    other.
+    """
+    again, contexts, _, members = _suffix_classes(keyed(docs, id_col, text_col), length, gram)
+    # leaves of the tree: contexts that occur twice repeat as a whole
+    whole = join_groups(again, contexts.where("n > 1").select("kh", "ctx", "n"), ["kh", "ctx"], "n").select(
+        "id", "th", (F.col("at") - F.col("left")).alias("first"), (F.col("at") - F.col("right")).alias("last"))
     found = []
     while True:
         sizes = stash(members.groupBy("node").agg(F.count("*").alias("m")).where("m > 1"), "sizes")
-        small = join_groups(members, sizes.where(F.col("m") <= most), ["node"], "m").drop("m")
-        found.append(stash(_in_classes(small, length), "found"))
+        found.append(stash(_covered(join_groups(members, sizes.where(F.col("m") <= most), ["node"], "m").drop("m"), length), "found"))
         large = sizes.where(F.col("m") > most)
         if large.isEmpty():
             break
-        halves = stash(_halves(join_groups(members, large, ["node"], "m").drop("m"), length), "halves")
-        same = stash(halves.groupBy("node", "key").agg(F.sum("n").alias("total"), F.count("*").alias("k")), "same")
-        met = stash(join_groups(halves, same, ["node", "key"], "k"), "met")
+        met = _split(members, large, length)
         found.append(met.where("total > 1 and o_n = 1").select("kh", "ctx", F.col("right").alias("from"), F.col("left").alias("to")))
-        members = stash(met.withColumn("n", F.col("total")).drop("total", "k").dropDuplicates(["node", "key"]), "members")
-    parts = found[0]
-    for f in found[1:]:
-        parts = parts.unionByName(f)
+        members = _different(met)
     single = contexts.where("n = 1").select("one.id", "one.th", "one.at", "kh", "ctx")
-    partly = single.join(parts, ["kh", "ctx"]).select(
+    partly = single.join(_union(found), ["kh", "ctx"]).select(
         "id", "th", (F.col("at") - F.col("to")).alias("first"), (F.col("at") - F.col("from")).alias("last"))
     return whole.unionByName(partly)
 
 
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def repeat_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
+                  gram: int = GRAM, most: int = CLASS) -> DataFrame:
+    """``grp, id, th, start, end``: one row per occurrence of every maximal repeat of at least ``length``
+    bytes within the reach of an anchor (see above); [start, end) are bytes.
+
+    All occurrences of a group's bytes in the corpus are listed, and each window of ``length`` bytes
+    that occurs twice lies in a group that occurs exactly as often. Nested repeats are groups of their
+    own. Null and empty texts, and those below ``length`` bytes, have none; an empty table gives no
+    rows. Rows that repeat id and text are different places.
+    """
+    again, contexts, mixed, members = _suffix_classes(keyed(docs, id_col, text_col), length, gram)
+    whole = F.struct(F.col("key").alias("g"), F.col("left").alias("l"), (F.lit(length) - F.col("right")).alias("r"))
+    held = F.collect_list(F.struct("g", "l", "r")).alias("held")  # at most one per l and r of a context
+    alone = contexts.where("n > 1").join(mixed, "kh", "left_anti").select("kh", "ctx", F.col("ctx").alias("key"), "one.left", "one.right")
+    found = [alone.select("kh", "ctx", whole.alias("x")).select("kh", "ctx", "x.*")]
+    below = None  # node, key, kh, ctx: the contexts that a cut context stands for
+    while True:
+        sizes = stash(members.groupBy("node").agg(F.count("*").alias("m")), "sizes")
+        groups = _groups_of_classes(join_groups(members, sizes.where((F.col("m") <= most) & (F.col("m") > 1)), ["node"], "m").drop("m"), length)
+        leaves = join_groups(members, sizes.where("m = 1"), ["node"], "m").where("n > 1").select("node", "key", whole.alias("x")).select("node", "key", "x.*")
+        groups = stash(groups.unionByName(leaves), "groups")
+        if below is None:
+            found.append(groups.withColumnsRenamed({"node": "kh", "key": "ctx"}))
+        else:
+            per = stash(groups.groupBy("node", "key").agg(held).join(below.groupBy("node", "key").agg(F.count("*").alias("k")), ["node", "key"]), "per-key")
+            found.append(join_groups(below, per, ["node", "key"], "k").select("kh", "ctx", F.inline("held")))
+        large = sizes.where((F.col("m") > most) & (F.col("m") > 1))
+        if large.isEmpty():
+            break
+        met = _split(members, large, length)
+        if below is None:
+            below = met.select("node", "key", "kh", "ctx")
+        else:
+            to = met.groupBy(F.col("of_node").alias("node"), F.col("of_key").alias("key")).agg(F.collect_list(F.struct("node", "key")).alias("halves"))
+            to = stash(to.join(below.groupBy("node", "key").agg(F.count("*").alias("k")), ["node", "key"]), "to-halves")
+            below = stash(join_groups(below, to, ["node", "key"], "k").select("kh", "ctx", F.inline("halves")), "below")
+        members = _different(met)
+    per = _union(found).groupBy("kh", "ctx").agg(held)
+    per = stash(per.join(contexts.select("kh", "ctx", "n"), ["kh", "ctx"]), "groups-of-contexts")
+    return join_groups(again, per, ["kh", "ctx"], "n").select("id", "th", "at", "kh", F.inline("held")).select(
+        F.concat(F.lpad(F.hex("kh"), 16, "0"), F.lpad(F.hex("g"), 16, "0")).alias("grp"), "id", "th",
+        (F.col("at") - F.col("l")).alias("start"), (F.col("at") + F.col("r")).alias("end"))
+
+
 def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH,
                     gram: int = GRAM, most: int = CLASS) -> DataFrame:
     """One row per row of ``docs``: ``id, th, n_bytes, spans, kept``.

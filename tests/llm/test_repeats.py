@@ -58,6 +58,85 @@ def test_against_brute_force(spark, most):
     assert got(found) == brute([r[:2] for r in rows], 80)
 
 
+def brute_maximal(members, length):
+    """(l, r, who) by trying every l and r of every member."""
+    found = {}
+    for before, after in members:
+        for l in range(len(before) + 1):
+            for r in range(max(0, length - l), len(after) + 1):
+                part = before[len(before) - l:], after[:r]
+                if part not in found:
+                    found[part] = frozenset(k for k, (b, a) in enumerate(members) if len(b) >= l and b[len(b) - l:] == part[0] and a[:r] == part[1])
+    best = {}
+    for (b, a), who in found.items():
+        if len(who) > 1:
+            wide = best.setdefault(who, [0, 0])
+            wide[:] = max(wide[0], len(b)), max(wide[1], len(a))
+    return sorted((l, r, sorted(who)) for who, (l, r) in best.items())
+
+
+def test_maximal_repeats_of_a_class():
+    """Sets of members that share a string are closed by their longest left and right extensions."""
+    rng = random.Random(5)
+    letters = lambda n: bytes(rng.choice(b"ab") for _ in range(n))
+    seen = 0
+    for _ in range(300):
+        members = sorted({(letters(rng.randint(0, 5)), b"x" + letters(rng.randint(1, 6))) for _ in range(rng.randint(2, 14))})
+        if len(members) < 2:
+            continue
+        got = sorted((l, r, sorted(who.tolist())) for l, r, who in op.maximal_repeats(members, 5))
+        assert got == brute_maximal(members, 5)
+        seen += len(got)
+    assert seen > 500
+
+
+@pytest.mark.parametrize("most", [4096, 3])
+def test_repeat_groups(spark, most):
+    """Equal bytes, every occurrence, left and right diverse or at the reach of the anchor, and each
+    repeated window in a group that occurs as often as the window does."""
+    length, gram, rows = 80, 40, sample(7)
+    rows = [(k, t, s) for k, (_, t, s) in enumerate(rows)]
+    texts = {k: (t or "").encode() for k, t, _ in rows}
+    groups = defaultdict(set)
+    count = 0
+    for r in op.repeat_groups(frame(spark, rows), length=length, gram=gram, most=most).collect():
+        groups[r["grp"]].add((r["id"], r["start"], r["end"]))
+        count += 1
+    assert count == sum(map(len, groups.values()))  # no row twice
+    places, where = defaultdict(set), {}
+    for k, data in texts.items():
+        for p in range(len(data) - length + 1):
+            places[data[p:p + length]].add((k, p))
+        where[k] = {w: (f, e) for _, first, last, _ in op.anchors(data, op.ByteHash(), length, gram)
+                    for f, e in zip(first.tolist(), last.tolist()) for w in range(f, e + 1)}
+    covers = set()
+    for spans in groups.values():
+        (word,) = {texts[k][a:b] for k, a, b in spans}
+        k, a, b = min(spans)
+        same = {(j, p) for j, p in places[word[:length]] if texts[j][p:p + len(word)] == word}
+        assert {(j, p) for j, p, _ in spans} == same and len(same) > 1
+        before = {texts[j][p - 1:p] if p else None for j, p, _ in spans}
+        behind = {texts[j][e:e + 1] or None for j, _, e in spans}
+        if most > 100:
+            at_left = any(where[j][p][0] == p for j, p, _ in spans)
+            at_right = any(where[j][e - length][1] == e - length for j, _, e in spans)
+            assert (len(before) > 1 or None in before or at_left) and (len(behind) > 1 or None in behind or at_right)
+        covers |= {(word[p:p + length], len(spans)) for p in range(len(word) - length + 1)}
+    repeated = {(w, len(at)) for w, at in places.items() if len(at) > 1}
+    assert repeated <= covers and {w for w, _ in covers} == {w for w, _ in repeated}
+
+
+def test_repeat_groups_of_copies_and_nothing(spark):
+    text = prose(random.Random(4), 120)
+    rows = [(1, text, "s"), (1, text, "s"), (None, text, "s"), (2, None, "s"), (3, "", "s"), (4, "short", "s")]
+    found = op.repeat_groups(frame(spark, rows), length=80, gram=40).collect()
+    per = defaultdict(list)
+    for r in found:
+        per[r["grp"]].append((r["id"], r["start"], r["end"]))
+    assert per and all(sorted(i is None for i, _, _ in v) == [False, False, True] and len({x[1:] for x in v}) == 1 for v in per.values())
+    assert op.repeat_groups(frame(spark, [])).count() == 0
+
+
 def test_intervals():
     """Each interval of the tree once: all its suffixes share r, its neighbours do not."""
     rng = random.Random(1)
@@ -80,6 +159,9 @@ def test_windows_of_long_texts_meet_at_blocks(monkeypatch):
     monkeypatch.setattr(op, "BLOCK", 512)
     seen = [w for at, first, last, _ in op.anchors(data, ByteHash()) for a, f, e in zip(at, first, last) for w in range(f, e + 1) if f <= e and e <= a <= f + 200]
     assert seen == list(range(len(data) - 399))
+    places = [a for at, *_ in op.anchors(data, ByteHash()) for a in at.tolist()]
+    monkeypatch.setattr(op, "BLOCK", 1 << 19)
+    assert places == [a for at, *_ in op.anchors(data, ByteHash()) for a in at.tolist()]
 
 
 def test_empty_table(spark):
