@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestory.functions.text import shorten
-from casestory.operators.attribute import top_k
+from casestory.operators.attribute import _let, explode_late, top_k
 from casestory.operators.phrases import phrase_hits as phrase_hits
 
 
@@ -31,11 +31,48 @@ def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:
         "doc_id", "action", F.coalesce("score", F.lit(0.0)).alias("score"), "words_found", "n_words")
 
 
+def with_actions(docs: DataFrame, hits: DataFrame) -> DataFrame:
+    """The documents that have hits, with ``actions``, the array of their actions."""
+    return docs.join(hits.groupBy("doc_id").agg(F.collect_set("action").alias("actions")), "doc_id")
+
+
+def document_action_scores(documents: DataFrame) -> DataFrame:
+    """The rows of ``action_scores`` from documents with ``words`` (``attribute.document_words``) and
+    ``actions``, with their ``y_pred``; no word leaves its document.
+
+    The words that the actions ask for are sorted among the document's words, so each is found beside
+    its first spelling; only these are looked up."""
+    parts = F.transform("actions", lambda a: F.struct(a.alias("action"), F.filter(F.split(a, r"\s+"), lambda w: w != "").alias("aw")))
+    lowered = F.transform(parts, lambda x: F.struct(x["action"].alias("action"), F.transform(x["aw"], lambda w: F.lower(w)).alias("aw")))
+
+    def known(asked):
+        none = F.lit(None).cast("long")
+        own = F.transform("words", lambda x: F.struct(F.lower(x["word"]).alias("lw"), x["first_word_id"].alias("no"), x["score"].alias("s")))
+        wanted = F.transform(F.array_distinct(F.flatten(F.transform(asked, lambda x: x["aw"]))),
+                             lambda w: F.struct(w.alias("lw"), none.alias("no"), F.lit(None).cast("double").alias("s")))
+
+        def beside(s):  # a null number comes first: the word after it is the first spelling
+            return F.filter(s, lambda x, i: x["no"].isNotNull() & (i > 0) & F.coalesce(
+                F.get(s, i - 1)["no"].isNull() & (F.get(s, i - 1)["lw"] == x["lw"]), F.lit(False)))
+        return _let(F.sort_array(F.concat(own, wanted)), beside)
+
+    def score(x, ws):
+        found = F.filter(F.transform(x["aw"], lambda w: F.abs(ws[w])), lambda v: v.isNotNull())
+        return _let(found, lambda v: F.struct(
+            x["action"].alias("action"), F.aggregate(v, F.lit(0.0), lambda a, y: a + y).alias("score"),
+            F.size(v).cast("long").alias("words_found"), F.size(x["aw"]).cast("long").alias("n_words")))
+    scored = _let(lowered, lambda asked: _let(known(asked), lambda k: _let(
+        F.map_from_arrays(F.transform(k, lambda x: x["lw"]), F.transform(k, lambda x: x["s"])),
+        lambda ws: F.transform(asked, lambda x: score(x, ws)))))
+    rows = documents.select("doc_id", "y_pred", explode_late(scored).alias("x")).select("doc_id", "x.*", "y_pred")
+    return rows.where(F.col("words_found") >= F.col("n_words") / 2)
+
+
 def action_statistics(scores: DataFrame, preds: DataFrame | None = None) -> DataFrame:
     """Per class (predicted 0 vs others; 'all' without predictions) and action:
-    mean, population std, count and total of the scores."""
-    if preds is not None:
-        s = scores.join(preds.select("doc_id", "y_pred"), "doc_id")
+    mean, population std, count and total of the scores. Scores may bring their ``y_pred``."""
+    if preds is not None or "y_pred" in scores.columns:
+        s = scores if preds is None else scores.join(preds.select("doc_id", "y_pred"), "doc_id")
         cls = F.when(F.col("y_pred") == 0, "class_0").otherwise("class_1")
     else:
         s, cls = scores, F.lit("all")

@@ -16,6 +16,11 @@ score is one multiplication. Completeness (X5) follows from the per-document sum
 Weights come from a weights table ``(token, w array<double>)`` (e.g. a fitted model's
 coefficients, joined with a size-checked broadcast) or from a column function of the
 token (``weight_fn``).
+
+Tokens have two forms. In *rows* (``doc_id, pos, token``) they can meet a weights table. As
+*documents* (``doc_id, tokens``: the array of a text's tokens, one row per text, ids unique) everything
+up to the word scores is worked out inside the row, so no token is shuffled; the operators that
+take documents keep their other columns.
 """
 
 from __future__ import annotations
@@ -46,21 +51,38 @@ def wordpiece_tokens(docs: DataFrame, text: str = "text", piece: int = 4, max_le
     so there is no shuffle.
     """
     frame = F.concat(F.array(F.lit("[CLS]")), pieces_of(F.col(text), piece), F.array(F.lit("[SEP]")))
-    rows = docs.select("doc_id", F.posexplode(frame).alias("__p", "token"), F.size(frame).alias("__n"))
+    rows = docs.select("doc_id", F.posexplode_outer(frame).alias("__p", "token"), F.size(frame).alias("__n"))
     if max_len is not None:
         rows = rows.filter((F.col("__p") < max_len) if side == "right" else (F.col("__p") >= F.col("__n") - max_len))
     return rows.select("doc_id", F.col("__p").cast("long").alias("pos"), "token")
 
 
 def pieces_of(text: Column, piece: int = 4) -> Column:
-    """The word pieces of a text as an array."""
-    words = F.filter(F.split(F.coalesce(text, F.lit("")), r"\s+"), lambda w: w != "")
+    """The word pieces of a text as an array: a mark is set between the pieces, then the text is split."""
+    marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(\S{{{piece}}})(?=\S)", "$1 ##")
+    return F.filter(F.split(marked, r"\s+"), lambda w: w != "")
+
+
+def document_tokens(docs: DataFrame, text: str = "text", piece: int = 4) -> DataFrame:
+    """The tokens of ``wordpiece_tokens`` as documents: one row per text with the array ``tokens``, and
+    the other columns of ``docs``. Rows without an id are left out, as by the joins on ids."""
+    frame = F.concat(F.array(F.lit("[CLS]")), pieces_of(F.col(text), piece), F.array(F.lit("[SEP]")))
+    return docs.where(F.col("doc_id").isNotNull()).withColumn("tokens", frame).drop(text)
+
+
+def _as_documents(tokens: DataFrame) -> bool:
+    return "tokens" in tokens.columns
 
-    def cut(w):
-        n = F.ceil(F.length(w) / piece).cast("int")
-        return F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.concat(
-            F.when(j == 0, F.lit("")).otherwise(F.lit("##")), w.substr(j * piece + 1, F.lit(piece))))
-    return F.flatten(F.transform(words, cut))
+
+def explode_late(array: Column | str) -> Column:
+    """``explode`` for arrays that cost work. The optimizer puts a filter on empty arrays below a plain
+    ``explode`` and works them out twice; an outer one leaves a null for them, which the caller drops."""
+    return F.explode_outer(array)
+
+
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def model_input(docs: DataFrame, max_len: int, text: str = "text", piece: int = 4, side: str = "right",
@@ -90,7 +112,12 @@ def token_weights_expr(token: Column, fold: int = 0) -> Column:
 
 def with_weights(tokens: DataFrame, weights: DataFrame | None = None,
                  weight_fn: Callable[[Column], Column] | None = None) -> DataFrame:
-    """Attach ``w array<double>`` to every token (table join or column function)."""
+    """Attach ``w array<double>`` to every token (table join or column function); documents get an array
+    of these, by a column function only."""
+    if _as_documents(tokens):
+        if weight_fn is None:
+            raise ValueError("a weights table needs tokens in rows")
+        return tokens.withColumn("w", F.transform("tokens", lambda t: weight_fn(t)))
     if weight_fn is not None:
         return tokens.withColumn("w", weight_fn(F.col("token")))
     return tokens.join(weights.select("token", "w"), "token", "left") \
@@ -112,11 +139,13 @@ def centred_weights(tw: DataFrame, bias: list[float], k: int = 2) -> tuple[DataF
 
 # ------------------------------------------------------------------ X1 / X3
 
-def _softmax(z: Column) -> Column:
-    m = F.array_max(z)
-    e = F.transform(z, lambda x: F.exp(x - m))
-    s = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / s)
+def _class_sums(tw: DataFrame, k: int) -> DataFrame:
+    """``s``: the class sums of every document; documents keep their other columns."""
+    if _as_documents(tw):
+        zero = F.array(*[F.lit(0.0)] * k)
+        return tw.withColumn("s", F.aggregate("w", zero, lambda acc, w: F.array(*[acc[j] + w[j] for j in range(k)])))
+    s = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
+    return s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)])).drop(*[f"s{j}" for j in range(k)])
 
 
 def doc_path_summary(tw: DataFrame, bias: list[float], n_steps: int | Column, target: Column | None = None,
@@ -124,8 +153,7 @@ def doc_path_summary(tw: DataFrame, bias: list[float], n_steps: int | Column, ta
     """Per document: s_k, predicted class, target, m_k (trapezoid over n steps), f(x),
     f(baseline), sum of attributions (= sum_k m_k s_k). The baseline is the empty text; for the
     corpus mean pass weights that are centred (``centred_weights``) and the bias at the mean."""
-    s = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
-    s = s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)])).drop(*[f"s{j}" for j in range(k)])
+    s = _class_sums(tw, k)
     b = F.array(*[F.lit(float(x)) for x in bias])
     z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
     s = s.withColumn("y_pred", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
@@ -134,37 +162,60 @@ def doc_path_summary(tw: DataFrame, bias: list[float], n_steps: int | Column, ta
     return _path_terms(s, b, k)
 
 
-def _path_terms(s: DataFrame, b: Column, k: int) -> DataFrame:
-    c = F.col("target")
-    n = F.col("n_steps")
-
-    def p_at(alpha):
-        return _softmax(F.zip_with(b, F.col("s"), lambda x, y: x + alpha * y))
+def _path(s: Column, c: Column, n: Column, b: Column, k: int) -> Column:
+    """``m, f_x, f_baseline, sum_attributions`` of class sums ``s`` for class ``c`` over ``n`` steps."""
+    def at_point(alpha, then):
+        """``then`` of the exponentials of the logits at ``alpha`` and of their sum."""
+        def exps(z):
+            top = F.greatest(*[z[j] for j in range(k)])
+            return _let(F.array(*[F.exp(z[j] - top) for j in range(k)]), lambda e: then(e, sum((e[j] for j in range(1, k)), e[0])))
+        return _let(F.array(*[b[j] + alpha * s[j] for j in range(k)]), exps)
 
     def step(acc, j):
-        alpha = j.cast("double") / n
-        p = p_at(alpha)
-        pc = F.element_at(p, c + 1)
         tw_ = F.when((j == 0) | (j == n), F.lit(0.5)).otherwise(F.lit(1.0))
-        g = F.transform(F.sequence(F.lit(0), F.lit(k - 1)),
-                        lambda kk: pc * (F.when(kk == c, 1.0).otherwise(0.0) - F.element_at(p, kk + 1)))
-        return F.zip_with(acc, g, lambda a, x: a + tw_ * x)
+        return at_point(j.cast("double") / n, lambda e, total: F.array(*[
+            acc[kk] + tw_ * (e[c] / total * (F.when(c == kk, 1.0).otherwise(0.0) - e[kk] / total)) for kk in range(k)]))
 
+    def target(alpha):
+        return at_point(F.lit(alpha), lambda e, total: e[c] / total)
     zero = F.array(*[F.lit(0.0) for _ in range(k)])
-    m = F.aggregate(F.sequence(F.lit(0), n), zero, step)
-    s = s.withColumn("m", F.transform(m, lambda x: x / n))
-    s = s.withColumn("f_x", F.element_at(p_at(F.lit(1.0)), c + 1))
-    s = s.withColumn("f_baseline", F.element_at(p_at(F.lit(0.0)), c + 1))
-    return s.withColumn("sum_attributions", F.aggregate(F.zip_with("m", "s", lambda a, x: a * x), F.lit(0.0),
-                                                        lambda a, x: a + x))
+    m = F.transform(F.aggregate(F.sequence(F.lit(0), n), zero, step), lambda x: x / n)
+    return _let(m, lambda m: F.struct(m.alias("m"), target(1.0).alias("f_x"), target(0.0).alias("f_baseline"),
+                                      _weighted(m, s).alias("sum_attributions")))
+
+
+def _path_terms(s: DataFrame, b: Column, k: int) -> DataFrame:
+    d = s.withColumn("__path", _path(F.col("s"), F.col("target"), F.col("n_steps"), b, k))
+    return d.select(*s.columns, "__path.m", "__path.f_x", "__path.f_baseline", "__path.sum_attributions")
+
+
+def _weighted(m: Column, w: Column) -> Column:
+    return F.aggregate(F.zip_with(m, w, lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
+
+
+def _dot(m: Column, w: Column, k: int) -> Column:
+    """As ``_weighted`` for ``k`` classes, without a loop."""
+    return sum((m[j] * w[j] for j in range(k)), F.lit(0.0))
 
 
 def token_attributions(tw: DataFrame, summary: DataFrame) -> DataFrame:
     """Per token score = sum_k m_k w_k (token rows joined to their document's m)."""
     j = tw.join(summary.select("doc_id", "m", "target"), "doc_id")
-    return j.select("doc_id", "pos", "token", "target",
-                    F.aggregate(F.zip_with("m", "w", lambda a, x: a * x), F.lit(0.0), lambda a, x: a + x)
-                    .alias("score"))
+    return j.select("doc_id", "pos", "token", "target", _weighted(F.col("m"), F.col("w")).alias("score"))
+
+
+def document_attributions(summary: DataFrame, k: int = 2) -> DataFrame:
+    """X1 for documents with their path terms (``doc_path_summary`` of documents): ``tokens`` becomes
+    the array of ``pos, token, score``."""
+    words = F.arrays_zip("tokens", "w")
+    numbered = _let(F.col("m"), lambda m: F.transform(words, lambda x, i: F.struct(
+        i.cast("long").alias("pos"), x["tokens"].alias("token"), _dot(m, x["w"], k).alias("score"))))
+    return summary.withColumn("tokens", numbered).drop("w")
+
+
+def token_rows(attributed: DataFrame) -> DataFrame:
+    """The rows of ``token_attributions`` from documents."""
+    return attributed.select("doc_id", "target", explode_late("tokens").alias("t")).select("doc_id", "t.pos", "t.token", "target", "t.score")
 
 
 # ------------------------------------------------------------------ X2
@@ -188,6 +239,45 @@ def word_attributions(token_attr: DataFrame) -> DataFrame:
                                                F.min("word_id").alias("first_word_id"))
 
 
+def _runs(ordered: Column, key: str, last: str, first: str) -> Column:
+    """From structs in the order of ``key``: per run of equal keys the ``last`` struct, named so, and the ``first``."""
+    def ends(s):
+        lasts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)[key] != x[key], F.lit(True)))
+        firsts = F.filter(s, lambda x, i: F.when(i == 0, F.lit(True)).otherwise(F.get(s, i - 1)[key] != x[key]))
+        return F.zip_with(lasts, firsts, lambda x, y: F.struct(x.alias(last), y.alias(first)))
+    return _let(ordered, ends)
+
+
+def document_words(attributed: DataFrame) -> DataFrame:
+    """X2 for documents with scored tokens: ``words``, the array of ``word, score, first_word_id`` in
+    the order of the words. A word's pieces are a slice of the tokens; repeated words meet by sorting."""
+    kept = F.filter("tokens", lambda x: ~x["token"].isin(*SPECIAL_TOKENS))
+
+    def piece(x):
+        return F.when(x["token"].startswith("##"), F.substring(x["token"], 3, 2147483647)).otherwise(x["token"])
+
+    def words(t):
+        starts = F.filter(F.transform(t, lambda x, i: F.when((i == 0) | ~x["token"].startswith("##"), i)), lambda i: i.isNotNull())
+        # pieces before the first start have the number 0
+        base = F.when(F.get(t, F.lit(0))["token"].startswith("##"), 0).otherwise(1)
+
+        def word(at):
+            def of(i, no):
+                return _let(F.slice(t, i + 1, F.coalesce(F.get(at, no + 1), F.size(t)) - i), lambda x: F.struct(
+                    F.array_join(F.transform(x, piece), "").alias("word"), (no + base).cast("long").alias("word_id"),
+                    F.aggregate(x, F.lit(0.0), lambda a, y: a + y["score"]).alias("score")))
+            return F.filter(F.transform(at, of), lambda x: x["word"] != "")
+        return _let(starts, word)
+    runs = _runs(F.sort_array(_let(kept, words)), "word", "l", "f")
+    return attributed.withColumn("words", F.transform(runs, lambda x: F.struct(
+        x["l"]["word"].alias("word"), x["l"]["score"].alias("score"), x["f"]["word_id"].alias("first_word_id")))).drop("tokens")
+
+
+def word_rows(documents: DataFrame, *keep: str) -> DataFrame:
+    """The rows of ``word_attributions`` from documents, with the columns ``keep``."""
+    return documents.select("doc_id", *keep, explode_late("words").alias("x")).where("x is not null").select("doc_id", "x.word", "x.score", "x.first_word_id", *keep)
+
+
 # ------------------------------------------------------------------ X4 / W16
 
 def top_k(df: DataFrame, part: list[str], score: str, name: str, k: int, salt_buckets: int = 64) -> DataFrame:
@@ -204,10 +294,10 @@ def top_k(df: DataFrame, part: list[str], score: str, name: str, k: int, salt_bu
     return cand.withColumn("rank", F.row_number().over(w2)).filter(F.col("rank") <= k).drop("__salt", "__r")
 
 
-def top_words(word_attr: DataFrame, preds: DataFrame, k: int = 25, by_class: bool = True) -> DataFrame:
+def top_words(word_attr: DataFrame, preds: DataFrame | None, k: int = 25, by_class: bool = True) -> DataFrame:
     """Mean |score| per word over texts, per predicted class (0 vs all others) or
-    over all; top k."""
-    j = word_attr.join(preds.select("doc_id", "y_pred"), "doc_id")
+    over all; top k. Without ``preds`` the words bring ``y_pred``."""
+    j = word_attr if preds is None else word_attr.join(preds.select("doc_id", "y_pred"), "doc_id")
     cls = (F.when(F.col("y_pred") == 0, "class_0").otherwise("class_1") if by_class else F.lit("all"))
     g = j.groupBy(cls.alias("class"), "word").agg(F.avg(F.abs("score")).alias("mean_abs_score"))
     return top_k(g, ["class"], "mean_abs_score", "word", k)
@@ -243,8 +333,7 @@ def optimal_steps(tw: DataFrame, bias: list[float], rungs: list[int], target_rel
     A rung is evaluated for the documents that all earlier rungs left above the target and no others;
     what is left after a rung is written to the shared folder, and the next rung starts from there.
     """
-    s = tw.groupBy("doc_id").agg(*[F.sum(F.element_at("w", j + 1)).alias(f"s{j}") for j in range(k)])
-    s = s.withColumn("s", F.array(*[F.col(f"s{j}") for j in range(k)]))
+    s = _class_sums(tw, k)
     b = F.array(*[F.lit(float(x)) for x in bias])
     z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
     s = s.withColumn("target", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
@@ -288,13 +377,41 @@ def fold_summaries(tokens: DataFrame, bias: list[float], grid: list[int], folds:
     s = tokens.groupBy("doc_id").agg(F.array(*sums).alias("__all"))
     b = F.array(*[F.lit(float(x)) for x in bias])
     each = F.array(*[F.struct(F.lit(f).alias("fold"), F.slice("__all", i * k + 1, k).alias("s")) for i, f in enumerate(folds)])
-    s = s.select("doc_id", F.explode(each).alias("e")).select("doc_id", "e.fold", "e.s")
+    s = s.select("doc_id", explode_late(each).alias("e")).select("doc_id", "e.fold", "e.s")
     z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
     s = s.withColumn("target", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
     s = s.withColumn("n_steps", F.explode(F.array(*[F.lit(n) for n in grid])))
     return _path_terms(s, b, k)
 
 
+def _fold_sums(tokens: Column, folds: list[int], k: int, weight_fn) -> Column:
+    """The class sums of all folds, one fold after the other, over an array of tokens."""
+    zero = F.array(*[F.lit(0.0)] * (len(folds) * k))
+
+    def add(acc, t):
+        each = [weight_fn(t, f)[j] for f in folds for j in range(k)]
+        return F.array(*[acc[i] + x for i, x in enumerate(each)])
+    return F.aggregate(tokens, zero, add)
+
+
+def document_fold_scores(tokens: DataFrame, bias: list[float], n_steps: int, folds: list[int], k: int = 2,
+                         weight_fn=token_weights_expr) -> DataFrame:
+    """X8, token side, for documents: ``doc_id, pos, token, score`` with the mean over folds of each
+    token's score; a document's fold terms stand beside its tokens."""
+    b = F.array(*[F.lit(float(x)) for x in bias])
+
+    def terms(s):
+        z1 = F.zip_with(b, s, lambda x, y: x + y)
+        target = _let(z1, lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int"))
+        return _let(target, lambda c: _path(s, c, F.lit(n_steps), b, k)["m"])
+    d = tokens.withColumn("__all", _fold_sums(F.col("tokens"), folds, k, weight_fn))
+    d = d.withColumn("__m", F.transform(F.array(*[F.slice("__all", i * k + 1, k) for i in range(len(folds))]), terms))
+    each = d.select("doc_id", "__m", F.posexplode_outer("tokens").alias("__p", "token"))
+
+    scores = [_dot(F.col("__m")[i], weight_fn(F.col("token"), f), k) for i, f in enumerate(folds)]
+    return each.select("doc_id", F.col("__p").cast("long").alias("pos"), "token", (sum(scores[1:], scores[0]) / len(folds)).alias("score"))
+
+
 def fold_token_scores(tokens: DataFrame, summaries: DataFrame, folds: list[int], k: int = 2,
                       weight_fn=token_weights_expr) -> DataFrame:
     """X8, token side: mean over folds of each token's score; documents meet their fold terms once."""

@@ -49,9 +49,12 @@ def write_epochs(epochs: DataFrame, path: str) -> None:
 
 
 def write_attributions(token_attr: DataFrame, path: str, fmt: str, model: str, mode: str, run_ts: str) -> None:
-    """Raw attributions, nested per document only at the sink."""
-    nested = token_attr.groupBy("doc_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "token", "score"))).alias("tokens"))
+    """Raw attributions, token rows nested per document only at the sink; documents are so already."""
+    if "tokens" in token_attr.columns:
+        nested = token_attr.select("doc_id", "tokens")
+    else:
+        nested = token_attr.groupBy("doc_id").agg(
+            F.sort_array(F.collect_list(F.struct("pos", "token", "score"))).alias("tokens"))
     (nested.withColumn("format", F.lit(fmt)).withColumn("model", F.lit(model)).withColumn("mode", F.lit(mode))
            .withColumn("run_ts", F.lit(run_ts))
            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("format", "model", "mode", "run_ts").parquet(path))
