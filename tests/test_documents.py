@@ -65,3 +65,19 @@ def test_fold_scores_of_documents(docs):
     want = at.fold_token_scores(tokens, at.fold_summaries(tokens, BIAS, [20], [0, 1, 2]), [0, 1, 2])
     got = at.document_fold_scores(at.document_tokens(docs), BIAS, 20, [0, 1, 2])
     assert _rows(got) == _rows(want) and _shuffles(got) == 0
+
+
+def test_phrase_pairs_stay_with_their_texts(spark, monkeypatch):
+    """A frequent word that leads to many phrases: its pairs with the texts are not shuffled, in one batch or several."""
+    from casestory.operators import phrases as ph
+    texts = [(i, f"x the w{i} the end") for i in range(60)]
+    actions = [f"the w{i} the" for i in range(40)] + ["the", "e w"]
+    d, p = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(a,) for a in actions], "action string")
+    want = sorted((i, a) for i, x in texts for a in actions if a in x)
+    for few in (ph.FEW, 7):
+        monkeypatch.setattr(ph, "FEW", few)
+        hits = ac.phrase_hits(d, p)
+        assert sorted((r["doc_id"], r["action"]) for r in hits.collect()) == want
+        plan = hits._jdf.queryExecution().optimizedPlan().toString()
+        shuffled = [line for line in hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
+        assert "action" in plan and shuffled and all("doc_id" in line and "REPARTITION_BY_COL" in line for line in shuffled)
