@@ -22,12 +22,19 @@ its per-key window is small even for a hot key.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestory.session import checkpoint_dir
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def ts_bucket(ts: Column | str, seconds: int = 3600) -> Column:
     """Time slice number of a timestamp (LTZ or NTZ); non-decreasing in ``ts``."""
     c = F.col(ts) if isinstance(ts, str) else ts

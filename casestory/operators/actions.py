@@ -9,8 +9,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from casestory.functions.seq import let
 from casestory.functions.text import shorten
-from casestory.operators.attribute import _let, explode_late, top_k
+from casestory.operators.attribute import explode_late, top_k
 from casestory.operators.phrases import phrase_hits as phrase_hits
 
 
@@ -54,14 +55,14 @@ def document_action_scores(documents: DataFrame) -> DataFrame:
         def beside(s):  # a null number comes first: the word after it is the first spelling
             return F.filter(s, lambda x, i: x["no"].isNotNull() & (i > 0) & F.coalesce(
                 F.get(s, i - 1)["no"].isNull() & (F.get(s, i - 1)["lw"] == x["lw"]), F.lit(False)))
-        return _let(F.sort_array(F.concat(own, wanted)), beside)
+        return let(F.sort_array(F.concat(own, wanted)), beside)
 
     def score(x, ws):
         found = F.filter(F.transform(x["aw"], lambda w: F.abs(ws[w])), lambda v: v.isNotNull())
-        return _let(found, lambda v: F.struct(
+        return let(found, lambda v: F.struct(
             x["action"].alias("action"), F.aggregate(v, F.lit(0.0), lambda a, y: a + y).alias("score"),
             F.size(v).cast("long").alias("words_found"), F.size(x["aw"]).cast("long").alias("n_words")))
-    scored = _let(lowered, lambda asked: _let(known(asked), lambda k: _let(
+    scored = let(lowered, lambda asked: let(known(asked), lambda k: let(
         F.map_from_arrays(F.transform(k, lambda x: x["lw"]), F.transform(k, lambda x: x["s"])),
         lambda ws: F.transform(asked, lambda x: score(x, ws)))))
     rows = documents.select("doc_id", "y_pred", explode_late(scored).alias("x")).select("doc_id", "x.*", "y_pred")

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casestory.functions.quantile import exact_medians, stash
-from casestory.functions.seq import scan_by_key
+from casestory.functions.seq import let, scan_by_key
 
 SPECIAL_TOKENS = ["[CLS]", "[SEP]", "[PAD]"]
 NUMERICAL_THRESHOLD = 1e-4
@@ -80,11 +80,6 @@ def explode_late(array: Column | str) -> Column:
     return F.explode_outer(array)
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` evaluated once, however often it is used."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def model_input(docs: DataFrame, max_len: int, text: str = "text", piece: int = 4, side: str = "right",
                 label: str | None = None) -> DataFrame:
     """M1: one row per text with ``tokens`` of exactly ``max_len`` entries, ``mask`` (1 token, 0
@@ -168,8 +163,8 @@ def _path(s: Column, c: Column, n: Column, b: Column, k: int) -> Column:
         """``then`` of the exponentials of the logits at ``alpha`` and of their sum."""
         def exps(z):
             top = F.greatest(*[z[j] for j in range(k)])
-            return _let(F.array(*[F.exp(z[j] - top) for j in range(k)]), lambda e: then(e, sum((e[j] for j in range(1, k)), e[0])))
-        return _let(F.array(*[b[j] + alpha * s[j] for j in range(k)]), exps)
+            return let(F.array(*[F.exp(z[j] - top) for j in range(k)]), lambda e: then(e, sum((e[j] for j in range(1, k)), e[0])))
+        return let(F.array(*[b[j] + alpha * s[j] for j in range(k)]), exps)
 
     def step(acc, j):
         tw_ = F.when((j == 0) | (j == n), F.lit(0.5)).otherwise(F.lit(1.0))
@@ -180,7 +175,7 @@ def _path(s: Column, c: Column, n: Column, b: Column, k: int) -> Column:
         return at_point(F.lit(alpha), lambda e, total: e[c] / total)
     zero = F.array(*[F.lit(0.0) for _ in range(k)])
     m = F.transform(F.aggregate(F.sequence(F.lit(0), n), zero, step), lambda x: x / n)
-    return _let(m, lambda m: F.struct(m.alias("m"), target(1.0).alias("f_x"), target(0.0).alias("f_baseline"),
+    return let(m, lambda m: F.struct(m.alias("m"), target(1.0).alias("f_x"), target(0.0).alias("f_baseline"),
                                       _weighted(m, s).alias("sum_attributions")))
 
 
@@ -208,7 +203,7 @@ def document_attributions(summary: DataFrame, k: int = 2) -> DataFrame:
     """X1 for documents with their path terms (``doc_path_summary`` of documents): ``tokens`` becomes
     the array of ``pos, token, score``."""
     words = F.arrays_zip("tokens", "w")
-    numbered = _let(F.col("m"), lambda m: F.transform(words, lambda x, i: F.struct(
+    numbered = let(F.col("m"), lambda m: F.transform(words, lambda x, i: F.struct(
         i.cast("long").alias("pos"), x["tokens"].alias("token"), _dot(m, x["w"], k).alias("score"))))
     return summary.withColumn("tokens", numbered).drop("w")
 
@@ -245,7 +240,7 @@ def _runs(ordered: Column, key: str, last: str, first: str) -> Column:
         lasts = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)[key] != x[key], F.lit(True)))
         firsts = F.filter(s, lambda x, i: F.when(i == 0, F.lit(True)).otherwise(F.get(s, i - 1)[key] != x[key]))
         return F.zip_with(lasts, firsts, lambda x, y: F.struct(x.alias(last), y.alias(first)))
-    return _let(ordered, ends)
+    return let(ordered, ends)
 
 
 def document_words(attributed: DataFrame) -> DataFrame:
@@ -263,12 +258,12 @@ def document_words(attributed: DataFrame) -> DataFrame:
 
         def word(at):
             def of(i, no):
-                return _let(F.slice(t, i + 1, F.coalesce(F.get(at, no + 1), F.size(t)) - i), lambda x: F.struct(
+                return let(F.slice(t, i + 1, F.coalesce(F.get(at, no + 1), F.size(t)) - i), lambda x: F.struct(
                     F.array_join(F.transform(x, piece), "").alias("word"), (no + base).cast("long").alias("word_id"),
                     F.aggregate(x, F.lit(0.0), lambda a, y: a + y["score"]).alias("score")))
             return F.filter(F.transform(at, of), lambda x: x["word"] != "")
-        return _let(starts, word)
-    runs = _runs(F.sort_array(_let(kept, words)), "word", "l", "f")
+        return let(starts, word)
+    runs = _runs(F.sort_array(let(kept, words)), "word", "l", "f")
     return attributed.withColumn("words", F.transform(runs, lambda x: F.struct(
         x["l"]["word"].alias("word"), x["l"]["score"].alias("score"), x["f"]["word_id"].alias("first_word_id")))).drop("tokens")
 
@@ -402,8 +397,8 @@ def document_fold_scores(tokens: DataFrame, bias: list[float], n_steps: int, fol
 
     def terms(s):
         z1 = F.zip_with(b, s, lambda x, y: x + y)
-        target = _let(z1, lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int"))
-        return _let(target, lambda c: _path(s, c, F.lit(n_steps), b, k)["m"])
+        target = let(z1, lambda z: (F.array_position(z, F.array_max(z)) - 1).cast("int"))
+        return let(target, lambda c: _path(s, c, F.lit(n_steps), b, k)["m"])
     d = tokens.withColumn("__all", _fold_sums(F.col("tokens"), folds, k, weight_fn))
     d = d.withColumn("__m", F.transform(F.array(*[F.slice("__all", i * k + 1, k) for i in range(len(folds))]), terms))
     each = d.select("doc_id", "__m", F.posexplode_outer("tokens").alias("__p", "token"))

@@ -4,9 +4,9 @@ Plan (per event log):
 
 1. events are repartitioned once by ``(case_id, time bucket)``; a long case is spread
    over many tasks;
-2. simultaneous events are grouped by ``(case_id, bucket, ts)`` (W4) -- the shuffle of
-   step 1 already satisfies this grouping, and the in-bucket window that finds the
-   previous group (W5) and the per-bucket text chunk also reuse it;
+2. the events of a ``(case_id, bucket)`` are collected in order -- the shuffle of step 1 already
+   satisfies this grouping -- and inside the row simultaneous ones become groups (W4), each with
+   its delta to the group before (W5); one aggregation, no window and no further sort;
 3. each bucket keeps its first group unrendered (its delta depends on the previous
    bucket) and renders the rest;
 4. one row per bucket goes to the per-case aggregation, which renders the first group
@@ -18,10 +18,10 @@ output's; the work of building it is spread over buckets.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from casestory.functions.seq import ts_bucket
+from casestory.functions.seq import let, ts_bucket
 from casestory.operators import textgen
 from casestory.operators.traces import case_metadata, valid_events
 
@@ -34,19 +34,21 @@ def event_phrases(log: DataFrame, dictionary: DataFrame, mode: str = "exact_ci")
 
 
 def time_groups(phrases: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
-    """W4 + W5: groups of simultaneous events with ``delta`` to the previous group.
-
-    Columns: case_id, bucket, ts, items (phrases in event order), delta (null for the
-    first group of a bucket -- filled by ``stories``), is_bucket_first.
-    """
+    """W4 + W5: per case and bucket the array ``groups`` of its groups of simultaneous events in time order:
+    ``ts``, ``items`` (phrases in event order), ``delta`` to the previous group (null for the
+    first one of a bucket -- filled by ``stories``)."""
     ev = phrases.withColumn("bucket", ts_bucket("ts", bucket_seconds)).repartition("case_id", "bucket")
-    g = (ev.groupBy("case_id", "bucket", "ts")
-           .agg(F.sort_array(F.collect_list(F.struct("event_idx", "phrase"))).alias("items")))
-    g = g.withColumn("items", F.transform("items", lambda x: x["phrase"]))
-    w = Window.partitionBy("case_id", "bucket").orderBy("ts")
-    prev = F.lag("ts").over(w)
-    return (g.withColumn("is_bucket_first", prev.isNull())
-             .withColumn("delta", F.timestamp_diff("SECOND", prev, F.col("ts"))))
+    ordered = F.sort_array(F.collect_list(F.struct("ts", "event_idx", "phrase")))
+    b = ev.groupBy("case_id", "bucket").agg(ordered.alias("events"))
+
+    def groups(e):
+        starts = F.filter(F.transform(e, lambda x, i: F.when(F.when(i == 0, F.lit(True)).otherwise(F.get(e, i - 1)["ts"] != x["ts"]), i)),
+                          lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, no: F.struct(
+            F.get(e, i)["ts"].alias("ts"),
+            F.transform(F.slice(e, i + 1, F.coalesce(F.get(at, no + 1), F.size(e)) - i), lambda x: x["phrase"]).alias("items"),
+            F.when(i > 0, F.timestamp_diff("SECOND", F.get(e, i - 1)["ts"], F.get(e, i)["ts"])).alias("delta"))))
+    return b.select("case_id", "bucket", let(F.col("events"), groups).alias("groups"))
 
 
 def stories(log: DataFrame, dictionary: DataFrame, style: str = "narrative",
@@ -59,17 +61,11 @@ def stories(log: DataFrame, dictionary: DataFrame, style: str = "narrative",
     """
     sep = textgen.STYLE_SEPARATORS[style][0]
     g = time_groups(event_phrases(log, dictionary, mode), bucket_seconds)
-    g = g.withColumn("text", F.when(~F.col("is_bucket_first"),
-                                    textgen.group_text(style, F.col("delta"), F.col("items"))))
-    chunks = g.groupBy("case_id", "bucket").agg(
-        F.min("ts").alias("first_ts"),
-        F.max("ts").alias("last_ts"),
-        F.min_by("items", "ts").alias("first_items"),
-        F.sort_array(F.collect_list(F.struct("ts", "text"))).alias("parts"))
-    chunks = chunks.select(
-        "case_id", "bucket", "first_ts", "last_ts", "first_items",
-        F.array_join(F.transform(F.filter("parts", lambda p: p["text"].isNotNull()),
-                                 lambda p: p["text"]), sep).alias("rest"))
+    rest = F.transform(F.slice("groups", F.lit(2), F.size("groups")), lambda x: textgen.group_text(style, x["delta"], x["items"]))
+    chunks = g.select(
+        "case_id", "bucket", F.get("groups", F.lit(0))["ts"].alias("first_ts"), F.element_at("groups", -1)["ts"].alias("last_ts"),
+        F.get("groups", F.lit(0))["items"].alias("first_items"),
+        F.array_join(F.filter(rest, lambda t: t.isNotNull()), sep).alias("rest"))
     per_case = chunks.groupBy("case_id").agg(
         F.sort_array(F.collect_list(F.struct("bucket", "first_ts", "last_ts", "first_items", "rest")))
         .alias("cs"))
