@@ -12,7 +12,9 @@ from pyspark.sql import functions as F
 from casestory.functions.seq import let
 from casestory.functions.text import shorten
 from casestory.operators.attribute import explode_late, top_k
+from casestory.operators.phrases import hit_documents as hit_documents
 from casestory.operators.phrases import phrase_hits as phrase_hits
+from casestory.operators.phrases import with_actions as with_actions
 
 
 def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:
@@ -32,11 +34,6 @@ def action_scores(hits: DataFrame, word_attr: DataFrame) -> DataFrame:
         "doc_id", "action", F.coalesce("score", F.lit(0.0)).alias("score"), "words_found", "n_words")
 
 
-def with_actions(docs: DataFrame, hits: DataFrame) -> DataFrame:
-    """The documents that have hits, with ``actions``, the array of their actions."""
-    return docs.join(hits.groupBy("doc_id").agg(F.collect_set("action").alias("actions")), "doc_id")
-
-
 def document_action_scores(documents: DataFrame) -> DataFrame:
     """The rows of ``action_scores`` from documents with ``words`` (``attribute.document_words``) and
     ``actions``, with their ``y_pred``; no word leaves its document.
@@ -93,11 +90,14 @@ def chart_table(stats: DataFrame, value: str = "mean_score", k: int = 25, joint_
                 lead: str = "class_1", other: str = "class_0", inverse: DataFrame | None = None) -> DataFrame:
     """X15 / X16 / X17 + J7 + J8 + T13: top-k of the leading class, the other class
     aligned (0 where absent), scaled by the joint max (X15) or each class's own max
-    (X16); labels optionally translated back (J8) and shortened to 50 characters."""
-    top = top_k(stats.filter(F.col("class") == lead), ["class"], value, "action", k).select(
-        "action", "rank", F.col(value).alias("lead_value"))
-    oth = stats.filter(F.col("class") == other).select("action", F.col(value).alias("other_value"))
-    t = top.join(oth, "action", "left").withColumn("other_value", F.coalesce("other_value", F.lit(0.0)))
+    (X16); labels optionally translated back (J8) and shortened to 50 characters.
+
+    Both classes of an action meet in one aggregation, so the statistics are worked out once."""
+    of = lambda name: F.max(F.when(F.col("class") == name, F.col(value)))  # noqa: E731  # a class has one row per action
+    both = stats.groupBy("action").agg(of(lead).alias("lead_value"), of(other).alias("other_value"),
+                                       F.max(F.when(F.col("class") == lead, F.col("class"))).alias("class"))
+    top = top_k(both.filter(F.col("class").isNotNull()), ["class"], "lead_value", "action", k)
+    t = top.select("action", "rank", "lead_value", F.coalesce("other_value", F.lit(0.0)).alias("other_value"))
     all_ = Window.partitionBy()  # k rows
     if joint_scale:
         mx = F.greatest(F.max("lead_value").over(all_), F.max("other_value").over(all_))

@@ -952,8 +952,7 @@ def q_phrase_hits_automaton(spark, sf):
 
 def _action_scores(spark, sf):
     """Scores of the actions in the documents that have any, each with its document's ``y_pred``."""
-    texts = _spread_docs(spark, sf)
-    found = at.document_tokens(ac.with_actions(texts, ac.phrase_hits(texts, _actions(spark, sf))))
+    found = at.document_tokens(ac.hit_documents(_attribution_docs(spark, sf), _actions(spark, sf)))
     words = at.document_words(_attributed(at.with_weights(found, weight_fn=at.token_weights_expr)))
     return ac.document_action_scores(words)
 

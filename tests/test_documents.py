@@ -81,3 +81,41 @@ def test_phrase_pairs_stay_with_their_texts(spark, monkeypatch):
         plan = hits._jdf.queryExecution().optimizedPlan().toString()
         shuffled = [line for line in hits._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].splitlines() if "Exchange hashpartitioning" in line]
         assert "action" in plan and shuffled and all("doc_id" in line and "REPARTITION_BY_COL" in line for line in shuffled)
+
+
+def test_texts_are_dealt_out_once_for_their_actions(spark, monkeypatch):
+    """Hits are found on the exchange on which they meet their texts, in one batch or several."""
+    from casestory.operators import phrases as ph
+    texts = [(i, f"x the w{i} the end") for i in range(60)] + [(60, None), (None, "x the end"), (61, "none")]
+    actions = [f"the w{i} the" for i in range(40)] + ["the", "e w"]
+    d, p = spark.createDataFrame(texts, "doc_id long, text string").localCheckpoint(), spark.createDataFrame([(a,) for a in actions], "action string")
+    want = {i: sorted(a for a in actions if a in x) for i, x in texts if i is not None and x and "the" in x}
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for few in (ph.FEW, 7):
+            monkeypatch.setattr(ph, "FEW", few)
+            found = ac.hit_documents(d, p)
+            got = found.collect()
+            assert {r["doc_id"]: sorted(r["actions"]) for r in got} == want and len(got) == len(want)
+            plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+            of_texts = [line for line in plan.splitlines() if "Exchange hashpartitioning(doc_id" in line and "REPARTITION_BY_COL" in line]
+            dealt = [line for line in of_texts if "ReusedExchange" not in line]
+            assert len(of_texts) > len(dealt) == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_frequent_short_phrase_meets_every_text_once(spark):
+    """Its many words would be as many rows to broadcast as the vocabulary has."""
+    from casestory.operators import phrases as ph
+    texts = spark.createDataFrame([(f"the the{i}a w{i} rare",) if i else ("the qux rare",) for i in range(50)], "__l string")
+    phrases = spark.createDataFrame([("The",), ("qu",)], "action string")
+    assert sorted((r["action"], r["word"], r["df"]) for r in ph.chosen_words(texts, phrases).collect()) == [("The", "", 50), ("qu", "qux", 1)]
+
+
+def test_chart_reads_its_statistics_once(spark):
+    stats = spark.createDataFrame([("class_1", "a", 2.0), ("class_0", "a", 4.0), ("class_1", "b", 3.0), ("class_0", "c", 9.0)], "class string, action string, mean_score double")
+    chart = ac.chart_table(stats.localCheckpoint(), k=2)
+    assert sorted(tuple(r) for r in chart.select("action", "rank", "lead_value", "other_value", "lead_scaled").collect()) == [("a", 2, 2.0, 4.0, 0.5), ("b", 1, 3.0, 0.0, 0.75)]
+    assert chart._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
