@@ -60,7 +60,7 @@ def wordpiece_tokens(docs: DataFrame, text: str = "text", piece: int = 4, max_le
 def pieces_of(text: Column, piece: int = 4) -> Column:
     """The word pieces of a text as an array: a mark is set between the pieces, then the text is split."""
     marked = F.regexp_replace(F.coalesce(text, F.lit("")), rf"(\S{{{piece}}})(?=\S)", "$1 ##")
-    return F.filter(F.split(marked, r"\s+"), lambda w: w != "")
+    return F.array_remove(F.split(marked, r"\s+"), "")
 
 
 def document_tokens(docs: DataFrame, text: str = "text", piece: int = 4) -> DataFrame:
@@ -134,8 +134,13 @@ def centred_weights(tw: DataFrame, bias: list[float], k: int = 2) -> tuple[DataF
 
 # ------------------------------------------------------------------ X1 / X3
 
-def _class_sums(tw: DataFrame, k: int) -> DataFrame:
-    """``s``: the class sums of every document; documents keep their other columns."""
+def _class_sums(tw: DataFrame, k: int, weight_fn: Callable[[Column], Column] | None = None) -> DataFrame:
+    """``s``: the class sums of every document; documents keep their other columns. With ``weight_fn`` they
+    need no ``w``: the weights are numbers inside the sums, no arrays."""
+    if weight_fn is not None:
+        def total(j):
+            return F.aggregate("tokens", F.lit(0.0), lambda acc, t: acc + weight_fn(t)[j])
+        return tw.withColumn("s", F.array(*[total(j) for j in range(k)]))
     if _as_documents(tw):
         zero = F.array(*[F.lit(0.0)] * k)
         return tw.withColumn("s", F.aggregate("w", zero, lambda acc, w: F.array(*[acc[j] + w[j] for j in range(k)])))
@@ -144,11 +149,12 @@ def _class_sums(tw: DataFrame, k: int) -> DataFrame:
 
 
 def doc_path_summary(tw: DataFrame, bias: list[float], n_steps: int | Column, target: Column | None = None,
-                     k: int = 2) -> DataFrame:
+                     k: int = 2, weight_fn: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per document: s_k, predicted class, target, m_k (trapezoid over n steps), f(x),
     f(baseline), sum of attributions (= sum_k m_k s_k). The baseline is the empty text; for the
-    corpus mean pass weights that are centred (``centred_weights``) and the bias at the mean."""
-    s = _class_sums(tw, k)
+    corpus mean pass weights that are centred (``centred_weights``) and the bias at the mean. Documents
+    come with ``w`` or with a ``weight_fn``."""
+    s = _class_sums(tw, k, weight_fn)
     b = F.array(*[F.lit(float(x)) for x in bias])
     z1 = F.zip_with(b, F.col("s"), lambda x, y: x + y)
     s = s.withColumn("y_pred", (F.array_position(z1, F.array_max(z1)) - 1).cast("int"))
@@ -199,9 +205,13 @@ def token_attributions(tw: DataFrame, summary: DataFrame) -> DataFrame:
     return j.select("doc_id", "pos", "token", "target", _weighted(F.col("m"), F.col("w")).alias("score"))
 
 
-def document_attributions(summary: DataFrame, k: int = 2) -> DataFrame:
+def document_attributions(summary: DataFrame, k: int = 2, weight_fn: Callable[[Column], Column] | None = None) -> DataFrame:
     """X1 for documents with their path terms (``doc_path_summary`` of documents): ``tokens`` becomes
     the array of ``pos, token, score``."""
+    if weight_fn is not None:
+        scored = let(F.col("m"), lambda m: F.transform("tokens", lambda t, i: F.struct(
+            i.cast("long").alias("pos"), t.alias("token"), _dot(m, weight_fn(t), k).alias("score"))))
+        return summary.withColumn("tokens", scored)
     words = F.arrays_zip("tokens", "w")
     numbered = let(F.col("m"), lambda m: F.transform(words, lambda x, i: F.struct(
         i.cast("long").alias("pos"), x["tokens"].alias("token"), _dot(m, x["w"], k).alias("score"))))
@@ -381,12 +391,9 @@ def fold_summaries(tokens: DataFrame, bias: list[float], grid: list[int], folds:
 
 def _fold_sums(tokens: Column, folds: list[int], k: int, weight_fn) -> Column:
     """The class sums of all folds, one fold after the other, over an array of tokens."""
-    zero = F.array(*[F.lit(0.0)] * (len(folds) * k))
-
-    def add(acc, t):
-        each = [weight_fn(t, f)[j] for f in folds for j in range(k)]
-        return F.array(*[acc[i] + x for i, x in enumerate(each)])
-    return F.aggregate(tokens, zero, add)
+    def total(f, j):
+        return F.aggregate(tokens, F.lit(0.0), lambda acc, t: acc + weight_fn(t, f)[j])
+    return F.array(*[total(f, j) for f in folds for j in range(k)])
 
 
 def document_fold_scores(tokens: DataFrame, bias: list[float], n_steps: int, folds: list[int], k: int = 2,

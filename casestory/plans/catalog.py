@@ -728,11 +728,17 @@ def _spread_docs(spark, sf):
 
 def _documents(spark, sf):
     """The documents with their tokens and the weights of these."""
-    return at.with_weights(at.document_tokens(_spread_docs(spark, sf)), weight_fn=at.token_weights_expr)
+    return at.with_weights(_token_documents(spark, sf), weight_fn=at.token_weights_expr)
+
+
+def _token_documents(spark, sf):
+    return at.document_tokens(_spread_docs(spark, sf))
 
 
 def _attributed(docs, n_steps=N_STEPS):
-    return at.document_attributions(at.doc_path_summary(docs, BIAS, n_steps))
+    """Documents with scored tokens; the weights are worked out where they are used."""
+    summary = at.doc_path_summary(docs, BIAS, n_steps, weight_fn=at.token_weights_expr)
+    return at.document_attributions(summary, weight_fn=at.token_weights_expr)
 
 
 _TOKENS_SQL = """(WITH d AS (SELECT doc_id, text FROM documents),
@@ -797,7 +803,7 @@ def q_wordpiece_tokens(spark, sf):
   round(p.m0 * t.w0 + p.m1 * t.w1, 6) AS score FROM {_TW_SQL} t JOIN {_PATH_SQL} p USING (doc_id)""")
 def q_token_attributions(spark, sf):
     """X1 + X3: IG token scores against the predicted class, 50 trapezoid steps."""
-    return _r6(at.token_rows(_attributed(_documents(spark, sf))))
+    return _r6(at.token_rows(_attributed(_token_documents(spark, sf))))
 
 
 _WA_CTES = f"""ta AS (SELECT t.doc_id, t.pos, t.token, p.m0 * t.w0 + p.m1 * t.w1 AS score
@@ -814,7 +820,7 @@ FROM wd WHERE word <> '' GROUP BY doc_id, word)"""
 SELECT doc_id, word, round(score, 6) AS score, first_word_id FROM wa""")
 def q_word_attributions(spark, sf):
     """Word pieces merged into words; a repeated word keeps its last score."""
-    return _r6(at.word_rows(at.document_words(_attributed(_documents(spark, sf)))))
+    return _r6(at.word_rows(at.document_words(_attributed(_token_documents(spark, sf)))))
 
 
 @register("ig_completeness", f"""WITH p AS {_PATH_SQL},
@@ -844,7 +850,7 @@ r AS (SELECT *, CAST(row_number() OVER (PARTITION BY class ORDER BY round(mean_a
 SELECT class, word, round(mean_abs_score, 6) AS mean_abs_score, rank FROM r WHERE rank <= 25""")
 def q_top_words(spark, sf):
     """Top 25 words by mean |score| per predicted class (rows-only)."""
-    wa = at.word_rows(at.document_words(_attributed(_documents(spark, sf))), "y_pred")
+    wa = at.word_rows(at.document_words(_attributed(_token_documents(spark, sf))), "y_pred")
     return _r6(at.top_words(wa, None, 25, True))
 
 
@@ -953,7 +959,7 @@ def q_phrase_hits_automaton(spark, sf):
 def _action_scores(spark, sf):
     """Scores of the actions in the documents that have any, each with its document's ``y_pred``."""
     found = at.document_tokens(ac.hit_documents(_attribution_docs(spark, sf), _actions(spark, sf)))
-    words = at.document_words(_attributed(at.with_weights(found, weight_fn=at.token_weights_expr)))
+    words = at.document_words(_attributed(found))
     return ac.document_action_scores(words)
 
 
@@ -1143,7 +1149,7 @@ def q_sink_epochs_grid(spark, sf):
     g = g.select("doc_id", "fold", "n_steps", "rel_error", "converged")
     sk.write_csv(g, base + "/grid")
     sk.write_json_table(tk.token_dictionary(benchmark_dictionary(spark, sf)), base + "/tokens")
-    sk.write_attributions(_attributed(_documents(spark, sf), 8), base + "/attr", "narrative", "linear", "single", "r1")
+    sk.write_attributions(_attributed(_token_documents(spark, sf), 8), base + "/attr", "narrative", "linear", "single", "r1")
     sk.write_predictions(binary_preds(spark, sf), base + "/preds", "narrative", "linear", "single")
     back = {"epochs": sk.read_partitioned(spark, base + "/epochs"), "grid": sk.read_csv(spark, base + "/grid", g.schema),
             "tokens": sk.read_json_table(spark, base + "/tokens"),

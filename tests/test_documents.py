@@ -119,3 +119,13 @@ def test_chart_reads_its_statistics_once(spark):
     chart = ac.chart_table(stats.localCheckpoint(), k=2)
     assert sorted(tuple(r) for r in chart.select("action", "rank", "lead_value", "other_value", "lead_scaled").collect()) == [("a", 2, 2.0, 4.0, 0.5), ("b", 1, 3.0, 0.0, 0.75)]
     assert chart._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_weights_of_a_function_make_no_arrays(docs):
+    rows, summary, _ = _both(docs)
+    weigh = at.token_weights_expr
+    path = at.doc_path_summary(at.document_tokens(docs), BIAS, 20, weight_fn=weigh)
+    own = at.document_attributions(path, weight_fn=weigh)
+    assert _rows(at.token_rows(own)) == _rows(rows) and _rows(path.select(*summary.columns)) == _rows(summary)
+    assert "w" not in path.columns
+    assert "arrays_zip" not in own._jdf.queryExecution().optimizedPlan().toString()
