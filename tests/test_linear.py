@@ -101,3 +101,27 @@ def test_direction_is_two_loop_recursion():
         q = q + a * (al - b @ q / (a @ b))
     basis = np.concatenate([s, y, g[None]])
     assert np.allclose(linear.direction(basis @ basis.T, 3) @ basis, -q)
+
+
+def test_an_evaluation_sends_all_classes_but_the_last_and_sorts_no_block(spark, monkeypatch):
+    seen = []
+
+    def watched(blocks, messages, shape, weights, parts, own=linear._gradients):
+        found = own(blocks, messages, shape, weights, parts)
+        answers = found.selectExpr("sum(length(sums)) / sum(length(pos))").first()[0]
+        asked = messages.selectExpr("sum(length(`values`)) / sum(length(pos))").first()[0]
+        plan = found._jdf.queryExecution().executedPlan().toString().splitlines()
+        cached = next(i for i, line in enumerate(plan) if "InMemoryTableScan" in line)
+        seen.append((asked, answers, any(" Sort " in line or "Exchange" in line for line in plan[cached - 2:cached])))
+        return found
+    monkeypatch.setattr(linear, "_gradients", watched)
+    linear.fit(frame(spark, texts(40)), 3, fold_col="fold", max_iter=1)
+    assert seen and set(seen) == {(3 * 2 * 1, 3 * 2 * 1, False)}  # folds x 8 bytes for 4 of a place, one class of two
+
+
+def test_three_classes_reach_the_optimum_of_spark_ml(spark):
+    rows = [(i, x + (" odd" if i % 3 == 2 else ""), i % 3, f) for i, x, _, f in texts(90)]
+    mine, theirs = linear.fit(frame(spark, rows), max_iter=40, tol=1e-8), trn.fit(frame(spark, rows).select("doc_id", "text", "label"), trn.text_pipeline(max_iter=200))
+    got = {r["doc_id"]: r["probs"] for r in linear.probabilities(mine, F.lit(0)).collect()}
+    want = {r["doc_id"]: r["probs"] for r in trn.score(theirs, frame(spark, rows)).collect()}
+    assert max(abs(a - b) for i in want for a, b in zip(got[i], want[i])) < 2e-3
