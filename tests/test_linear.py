@@ -125,3 +125,21 @@ def test_three_classes_reach_the_optimum_of_spark_ml(spark):
     got = {r["doc_id"]: r["probs"] for r in linear.probabilities(mine, F.lit(0)).collect()}
     want = {r["doc_id"]: r["probs"] for r in trn.score(theirs, frame(spark, rows)).collect()}
     assert max(abs(a - b) for i in want for a, b in zip(got[i], want[i])) < 2e-3
+
+
+def test_rows_and_batches_stay_small(spark, monkeypatch):
+    """Many terms times folds: a shard's row and an Arrow batch hold a few megabytes."""
+    key, seen = "spark.sql.execution.arrow.maxBytesPerBatch", []
+
+    def watched(df, name, own=linear._stash):
+        out = own(df, name)
+        if name == "state":
+            seen.append((out.agg(F.max(F.length("vectors"))).first()[0], int(spark.conf.get(key).rstrip("b"))))
+        return out
+    monkeypatch.setattr(linear, "_stash", watched)
+    before = spark.conf.get(key)
+    rows = [(1000 + k, " ".join(f"v{i}" for i in range(k, 200_000, 8)), k % 2, k % 3) for k in range(8)]
+    linear.fit(frame(spark, texts(20) + rows), 3, fold_col="fold", max_iter=1)
+    row, batch = map(max, zip(*seen))
+    assert row < 3 << 20 and batch <= 8 << 20
+    assert spark.conf.get(key) == before
