@@ -137,6 +137,27 @@ def test_few_short_phrases_need_no_vocabulary(spark, monkeypatch):
         assert short <= 3 or written["words"] <= 5  # "", "rare", "of", "these"
 
 
+def test_batches_of_chosen_words_follow_each_other(spark, monkeypatch):
+    """However many batches there are, one is broadcast at a time; a phrase of many words is one row of them."""
+    from casestory.operators import phrases as ph
+    texts = [(i, f"a{i}cat sat{i} on cat{i} Tom{i}y b{i}cat") for i in range(60)] + [(60, "cat  sat1"), (60, "cat sat1"), (61, None), (62, "scat sat")]
+    actions = [f"cat sat{i}" for i in range(30)] + [f"om{i}y" for i in range(30)] + ["cat", "cat s", "at o", "cat ", " cat1", "t sat"]
+    d, p = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame([(a,) for a in actions], "action string")
+    want = sorted({(i, a) for i, x in texts if x is not None for a in actions if a.lower() in x.lower()})
+    lowered = d.where("text is not null").selectExpr("lower(text) __l")
+    monkeypatch.setattr(ph, "MANY", 20, raising=False)
+    chosen = [tuple(r) for r in ph.chosen_words(lowered, p).select("action", "word").collect()]
+    assert [w for a, w in chosen if a == "cat"] == [""]
+    assert sorted(w for a, w in chosen if a == " cat1") == ["cat1", *(f"cat{k}" for k in range(10, 20))]  # words that start so
+    assert [w for a, w in chosen if a == "om7y"] == ["tom7y"]
+    for name, few in (("FEW", 40), ("FEW_BYTES", 600)):
+        with monkeypatch.context() as m:
+            m.setattr(ph, name, few, raising=False)
+            hits = ph.phrase_hits(d, p)
+            assert hits._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin") == 1
+            assert sorted((r["doc_id"], r["action"]) for r in hits.collect()) == want
+
+
 def test_chart_reads_its_statistics_once(spark):
     stats = spark.createDataFrame([("class_1", "a", 2.0), ("class_0", "a", 4.0), ("class_1", "b", 3.0), ("class_0", "c", 9.0)], "class string, action string, mean_score double")
     chart = ac.chart_table(stats.localCheckpoint(), k=2)
